@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 # How the operator signs of formula-like names are spelled.
 SIGN_WORDS = {"/": "_DIV_", "-": "_MINUS_", ">": "_GT_", "*": "_TIMES_"}
@@ -28,7 +28,7 @@ def tidy_columns(df: DataFrame) -> DataFrame:
 def with_prefix(df: DataFrame, prefix: str, keys: Iterable[str]) -> DataFrame:
     """Prefix every column that is not a key."""
     keys = set(keys)
-    return df.select(*[F.col(f"`{c}`").alias(c if c in keys else prefix + c) for c in df.columns])
+    return df.toDF(*[c if c in keys else prefix + c for c in df.columns])
 
 
 def matching(df: DataFrame, pattern: str) -> list[str]:

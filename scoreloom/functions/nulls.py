@@ -54,9 +54,13 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
-def safe_div(a: Column, b: Column) -> Column:
-    """a / b, but a zero divisor gives 0.0; missing stays missing."""
-    return F.when(a.isNotNull() & (b == 0), F.lit(0.0)).otherwise(ratio(a, b))
+def safe_div_sql(a: str, b: str) -> str:
+    """a / b as SQL text, but a zero divisor gives 0.0; missing stays missing."""
+    return f"CASE WHEN {a} IS NOT NULL AND {b} = 0 THEN 0D ELSE try_divide(cast({a} AS DOUBLE), cast({b} AS DOUBLE)) END"
+
+
+def safe_div(a: str, b: str) -> Column:
+    return F.expr(safe_div_sql(a, b))
 
 
 def fill_constant(df: DataFrame, value, columns: list[str]) -> DataFrame:

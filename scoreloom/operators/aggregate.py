@@ -59,7 +59,7 @@ def value_counts(df: DataFrame, keys: Sequence[str], column: str, values: Sequen
     return df.groupBy(*keys).agg(*value_count_columns(column, values))
 
 
-def segment_columns(spec: Mapping[str, Sequence[str]], segments: Mapping[str, Column | None]) -> list[Column]:
+def segment_columns(spec: Mapping[str, Sequence[str]], segments: Mapping[str, str | None]) -> list[Column]:
     """The same aggregates for several row segments, in one pass (prefix -> condition)."""
     return [c for prefix, where in segments.items() for c in agg_spec(spec, prefix, where)]
 

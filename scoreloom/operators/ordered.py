@@ -11,12 +11,11 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.naming import of_period
-from ..functions.nulls import safe_div
+from ..functions.nulls import safe_div_sql
+from ..functions.recent import add_recent_bundles, gather_recent
 from ..functions.stats import slope, stat, stat_bundle
 from .skew import ordered, summarise
 
-ALL_ROWS = None  # period name for "the whole history"
-
 
 def newest_first(column: str, *ties: str) -> list[Column]:
     """Descending by ``column`` and by each tie-break, missing values last."""
@@ -27,23 +26,14 @@ def oldest_first(column: str, *ties: str) -> list[Column]:
     return [F.col(c).asc_nulls_last() for c in (column, *ties)]
 
 
-def last_k_columns(
-    bundles: Mapping[str, Iterable[str]], periods: Iterable[int | None], rank: str = "rn"
-) -> list[Column]:
-    """Statistic bundles over the first k ranked rows, for many k, as aggregates."""
-    out = []
-    for k in periods:
-        prefix = "all_installment_" if k is ALL_ROWS else f"last_{k}_"
-        where = None if k is ALL_ROWS else F.col(rank) <= k
-        for column, stats in bundles.items():
-            out += stat_bundle(column, stats, prefix, where)
-    return out
+def whole_history_columns(bundles: Mapping[str, Iterable[str]], prefix: str = "all_installment_") -> list[Column]:
+    return [c for column, stats in bundles.items() for c in stat_bundle(column, stats, prefix)]
 
 
 def trend_columns(columns: Iterable[str], periods: Iterable[int], rank: str = "rn") -> list[Column]:
     columns = list(columns)
     return [
-        slope(F.col(c), F.col(rank), k).alias(f"{k}_period_trend_{c}") for k in periods for c in columns
+        slope(c, k, rank).alias(f"{k}_period_trend_{c}") for k in periods for c in columns
     ]
 
 
@@ -51,29 +41,33 @@ def last_loan_columns(
     bundles: Mapping[str, Iterable[str]], loan: str, prefix: str = "last_loan_"
 ) -> list[Column]:
     """Bundles over the rows of the newest row's loan (needs ``newest_{loan}``)."""
-    where = F.col(loan).eqNullSafe(F.col(f"newest_{loan}"))
+    where = f"{loan} <=> newest_{loan}"
     return [c for column, stats in bundles.items() for c in stat_bundle(column, stats, prefix, where)]
 
 
-def fraction_columns(names: Sequence[str], short: int, long: int) -> list[Column]:
+def fraction_columns(names: Sequence[str], short: int, long: int) -> list[str]:
     """Same-named statistics of a short window over those of a long one."""
     out = []
     for a, b in zip(of_period(names, short), of_period(names, long)):
         name = a.replace(f"_{short}_", f"_{short}by{long}_fraction_")
-        out.append(safe_div(F.col(a), F.col(b)).alias(name))
+        out.append(f"{safe_div_sql(f'`{a}`', f'`{b}`')} AS `{name}`")
     return out
 
 
 def last_k_statistics(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bundles, periods, hot_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], bundles, periods
 ) -> DataFrame:
-    """Statistic bundles of the newest k rows per key, for every k in one pass."""
-    frames = ordered(df, keys, order, hot_rows=hot_rows)
-    return summarise(frames, keys, last_k_columns(bundles, periods))
+    """Statistic bundles of the newest k rows per key, for every k in one pass.
+
+    Only the longest window is exchanged: ``rank <= k`` is a group limit on the map side.
+    """
+    rows = top_rows(df, keys, order, max(periods))
+    gathered = rows.groupBy(*keys).agg(gather_recent(list(bundles), max(periods)))
+    return add_recent_bundles(gathered, bundles, periods)
 
 
 def trends(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns, periods, hot_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], columns, periods
 ) -> DataFrame:
     """Slopes over the newest k rows per key; rows beyond the longest k are not exchanged."""
     rows = top_rows(df, keys, order, max(periods))
@@ -106,7 +100,7 @@ def tail_means(
 
 def tail_mean_columns(names: Mapping[str, str], counts: Iterable[int], rank: str = "rn") -> list[Column]:
     return [
-        stat("mean", F.col(c), F.col(rank) <= n).alias(name.format(n=n))
+        stat("mean", c, f"{rank} <= {n}").alias(name.format(n=n))
         for n in counts
         for c, name in names.items()
     ]

@@ -179,9 +179,26 @@ def ordered(
     return frames
 
 
-def summarise(frames: Sequence[DataFrame], keys: Sequence[str], aggregates: Sequence[Column]) -> DataFrame:
-    """The same per-key aggregates over each frame, united (the frames share no key)."""
-    parts = [f.groupBy(*keys).agg(*aggregates) for f in frames]
+def summarise(
+    frames: Sequence[DataFrame],
+    keys: Sequence[str],
+    aggregates: Sequence[Column],
+    distinct: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """The same per-key aggregates over each frame, united (the frames share no key).
+
+    ``distinct`` (name -> column) adds distinct counts. On ordinary keys, whose rows
+    are bounded, they are taken from a set inside the same aggregate; a plain
+    ``count(DISTINCT)`` would copy every row once per counted column. Hot keys use
+    the distributed form.
+    """
+    sets = [f"size(collect_set(`{c}`))" for c in (distinct or {}).values()]
+    counts = [f"count(DISTINCT `{c}`)" for c in (distinct or {}).values()]
+    parts = []
+    for place, frame in enumerate(frames):
+        texts = sets if place == 0 else counts
+        extra = [F.expr(t).cast("bigint").alias(n) for t, n in zip(texts, distinct or {})]
+        parts.append(frame.groupBy(*keys).agg(*aggregates, *extra))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -215,7 +232,10 @@ def group_percentiles(
     # a hot key may still have few distinct values; slices follow the distinct ones
     upto = running_totals(values, keys, [F.col(column).asc()], {"_upto": F.col("_c")}, hot_rows=limit)
     size = hot.groupBy(*keys).agg(F.count(column).alias("_n"))
-    placed = upto.join(F.broadcast(size), list(keys))
+    if keys:
+        placed = upto.join(F.broadcast(size), list(keys))
+    else:
+        placed = upto.withColumn("_n", F.lit(size.first()["_n"]))
     picks = []
     for i, p in enumerate(probabilities):
         spot = (F.col("_n") - 1) * F.lit(float(p))
@@ -231,4 +251,4 @@ def group_percentiles(
     picked = picked.select(
         *keys, *[between(i, p).alias(n) for i, (p, n) in enumerate(zip(probabilities, names))]
     )
-    return out.unionByName(picked)
+    return out.unionByName(picked) if keys else picked
