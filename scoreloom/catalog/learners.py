@@ -1 +1,291 @@
+"""Learners, components, neighbours and propagation over the given tables.
 
+Tree counts and rounds are smaller here than in the presets; they are parameters
+of the same operators. Rows and texts are always the whole tables.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..models import components, discriminant, learners, neighbors, stack
+from ..operators.clean import split_by_label
+from ..operators.evaluate import roc_auc, stratified_folds
+from ..operators.ordered import first_rows
+from ..operators.scaling import Prepared, prepare
+from ..sources import tables as src
+from . import standin as st
+from .registry import query
+from .standin import table
+from .tables import scratch
+
+ID, LABEL = "SK_ID_CURR", "TARGET"
+
+
+def _data(spark, sf, scaler="norm", log=False) -> Prepared:
+    return prepare(st.Native(spark, sf).documents(), scaler, log)
+
+
+def _learner(name: str, scaler: str = "norm", log: bool = False):
+    def keep(build):
+        @query(name, {ID: "int", "score": "num"})
+        def run(spark, sf):
+            data = _data(spark, sf, scaler, log)
+            made = build(data)
+            return learners.fit_and_score(data, made, "score") if hasattr(made, "fit") else made.toDF(ID, "score")
+
+        return run
+
+    return keep
+
+
+_learner("logistic_regression", log=True)(learners.logistic_regression)
+_learner("sgd_logistic_regression", log=True)(learners.sgd_logistic)
+_learner("decision_tree")(lambda d: learners.decision_tree())
+_learner("random_forest")(lambda d: learners.random_forest(numTrees=20))
+_learner("bagged_trees", "min_max")(lambda d: learners.bagged_trees(d.labelled.count(), numTrees=20))
+_learner("boosted_trees_lightgbm_preset", "none")(lambda d: learners.boosted_trees("lightgbm", maxIter=5))
+_learner("boosted_trees_xgboost_preset", "none")(lambda d: learners.boosted_trees("xgboost", maxIter=5, maxDepth=5))
+_learner("boosted_trees_catboost_preset", "min_max")(lambda d: learners.boosted_trees("catboost", maxIter=5, maxDepth=5))
+_learner("boosted_trees_gradient_preset")(lambda d: learners.boosted_trees("gradient_boosting", maxIter=5, maxDepth=5))
+_learner("ada_boost", "min_max")(lambda d: learners.ada_boost(d, rounds=4, depth=3))
+_learner("multilayer_perceptron", "min_max")(lambda d: learners.perceptron(len(d.features), hidden=(8,), maxIter=50))
+_learner("gaussian_mixture")(learners.gaussian_mixture)
+_learner("linear_svm_on_components", "norm_min_max")(lambda d: learners.linear_svm(components.reduced(d, 4), "score"))
+
+
+# ---------------------------------------------------- discriminants, with SQL
+
+PAIR = ["N_COMMAS", "N_ONES"]
+_MOMENTS = (
+    "SELECT TARGET AS c, count(*) AS n, avg(N_COMMAS) AS mx, avg(N_ONES) AS my, var_pop(N_COMMAS) AS xx, "
+    f"var_pop(N_ONES) AS yy, covar_pop(N_COMMAS, N_ONES) AS xy FROM ({st.DOCUMENTS_SQL}) WHERE TARGET IS NOT NULL GROUP BY 1"
+)
+_BOTH = f"(SELECT * FROM ({_MOMENTS}) WHERE c = 0) a, (SELECT * FROM ({_MOMENTS}) WHERE c = 1) b"
+
+
+def _plain(spark, sf) -> Prepared:
+    return Prepared(st.Native(spark, sf).documents().select(ID, LABEL, *PAIR), PAIR)
+
+
+def _lda_sql(divisor: str) -> str:
+    return f"""
+    SELECT SK_ID_CURR, 1 / (1 + exp(-((N_COMMAS - (m0x + m1x) / 2) * wx + (N_ONES - (m0y + m1y) / 2) * wy + ln(n1 / n0)))) AS score
+    FROM ({st.DOCUMENTS_SQL}), (
+      SELECT *, (syy * (m1x - m0x) - sxy * (m1y - m0y)) / (sxx * syy - sxy * sxy) AS wx,
+             (sxx * (m1y - m0y) - sxy * (m1x - m0x)) / (sxx * syy - sxy * sxy) AS wy
+      FROM (SELECT a.n AS n0, b.n AS n1, a.mx AS m0x, b.mx AS m1x, a.my AS m0y, b.my AS m1y,
+              (a.n * a.xx + b.n * b.xx) / {divisor} AS sxx, (a.n * a.yy + b.n * b.yy) / {divisor} AS syy,
+              (a.n * a.xy + b.n * b.xy) / {divisor} AS sxy FROM {_BOTH}))
+    """
+
+
+@query("linear_discriminant_svd", f"{ID}:int score:flat", _lda_sql("(a.n + b.n - 2)"))
+def _lda_svd(spark, sf):
+    return discriminant.linear_discriminant(_plain(spark, sf), "svd", "score")
+
+
+@query("linear_discriminant_lsqr", f"{ID}:int score:flat", _lda_sql("(a.n + b.n)"))
+def _lda_lsqr(spark, sf):
+    return discriminant.linear_discriminant(_plain(spark, sf), "lsqr", "score")
+
+
+def _half(t: str, c: str) -> str:
+    xx, yy, xy = (f"({t}.{m} * {t}.n / ({t}.n - 1))" for m in ("xx", "yy", "xy"))
+    det = f"({xx} * {yy} - {xy} * {xy})"
+    dx, dy = f"(N_COMMAS - {t}.mx)", f"(N_ONES - {t}.my)"
+    quad = f"({yy} * {dx} * {dx} - 2 * {xy} * {dx} * {dy} + {xx} * {dy} * {dy}) / {det}"
+    return f"(ln({t}.n) - 0.5 * ln({det}) - 0.5 * {quad})"
+
+
+@query("quadratic_discriminant", f"{ID}:int score:flat",
+       f"SELECT SK_ID_CURR, 1 / (1 + exp({_half('a', '0')} - {_half('b', '1')})) AS score FROM ({st.DOCUMENTS_SQL}), {_BOTH}")
+def _qda(spark, sf):
+    return discriminant.quadratic_discriminant(_plain(spark, sf), "score")
+
+
+# ------------------------------------------------------------- components
+
+
+def _vectors(spark, sf) -> Prepared:
+    rows = table(spark, sf, "embeddings")
+    width = rows.agg(F.max(F.size("embedding"))).first()[0]
+    names = [f"x{i}" for i in range(width)]
+    label = "CASE WHEN vec_id % 5 = 0 THEN NULL WHEN label < 5 THEN 1D ELSE 0D END"
+    cells = [f"CAST(embedding[{i}] AS DOUBLE) AS x{i}" for i in range(width)]
+    return Prepared(rows.selectExpr(f"vec_id AS {ID}", f"{label} AS {LABEL}", *cells), names)
+
+
+@query("principal_components", {ID: "int", **{f"pc{i}": "flat" for i in range(1, 7)}})
+def _pca(spark, sf):
+    return components.principal_components(_vectors(spark, sf), 6).scores
+
+
+@query("kernel_components_cosine", f"{ID}:int kernel_pca_cosine1,kernel_pca_cosine2:flat")
+def _kernel(spark, sf):
+    return components.principal_components(_vectors(spark, sf), 2, "kernel_pca_cosine", "cosine").scores
+
+
+# ---------------------------------------------- neighbours and propagation
+
+COUNTS = [2, 4, 8, 16, 32]
+_POINT = "vec_id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y"
+_SHARES = {f"knn_{n}_neighbors": f"avg(y) FILTER (WHERE rn <= {n})" for n in COUNTS}
+
+
+@query("nearest_neighbor_shares", {"vec_id": "int", **{c: "num" for c in _SHARES}},
+       "SELECT vec_id, " + ", ".join(f'{e} AS "{n}"' for n, e in _SHARES.items()) + " FROM (SELECT q.vec_id, p.y, "
+       "row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, p.v), p.vec_id) AS rn "
+       f"FROM (SELECT {_POINT} FROM embeddings) q, (SELECT {_POINT} FROM embeddings WHERE vec_id % 5 <> 0) p) GROUP BY 1")
+def _shares(spark, sf):
+    rows = table(spark, sf, "embeddings").selectExpr("vec_id", "embedding", "CASE WHEN label < 5 THEN 1 ELSE 0 END AS y")
+    return neighbors.neighbor_shares(rows, rows.filter("vec_id % 5 <> 0"), "vec_id", "embedding", "y", COUNTS)
+
+
+@query("approximate_neighbor_pairs", "vec_id,neighbor:int distance:num")
+def _approximate(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    return neighbors.approximate_neighbors(rows, rows.filter("vec_id % 5 <> 0"), "vec_id", "embedding", 0.9, 1.0)
+
+
+ROUNDS = 3
+_GRAPH_SQL = (
+    f"edges AS MATERIALIZED (SELECT i, j FROM (SELECT q.vec_id AS i, p.vec_id AS j, row_number() OVER (PARTITION BY q.vec_id "
+    f"ORDER BY list_distance(q.v, p.v), p.vec_id) AS rn FROM (SELECT {_POINT} FROM embeddings) q, (SELECT {_POINT} FROM embeddings) p) "
+    "WHERE rn <= 7), seeds AS (SELECT vec_id AS i, vec_id % 5 <> 0 AS known, CASE WHEN vec_id % 5 = 0 THEN 0.0 WHEN label < 5 "
+    "THEN 1.0 ELSE 0.0 END AS p1, CASE WHEN vec_id % 5 = 0 THEN 0.0 WHEN label < 5 THEN 0.0 ELSE 1.0 END AS p0 FROM embeddings)"
+)
+
+
+def _propagation_sql() -> str:
+    steps = ["s0 AS (SELECT i, p0, p1 FROM seeds)"]
+    for r in range(1, ROUNDS + 1):
+        steps.append(
+            f"s{r} AS MATERIALIZED (SELECT s.i, CASE WHEN known THEN s.p0 WHEN m0 + m1 > 0 THEN m0 / (m0 + m1) ELSE 0 END AS p0, "
+            "CASE WHEN known THEN s.p1 WHEN m0 + m1 > 0 THEN m1 / (m0 + m1) ELSE 0 END AS p1 FROM seeds s LEFT JOIN "
+            f"(SELECT e.i, avg(p0) AS m0, avg(p1) AS m1 FROM edges e JOIN s{r - 1} t ON e.j = t.i GROUP BY 1) m ON s.i = m.i)"
+        )
+    return f"WITH {_GRAPH_SQL}, {', '.join(steps)} SELECT i AS vec_id, p1 / nullif(p0 + p1, 0) AS score FROM s{ROUNDS}"
+
+
+def _spreading_sql() -> str:
+    steps = [
+        "others AS (SELECT * FROM edges WHERE i <> j)",
+        "deg AS (SELECT j AS k, CAST(count(*) AS DOUBLE) AS d FROM others GROUP BY 1)",
+        "w AS MATERIALIZED (SELECT o.i, o.j, 1 / sqrt(a.d * coalesce(b.d, 1)) AS w FROM others o JOIN deg a ON o.j = a.k "
+        "LEFT JOIN deg b ON o.i = b.k)",
+        "s0 AS (SELECT i, p0, p1 FROM seeds)",
+    ]
+    for r in range(1, ROUNDS + 1):
+        steps.append(
+            f"s{r} AS MATERIALIZED (SELECT s.i, 0.2 * coalesce(m0, 0) + 0.8 * s.p0 AS p0, 0.2 * coalesce(m1, 0) + 0.8 * s.p1 AS p1 "
+            f"FROM seeds s LEFT JOIN (SELECT w.i, sum(w * p0) AS m0, sum(w * p1) AS m1 FROM w JOIN s{r - 1} t ON w.j = t.i GROUP BY 1) m "
+            "ON s.i = m.i)"
+        )
+    return f"WITH {_GRAPH_SQL}, {', '.join(steps)} SELECT i AS vec_id, p1 / nullif(p0 + p1, 0) AS score FROM s{ROUNDS}"
+
+
+def _graph(spark, sf):
+    rows = table(spark, sf, "embeddings")
+    labels = rows.selectExpr("vec_id", "CASE WHEN vec_id % 5 = 0 THEN NULL WHEN label < 5 THEN 1 ELSE 0 END AS y")
+    return neighbors.neighbor_graph(rows, "vec_id", "embedding"), labels
+
+
+@query("label_propagation", "vec_id:int score:flat", _propagation_sql())
+def _propagation(spark, sf):
+    return neighbors.label_propagation(*_graph(spark, sf), "vec_id", "y", rounds=ROUNDS, name="score")
+
+
+@query("label_spreading", "vec_id:int score:flat", _spreading_sql())
+def _spreading(spark, sf):
+    return neighbors.label_spreading(*_graph(spark, sf), "vec_id", "y", rounds=ROUNDS, name="score")
+
+
+# ------------------------------------------------- folds, stack and reports
+
+
+def _crossed(spark, sf):
+    data = _data(spark, sf)
+    labelled, unlabelled = split_by_label(data.frame)
+    learn = learners.learner(learners.random_forest(numTrees=5, maxDepth=5), data.features)
+    return stack.cross_fit(labelled, unlabelled, learn)
+
+
+@query("out_of_fold_prediction", f"{ID},{LABEL},fold:int held_out:num")
+def _held_out(spark, sf):
+    return _crossed(spark, sf).filter(F.col("fold").isNotNull())
+
+
+@query("fold_averaged_prediction", f"{ID},{LABEL}:int average:num")
+def _averaged(spark, sf):
+    return _crossed(spark, sf)
+
+
+@query("fold_and_overall_auc", "part:str auc:num")
+def _aucs(spark, sf):
+    from ..session import cut_lineage
+
+    scored = cut_lineage(_crossed(spark, sf))
+    folds = stack.fold_aucs(scored).selectExpr("concat('fold ', fold) AS part", "auc")
+    return folds.unionByName(roc_auc(scored, LABEL, "held_out").selectExpr("'all' AS part", "auc"))
+
+
+def _fold_importances(spark, sf):
+    data = _data(spark, sf)
+    folded = stratified_folds(data.labelled, ID)
+    forest = learners.random_forest(numTrees=5, maxDepth=5)
+    for i in range(5):
+        model = forest.fit(learners.with_vector(folded.filter(F.col("fold") != i), data.features))
+        yield learners.importances(model, data.features)
+
+
+@query("feature_importance", "feature:str importance:num")
+def _importance(spark, sf):
+    return stack.mean_importance(list(_fold_importances(spark, sf))).limit(30)
+
+
+@query("importance_table_sink", "feature:str importance:num")
+def _importance_sink(spark, sf):
+    ranked = stack.mean_importance(list(_fold_importances(spark, sf)))
+    path = scratch(spark, "importance")
+    src.write_csv_table(first_rows(ranked, ["feature"], [F.desc("importance")]), path)
+    return src.read_csv_table(spark, path, "feature string, importance double")
+
+
+@query("run_parameter_sink", "value:str")
+def _parameters(spark, sf):
+    data = _data(spark, sf)
+    scored = learners.logistic_regression(data, "score").join(data.frame.select(ID, LABEL), ID)
+    auc = roc_auc(scored, LABEL, "score").first()["auc"]
+    path = scratch(spark, "parameters")
+    src.write_parameters(spark, {"regParam": learners.SGD_ALPHA, "rows": data.frame.count()}, path, auc)
+    return spark.read.text(path).select("value")
+
+
+@query("stack_and_blend", f"{ID}:int TARGET:num")
+def _stack_and_blend(spark, sf):
+    data = _data(spark, sf)
+    scores = {
+        "logistic": learners.logistic_regression(data, "logistic"),
+        "forest": learners.fit_and_score(data, learners.random_forest(numTrees=10), "forest"),
+        "tree": learners.fit_and_score(data, learners.decision_tree(), "tree"),
+    }
+    return stack.blend(scores, {"logistic": 0.5, "forest": 0.3, "tree": 0.2})
+
+
+@query("grouped_map_function", "user_id,n:int spread:num",
+       "SELECT user_id, count(*) AS n, max(value) - min(value) AS spread FROM events GROUP BY 1")
+def _grouped_map(spark, sf):
+    from ..functions.user import grouped_map
+
+    def summarise(group):
+        return {"n": len(group), "spread": group["value"].max() - group["value"].min()}
+
+    events = table(spark, sf, "events").select("user_id", "value")
+    return grouped_map(events, "user_id", summarise, "n bigint, spread double")
+
+
+@query("post_processing_hook", "o_orderkey:int doubled:num",
+       "SELECT o_orderkey, o_totalprice * 2 AS doubled FROM orders")
+def _hook(spark, sf):
+    return table(spark, sf, "orders").transform(lambda d: d.withColumn("doubled", F.col("o_totalprice") * 2))

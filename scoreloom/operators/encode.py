@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import BROADCAST_ROWS, broadcast_if
-from .profile import distinct_counts, long_form, string_columns
+from .profile import distinct_counts, distinct_values, string_columns
 from .skew import running_totals
 
 INLINE = 1_000  # categories up to which codes are part of the plan itself
@@ -54,21 +54,16 @@ def label_encode(df: DataFrame, columns: Sequence[str] | None = None, skip: Sequ
 def values_of(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
     """Sorted distinct values of columns already known to have few, typed as in the frame."""
     kinds = dict(df.dtypes)
-    rows = long_form(df, columns).filter(F.col("value").isNotNull()).distinct()
     found: dict[str, list] = {c: [] for c in columns}
-    for r in rows.collect():
-        found[r["column"]].append(_typed(r["value"], kinds[r["column"]]))
+    for r in distinct_values(df, columns).collect():
+        found[r["column"]].append(_typed(r["text"] if r["number"] is None else r["number"], kinds[r["column"]]))
     return {c: sorted(v) for c, v in found.items()}
 
 
-def _typed(text: str, kind: str):
+def _typed(value, kind: str):
     if kind in ("tinyint", "smallint", "int", "bigint"):
-        return int(text)
-    if kind in ("float", "double"):
-        return float(text)
-    if kind == "boolean":
-        return text == "true"
-    return text
+        return int(value)
+    return bool(value) if kind == "boolean" else value
 
 
 def label_encode_few(

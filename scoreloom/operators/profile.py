@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 FEW = 20  # fixed value: most distinct values a categorical column may have
+WIDE = 60  # columns from which a table is profiled cell by cell
 
 
 def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
@@ -38,7 +40,24 @@ def _number(df: DataFrame, c: str):
 
 
 def collect_stats(df: DataFrame, columns: Sequence[str]) -> Stats:
-    """min, max, mean and non-missing count of every column in one aggregate row."""
+    """min, max, mean and non-missing count of every column in one pass.
+
+    A narrow table gets one aggregate per statistic. A wide one is turned into
+    (column, value) cells that are reduced per column before their exchange:
+    thousands of aggregates side by side would not fit into compiled code.
+    """
+    columns = list(columns)
+    if len(columns) > WIDE:
+        rows = df.count()
+        cells = _cells(df, columns, "double")
+        found = {
+            columns[r["place"]]: r
+            for r in cells.groupBy("place")
+            .agg(F.min("value").alias("l"), F.max("value").alias("h"), F.avg("value").alias("m"), F.count("value").alias("n"))
+            .collect()
+        }
+        pick = lambda key, none=None: {c: found[c][key] if c in found else none for c in columns}
+        return Stats(rows, pick("l"), pick("h"), pick("m"), pick("n", 0))
     wanted = []
     for i, c in enumerate(columns):
         v = _number(df, c)
@@ -48,6 +67,23 @@ def collect_stats(df: DataFrame, columns: Sequence[str]) -> Stats:
     return Stats(row["rows"], pick("l"), pick("h"), pick("m"), pick("n"))
 
 
+def _cells(df: DataFrame, columns: Sequence[str], kind: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(keep..., place, value): one row per cell, place = position in ``columns``."""
+    values = ", ".join(f"CAST(`{c}` AS {kind})" for c in columns)
+    return df.selectExpr(*[f"`{k}`" for k in keep], f"posexplode(array({values})) AS (place, value)")
+
+
+# Types whose values a double holds exactly; other columns travel as text.
+_AS_DOUBLE = ("tinyint", "smallint", "int", "float", "double", "boolean")
+
+
+def _by_carrier(df: DataFrame, columns: Sequence[str]) -> list[tuple[str, list[str]]]:
+    kinds = dict(df.dtypes)
+    numbers = [c for c in columns if kinds[c] in _AS_DOUBLE]
+    texts = [c for c in columns if kinds[c] not in _AS_DOUBLE]
+    return [(kind, names) for kind, names in (("double", numbers), ("string", texts)) if names]
+
+
 def distinct_counts(df: DataFrame, columns: Sequence[str], up_to: int | None = None) -> dict[str, int]:
     """Distinct non-missing values per column.
 
@@ -58,29 +94,40 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], up_to: int | None = N
     column is counted exactly.
     """
     columns = list(columns)
-    if not columns:
-        return {}
-    found: dict[str, int] = {}
+    found: dict[str, int] = {c: 0 for c in columns}
     exact = columns
     if up_to is not None:
-        row = df.agg(*[F.approx_count_distinct(f"`{c}`", 0.02).alias(f"c{i}") for i, c in enumerate(columns)]).first()
-        found = {c: max(row[f"c{i}"], up_to + 1) for i, c in enumerate(columns)}
-        exact = [c for i, c in enumerate(columns) if row[f"c{i}"] <= 2 * up_to + 10]
+        exact = []
+        for kind, names in _by_carrier(df, columns):
+            sketch = F.approx_count_distinct("value", 0.02).alias("n")
+            for r in _cells(df, names, kind).groupBy("place").agg(sketch).collect():
+                c = names[r["place"]]
+                found[c] = max(r["n"], up_to + 1)
+                if r["n"] <= 2 * up_to + 10:
+                    exact.append(c)
     if exact:
-        found.update({c: 0 for c in exact})
         found.update({r["column"]: r["n"] for r in distinct_table(df, exact).collect()})
     return found
 
 
-def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
-    """(keep..., column, value as string), one row per cell; nulls stay."""
-    cells = df.select(*keep, *[F.col(f"`{c}`").cast("string").alias(c) for c in columns])
-    return cells.unpivot(list(keep), list(columns), "column", "value")
+def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, number, text): the distinct non-missing values, in the carrier that fits."""
+    parts = []
+    for kind, names in _by_carrier(df, columns):
+        cells = _cells(df, names, kind).filter(F.col("value").isNotNull()).distinct()
+        label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("place") + 1).alias("column")
+        none = F.lit(None)
+        number = F.col("value") if kind == "double" else none.cast("double")
+        text = F.col("value") if kind == "string" else none.cast("string")
+        parts.append(cells.select(label, number.alias("number"), text.alias("text")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def distinct_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    values = long_form(df, columns).filter(F.col("value").isNotNull()).distinct()
-    return values.groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    """(column, n); a column without any value has n = 0."""
+    counted = distinct_values(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(F.broadcast(counted), "column", "left").select("column", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
