@@ -1,0 +1,151 @@
+"""Properties of folds, learners, neighbours and blends."""
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from scoreloom.models import components, discriminant, learners, neighbors, stack
+from scoreloom.operators.evaluate import stratified_folds
+from scoreloom.operators.scaling import Prepared
+
+
+@pytest.fixture(scope="module")
+def data(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(300, 3)) * [1.0, 3.0, 0.5]
+    y = (x[:, 0] + 0.3 * x[:, 1] + rng.normal(size=300) > 0).astype(float)
+    pdf = pd.DataFrame({"SK_ID_CURR": range(300), "TARGET": y, "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]})
+    frame = spark.createDataFrame(pdf).withColumn("TARGET", F.when(F.col("SK_ID_CURR") % 6 > 0, F.col("TARGET")))
+    return pdf, Prepared(frame.persist(), ["a", "b", "c"])
+
+
+def test_folds_are_balanced(spark):
+    df = spark.range(1003).select(F.col("id"), (F.col("id") % 7 == 0).cast("int").alias("y"))
+    counts = stratified_folds(df, "id", "y").groupBy("y", "fold").count().toPandas()
+    spread = counts.groupby("y")["count"].agg(lambda s: s.max() - s.min())
+    assert len(counts) == 10 and (spread <= 1).all()
+
+
+def test_cross_fit_has_no_leak(data):
+    _, prepared = data
+    seen = []
+
+    def learn(rows):
+        ids = {r["SK_ID_CURR"] for r in rows.select("SK_ID_CURR").collect()}
+        seen.append(ids)
+        mine = F.col("SK_ID_CURR").isin(list(ids)).cast("double")
+        return lambda r: r.select("SK_ID_CURR", mine.alias("score"))
+
+    labelled = prepared.labelled
+    unlabelled = prepared.frame.filter("TARGET IS NULL").drop("TARGET")
+    out = stack.cross_fit(labelled, unlabelled, learn).toPandas()
+    assert len(out) == 300 and len(seen) == 5
+    known = out[out["fold"].notna()]
+    assert (known["held_out"] == 0).all() and known["average"].round(9).eq(0.8).all()
+    assert (out[out["fold"].isna()]["average"] == 0).all()
+
+
+@pytest.mark.parametrize(
+    "score",
+    [
+        learners.logistic_regression,
+        learners.sgd_logistic,
+        learners.linear_svm,
+        learners.gaussian_mixture,
+        lambda d, name: learners.ada_boost(d, rounds=3, depth=2, name=name),
+        lambda d, name: learners.fit_and_score(d, learners.decision_tree(minInstancesPerNode=5), name),
+        lambda d, name: learners.fit_and_score(d, learners.random_forest(numTrees=5), name),
+        lambda d, name: learners.fit_and_score(d, learners.bagged_trees(250, sample=100, numTrees=5), name),
+        lambda d, name: learners.fit_and_score(d, learners.boosted_trees("xgboost", maxIter=3), name),
+        lambda d, name: learners.fit_and_score(d, learners.perceptron(3, hidden=(4,), maxIter=20), name),
+        lambda d, name: discriminant.linear_discriminant(d, name=name),
+        lambda d, name: discriminant.quadratic_discriminant(d, name=name),
+    ],
+)
+def test_scores_are_probabilities(data, score):
+    pdf, prepared = data
+    out = score(prepared, name="p").toPandas().set_index("SK_ID_CURR")["p"].sort_index()
+    assert len(out) == 300 and out.between(0, 1).all()
+
+
+def test_discriminants_match_numpy(data):
+    pdf, prepared = data
+    train = pdf[pdf.SK_ID_CURR % 6 > 0]
+    x, y, every = train[list("abc")].to_numpy(), train["TARGET"].to_numpy(), pdf[list("abc")].to_numpy()
+    means = [x[y == c].mean(axis=0) for c in (0, 1)]
+    covs = [np.cov(x[y == c].T) for c in (0, 1)]
+    n = [int((y == c).sum()) for c in (0, 1)]
+    pooled = sum((n[c] - 1) * covs[c] for c in (0, 1)) / (sum(n) - 2)
+
+    def posterior(cov):
+        logs = []
+        for c in (0, 1):
+            away = every - means[c]
+            quad = np.einsum("ij,jk,ik->i", away, np.linalg.inv(cov[c]), away)
+            logs.append(np.log(n[c]) - 0.5 * np.linalg.slogdet(cov[c])[1] - 0.5 * quad)
+        return 1 / (1 + np.exp(logs[0] - logs[1]))
+
+    for frame, cov in (
+        (discriminant.linear_discriminant(prepared, name="p"), [pooled, pooled]),
+        (discriminant.quadratic_discriminant(prepared, name="p"), covs),
+    ):
+        got = frame.toPandas().set_index("SK_ID_CURR").sort_index()["p"].to_numpy()
+        np.testing.assert_allclose(got, posterior(cov), rtol=1e-8)
+
+
+def test_components(data):
+    pdf, prepared = data
+    parts = components.principal_components(prepared, 3)
+    assert parts.explained == sorted(parts.explained, reverse=True) and sum(parts.explained) == pytest.approx(1.0)
+    train = pdf[pdf.SK_ID_CURR % 6 > 0][list("abc")].to_numpy()
+    _, _, axes = np.linalg.svd(train - train.mean(axis=0), full_matrices=False)
+    want = np.abs((pdf[list("abc")].to_numpy() - train.mean(axis=0)) @ axes.T)
+    got = parts.scores.toPandas().set_index("SK_ID_CURR").sort_index().abs().to_numpy()
+    np.testing.assert_allclose(got, want, rtol=1e-6, atol=1e-8)
+    with pytest.raises(ValueError):
+        components.principal_components(prepared, 2, kernel="rbf")
+
+
+def points(spark, n, seed, d=3):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, d)) * rng.choice([0.2, 5.0], size=(n, 1))
+    x[: n // 3] = x[0]  # a third of all points in one place
+    pdf = pd.DataFrame({"id": np.arange(n), "y": rng.integers(0, 2, n), "v": list(x)})
+    return pdf, spark.createDataFrame(pdf[["id", "y"]].assign(v=[r.tolist() for r in x]))
+
+
+@pytest.mark.parametrize("k", [1, 7, 500])
+def test_nearest_is_exact(spark, monkeypatch, k):
+    for name, value in {"SHELL_ROWS": 10, "BLOCK_ROWS": 25, "CHUNK_ROWS": 60}.items():
+        monkeypatch.setattr(neighbors, name, value)
+    qp, q = points(spark, 90, 1)
+    tp, t = points(spark, 200, 2)
+    out = neighbors.nearest(q, t, k, "id", "v", ["y"]).toPandas().sort_values(["id", "rn"])
+    a, b = np.stack(qp.v), np.stack(tp.v)
+    d = np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(-1))
+    for i in range(len(qp)):
+        order = np.lexsort((tp.id.to_numpy(), d[i]))[:k]
+        mine = out[out.id == i]
+        assert mine.neighbor.tolist() == tp.id.to_numpy()[order].tolist()
+        assert mine.y.tolist() == tp.y.to_numpy()[order].tolist()
+
+
+def test_shares_at_full_size_are_the_base_rate(spark):
+    tp, t = points(spark, 60, 4)
+    out = neighbors.neighbor_shares(t, t, "id", "v", "y", [60]).toPandas()
+    assert out["knn_60_neighbors"].round(12).nunique() == 1
+    assert out["knn_60_neighbors"][0] == pytest.approx(tp.y.mean())
+
+
+def test_propagation_keeps_labels_and_reaches_the_rest(spark):
+    edges = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (3, 2)], "id int, neighbor int")
+    labels = spark.createDataFrame([(1, 1), (2, None), (3, None)], "id int, y int")
+    out = {r["id"]: r["p"] for r in neighbors.label_propagation(edges, labels, "id", "y", 6, 2, name="p").collect()}
+    assert out == {1: 1.0, 2: 1.0, 3: 1.0}
+
+
+def test_blend_of_equal_inputs_is_identity(spark):
+    a = spark.createDataFrame([(1, 0.2), (2, 0.8)], "SK_ID_CURR int, a double")
+    out = stack.blend({"a": a, "b": a.withColumnRenamed("a", "b")}, {"a": 0.5, "b": 0.5}).collect()
+    assert {r["SK_ID_CURR"]: r["TARGET"] for r in out} == {1: pytest.approx(0.2), 2: pytest.approx(0.8)}
