@@ -9,6 +9,7 @@ from ..operators import encode, scaling
 from ..operators.binning import edge_bin, equal_width_bin, quantile_bin
 from ..operators.clean import split_by_label
 from ..operators.profile import collect_stats
+from ..session import cut_lineage
 from . import standin as st
 from .registry import query
 from .sqltext import picks
@@ -143,4 +144,4 @@ _PREPARED |= {c: f"ln(dense_rank() OVER (ORDER BY {c}))" for c in ("LANG", "SOUR
 @query("model_preparation", {"SK_ID_CURR": "int", "TARGET": "int", **{c: "flat" for c in _PREPARED}},
        f"SELECT SK_ID_CURR, TARGET, {picks(_PREPARED)} FROM ({st.DOCUMENTS_SQL})")
 def _prepare(spark, sf):
-    return scaling.prepare(st.Native(spark, sf).documents(), "norm", log=True).frame
+    return scaling.prepare(cut_lineage(st.Native(spark, sf).documents()), "norm", log=True).frame

@@ -13,6 +13,7 @@ from ..operators.clean import split_by_label
 from ..operators.evaluate import roc_auc, stratified_folds
 from ..operators.ordered import first_rows
 from ..operators.scaling import Prepared, prepare
+from ..session import cut_lineage
 from ..sources import tables as src
 from . import standin as st
 from .registry import query
@@ -23,7 +24,7 @@ ID, LABEL = "SK_ID_CURR", "TARGET"
 
 
 def _data(spark, sf, scaler="norm", log=False) -> Prepared:
-    return prepare(st.Native(spark, sf).documents(), scaler, log)
+    return prepare(cut_lineage(st.Native(spark, sf).documents()), scaler, log)
 
 
 def _learner(name: str, scaler: str = "norm", log: bool = False):
@@ -223,8 +224,6 @@ def _averaged(spark, sf):
 
 @query("fold_and_overall_auc", "part:str auc:num")
 def _aucs(spark, sf):
-    from ..session import cut_lineage
-
     scored = cut_lineage(_crossed(spark, sf))
     folds = stack.fold_aucs(scored).selectExpr("concat('fold ', fold) AS part", "auc")
     return folds.unionByName(roc_auc(scored, LABEL, "held_out").selectExpr("'all' AS part", "auc"))

@@ -6,13 +6,12 @@ from pyspark.sql import functions as F
 
 from ..models import stack
 from ..operators import evaluate, profile, scorecard
-from ..sources.tables import write_table
+from ..session import cut_lineage
 from . import standin as st
 from .blocks import APP_KINDS, WIDE_KINDS, WIDE_SQL, _stable, native_wide
 from .encoding import NUMBERS, _width_sql
 from .registry import query, shaped, shaped_sql
 from .standin import table
-from .tables import scratch
 
 
 def binned_sql(source: str, numbers, strings) -> str:
@@ -48,7 +47,7 @@ DOCS_BINNED = binned_sql(st.DOCUMENTS_SQL, NUMBERS, STRINGS)
 
 
 def _binned(spark, sf):
-    docs = st.Native(spark, sf).documents()
+    docs = cut_lineage(st.Native(spark, sf).documents())
     bins, sizes = scorecard.bin_columns(docs, [*NUMBERS, *STRINGS])
     return scorecard.with_bins(docs, bins, ["SK_ID_CURR", "TARGET"]), sizes
 
@@ -63,7 +62,7 @@ def _woe(spark, sf):
        "SELECT SK_ID_CURR, " + ", ".join(f"max(woe) FILTER (WHERE b.feature = '{c}') AS \"{c}\"" for c in [*NUMBERS, *STRINGS])
        + f" FROM ({DOCS_BINNED}) b JOIN ({woe_sql(DOCS_BINNED)}) w ON b.feature = w.feature AND b.bin = w.bin GROUP BY 1")
 def _encoding(spark, sf):
-    return scorecard.woe_encode(st.Native(spark, sf).documents())
+    return scorecard.woe_encode(cut_lineage(st.Native(spark, sf).documents()))
 
 
 @query("scores_by_table_prefix", "SK_ID_CURR:int WOE_SCORE_B,WOE_SCORE_CC,WOE_SCORE_TR_TE,WOE_SCORE_ALL_BUT_TR_TE:num",
@@ -74,7 +73,7 @@ def _encoding(spark, sf):
        f"FROM ({DOCS_BINNED}) b JOIN ({woe_sql(DOCS_BINNED)}) w ON b.feature = w.feature AND b.bin = w.bin GROUP BY 1")
 def _scores(spark, sf):
     names = {"N_CHARS": "B_N_CHARS", "N_SPACES": "B_N_SPACES", "N_E": "CC_N_E"}
-    return scorecard.scorecard(st.Native(spark, sf).documents().withColumnsRenamed(names))
+    return scorecard.scorecard(cut_lineage(st.Native(spark, sf).documents().withColumnsRenamed(names)))
 
 
 @query("continuous_or_categorical", "column,kind:str",
@@ -101,9 +100,7 @@ _OF = "regexp_extract(b.feature, '^(B|CC|IP|PA|POS)_', 1)"
        f"FROM bins b JOIN ({woe_sql('SELECT * FROM bins')}) w ON b.feature = w.feature AND b.bin = w.bin GROUP BY 1")
 def _wide_scorecard(spark, sf):
     # The wide table is written once; the scorecard reads it several times.
-    path = scratch(spark, "wide")
-    write_table(shaped(_stable(native_wide(spark, sf)), WIDE_KINDS), path)
-    return scorecard.scorecard(spark.read.parquet(path))
+    return scorecard.scorecard(cut_lineage(shaped(_stable(native_wide(spark, sf)), WIDE_KINDS)))
 
 
 FIXED_SCORE = "CAST((doc_id * 37 + quality * 11) % 101 AS DOUBLE) / 101"

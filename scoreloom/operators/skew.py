@@ -7,10 +7,10 @@ window (one exchange). The few hot keys are range-partitioned by their order
 into slices; each slice is ranked on its own and the small per-slice totals
 carry the running state from slice to slice. Both ways give the same rows.
 
-Sizes: at most ``MAX_HOT_KEYS`` keys are treated as hot (the largest ones); any
-further key still gets the plain, spilling window, so nothing is left out. The
-slice totals have at most (hot keys + slices) rows, which is why they may be
-broadcast.
+Sizes: a hot key has more than ``HOT_ROWS`` rows, so there are few of them; of more
+than ``MAX_HOT_KEYS`` the largest are treated as hot and any further key still gets
+the plain, spilling window, so nothing is left out. The slice totals have at most
+(hot keys + slices) rows, 120,000 in all, which is why they may be broadcast.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut_lineage
 
 HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 1_000
+MAX_HOT_KEYS = 100_000
+MAX_SLICES = 20_000
 _SLICE = "_slice"
 
 
@@ -64,13 +65,13 @@ def split_hot(
 
 
 def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int, limit: int) -> DataFrame:
-    """Rows in (keys, order) ranges of about ``limit / 2`` rows, slice number stored.
+    """Rows in (keys, order) ranges of about ``limit / 2`` rows (more beyond 20,000 slices), slice number stored.
 
     The slice is the range partition a row went to. It is written to the
-    checkpoint folder with the row, so every later reading, also after a lost
+    shared folder with the row, so every later reading, also after a lost
     executor, sees the same slices.
     """
-    parts = max(2, math.ceil(2 * rows / limit))
+    parts = min(MAX_SLICES, max(2, math.ceil(2 * rows / limit)))
     placed = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
     return cut_lineage(placed.withColumn(_SLICE, F.spark_partition_id()))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,9 +25,16 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise to the reliable checkpoint folder; survives lost executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write the rows to a table in the shared folder and go on from there.
+
+    One pass over the input; afterwards a lost executor costs only a re-read, later
+    passes read just the columns they need, and joins know the table's true size.
+    The tables stay until the folder is cleared, like checkpoints do.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/scoreloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
