@@ -65,6 +65,27 @@ def _encoding(spark, sf):
     return scorecard.woe_encode(cut_lineage(st.Native(spark, sf).documents()))
 
 
+_OUT_OF_FOLD_SQL = f"""
+WITH bins AS MATERIALIZED ({DOCS_BINNED}),
+parts AS (SELECT SK_ID_CURR, (row_number() OVER (PARTITION BY TARGET ORDER BY md5(concat_ws('|', CAST(SK_ID_CURR AS VARCHAR), '1')),
+          SK_ID_CURR) - 1) % 5 AS fold FROM (SELECT DISTINCT SK_ID_CURR, TARGET FROM bins WHERE TARGET IS NOT NULL)),
+cells AS (SELECT b.*, coalesce(fold, -1) AS fold FROM bins b LEFT JOIN parts p ON b.SK_ID_CURR = p.SK_ID_CURR),
+shares AS (
+  SELECT f, feature, bin, count(*) FILTER (WHERE TARGET = 0) AS good, count(*) FILTER (WHERE TARGET = 1) AS bad
+  FROM cells, (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS f) WHERE fold <> f OR f = -1 GROUP BY ALL),
+weights AS (
+  SELECT f, feature, bin, CASE WHEN bin = -1 THEN 0 ELSE round(ln(greatest(good / sum(good) OVER (PARTITION BY f, feature), 1e-100)
+    / greatest(bad / sum(bad) OVER (PARTITION BY f, feature), 1e-100)), 5) END AS woe FROM shares)
+SELECT SK_ID_CURR, {", ".join(f"coalesce(max(woe) FILTER (WHERE c.feature = '{c}'), 0) AS \"{c}\"" for c in [*NUMBERS, *STRINGS])}
+FROM cells c LEFT JOIN weights w ON c.feature = w.feature AND c.bin = w.bin AND c.fold = w.f GROUP BY 1
+"""
+
+
+@query("weight_of_evidence_out_of_fold", {"SK_ID_CURR": "int", **{c: "num" for c in [*NUMBERS, *STRINGS]}}, _OUT_OF_FOLD_SQL)
+def _out_of_fold(spark, sf):
+    return scorecard.woe_encode_out_of_fold(cut_lineage(st.Native(spark, sf).documents()))
+
+
 @query("scores_by_table_prefix", "SK_ID_CURR:int WOE_SCORE_B,WOE_SCORE_CC,WOE_SCORE_TR_TE,WOE_SCORE_ALL_BUT_TR_TE:num",
        "SELECT SK_ID_CURR, sum(woe) FILTER (WHERE b.feature IN ('N_CHARS', 'N_SPACES')) AS \"WOE_SCORE_B\", "
        "sum(woe) FILTER (WHERE b.feature = 'N_E') AS \"WOE_SCORE_CC\", "
