@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from ..operators import scorecard as card
 from ..plans import application as app
 from ..plans import bureau, credit_card, installments, pos, previous
 from ..plans.wide import wide_table

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.nulls import finite_frame
 from ..operators import encode, scaling
 from ..operators.binning import edge_bin, equal_width_bin, quantile_bin
-from ..operators.clean import split_by_label
 from ..operators.profile import collect_stats
 from ..session import cut_lineage
 from . import standin as st

@@ -5,7 +5,6 @@ import re
 import duckdb
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from scoreloom.catalog import standin as st
