@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 LIMIT = 8 << 20
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = LIMIT) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = LIMIT) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes in ``column`` (one longer row makes a slice of its own); no row is lost."""
     for batch in batches:
         if batch.num_rows == 0:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, url_filter
+from . import bpe, exact_dedup, packing, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,3 +70,24 @@ FROM t WINDOW w AS (PARTITION BY t)
 def _exact_dedup(spark, sf_dir):
     carry = {"text_sha256": lambda t: F.sha2(t, 256)}
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), "doc_id", "text", carry)
+
+
+@query("op5_simhash_dedup")
+def _simhash(spark, sf_dir):
+    return simhash.near_groups(table(spark, sf_dir, "documents"), "doc_id", "text", width=3, distance=2)
+
+
+@query("op6_best_fit_packing")
+def _packing(spark, sf_dir):
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), 2048, 0)
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "length", 2048)
+
+
+@query("op7_bpe")
+def _bpe(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ids = bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return bpe.decode(ids, "doc_id", path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
