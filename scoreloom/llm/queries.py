@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, packing, simhash, url_filter
+from . import bpe, exact_dedup, fingerprint, language, packing, shards, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,34 @@ def _bpe(spark, sf_dir):
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query("op3_sharding")
+def _sharding(spark, sf_dir):
+    placed = shards.into_shards(table(spark, sf_dir, "documents"), 24, seed=7)
+    text = F.coalesce("text", F.lit(""))
+    return placed.select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query("op2_document_fingerprint")
+def _fingerprint(spark, sf_dir):
+    found = fingerprint.compare_with_next(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return found.select(
+        "doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+    )
+
+
+def held_out(doc_id: str = "doc_id"):
+    """The fifth of the documents that nothing is learned from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 5 == 0
+
+
+@query("op4_language_id")
+def _language(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    model = language.fit(documents, "doc_id", "text", "lang", ~held_out())
+    return language.identify(documents, "doc_id", "text", model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
