@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, fingerprint, language, packing, shards, simhash, url_filter
+from . import bpe, exact_dedup, fingerprint, language, packing, quality, shards, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -122,3 +122,10 @@ def _language(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     model = language.fit(documents, "doc_id", "text", "lang", ~held_out())
     return language.identify(documents, "doc_id", "text", model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_quality_classifier")
+def _quality(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    machine = quality.fit(documents, "doc_id", "text", table(spark, sf_dir, "labels"), "quality", ~held_out())
+    return quality.score(documents, "doc_id", "text", machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")
