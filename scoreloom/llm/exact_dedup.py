@@ -116,3 +116,19 @@ def exact_groups(
         F.coalesce(F.col("first.row") == F.col("row"), F.lit(True)).alias("kept"),
         *[F.col(f"carry_{name}").alias(name) for name in carry],
     )
+
+
+def deduplicated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``df`` that stay, all columns as they were; rows are found again by id and a digest of their text."""
+    mark = F.xxhash64(normalised(F.col(text_col)))
+    groups = exact_groups(df, id_col, text_col, {"mark": F.xxhash64}).withColumnRenamed(id_col, "dedup_id")
+    keys = groups.groupBy("dedup_id", "mark").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    gone = cut_lineage(keys.filter("NOT stays OR n > 1"))
+    same = lambda rows, keys: rows["dedup_row_id"].eqNullSafe(keys["dedup_id"]) & (rows["dedup_row_mark"] == keys["mark"])
+    rows = df.withColumns({"dedup_row_id": F.col(id_col), "dedup_row_mark": mark})
+    out = rows.join(gone, same(rows, gone), "left_anti").select(*df.columns)
+    again = gone.filter("stays")  # rows that repeat both id and text: one of them stays
+    if again.isEmpty():
+        return out
+    once = rows.join(again, same(rows, again), "left_semi").dropDuplicates(["dedup_row_id", "dedup_row_mark"])
+    return out.unionByName(once.select(*df.columns))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, fingerprint, language, packing, quality, shards, simhash, url_filter
+from . import bpe, exact_dedup, fingerprint, language, packing, pii, quality, shards, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -129,3 +129,12 @@ def _quality(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     machine = quality.fit(documents, "doc_id", "text", table(spark, sf_dir, "labels"), "quality", ~held_out())
     return quality.score(documents, "doc_id", "text", machine).select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+@query("op8_pii")
+def _pii(spark, sf_dir):
+    found = pii.extract(table(spark, sf_dir, "documents"), "doc_id", "text")
+    kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{pii.KINDS[k]}")
+    return found.select(
+        "doc_id", *[kind(k) for k in range(4)], F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"), pii.named(F.col("spans")).alias("spans")
+    )

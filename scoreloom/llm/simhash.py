@@ -137,3 +137,17 @@ def near_groups(df: DataFrame, id_col: str, text_col: str, width: int = 3, dista
     return documents.join(component, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def near_deduplicated(df: DataFrame, id_col: str, text_col: str, width: int = 3, distance: int = 2) -> DataFrame:
+    """The rows of ``df`` of one document of each component, the smallest id, all columns as they were.
+
+    A document is an id with a text: rows that repeat both count as one and stay together.
+    """
+    mark = F.xxhash64(F.coalesce(text_col, F.lit("")))
+    keyed = df.select(F.struct(F.col(id_col).alias("near_id"), mark.alias("near_mark")).alias("key"), F.col(text_col).alias("near_text"))
+    groups = near_groups(keyed, "key", "near_text", width, distance)
+    gone = cut_lineage(groups.filter("key <> component_id").select("key.*").distinct())
+    rows = df.withColumns({"near_row_id": F.col(id_col), "near_row_mark": mark})
+    same = rows["near_row_id"].eqNullSafe(gone["near_id"]) & (rows["near_row_mark"] == gone["near_mark"])
+    return rows.join(gone, same, "left_anti").select(*df.columns)
