@@ -14,8 +14,8 @@ Scale: the neighbour of a document is found without a global sort in one task: i
 exchanged once by range and sorted there, and the first row of each range also goes to the range before it.
 
 Defined cases: null counts as empty; an empty text has an empty fingerprint, like only to another empty one (1); texts
-under ``SHORT`` code points hold too few windows to choose from, so all their ``SHORT_WINDOW``-byte windows are features
-(a text shorter than that is one); ids are integers, null ids come first and equal ids are ordered by text;
+under ``SHORT`` code points hold too few windows to choose from, and some long ones only weak windows: all their
+``SHORT_WINDOW``-byte windows are features (a text shorter than that is one); ids are integers, null ids come first and equal ids are ordered by text;
 after the last document comes the first; further columns of the input are left out.
 """
 
@@ -110,13 +110,15 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 
 
 def short_features(raw: bytes) -> np.ndarray:
-    if len(raw) < SHORT_WINDOW:
-        raw = raw.ljust(SHORT_WINDOW, b"\0") if raw else raw
-    data = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    if not len(data):
-        return data
-    view = np.lib.stride_tricks.sliding_window_view(data, SHORT_WINDOW)
-    return _mixed((view * _POWERS[:SHORT_WINDOW]).sum(axis=1, dtype=np.uint64))
+    """Hashes of all short windows, each once, by their first place."""
+    if 0 < len(raw) < SHORT_WINDOW:
+        raw = raw.ljust(SHORT_WINDOW, b"\0")
+    found = [np.zeros(0, np.uint64)]
+    for start in range(0, len(raw) - SHORT_WINDOW + 1, 1 << 16):
+        data = np.frombuffer(raw[start : start + (1 << 16) + SHORT_WINDOW - 1], np.uint8).astype(np.uint64)
+        own = _mixed((np.lib.stride_tricks.sliding_window_view(data, SHORT_WINDOW) * _POWERS[:SHORT_WINDOW]).sum(axis=1, dtype=np.uint64))
+        found.append(own[np.sort(np.unique(own, return_index=True)[1])])
+    return np.concatenate(found)
 
 
 def features(batch: list[str], ranks: np.ndarray) -> list[np.ndarray]:
@@ -143,7 +145,9 @@ def features(batch: list[str], ranks: np.ndarray) -> list[np.ndarray]:
     cuts = [*np.searchsorted(at, starts).tolist(), len(hashes)]
     found = []
     for i, text in enumerate(batch):
-        own = hashes[cuts[i] : cuts[i + 1]] if len(text) >= SHORT else short_features(encoded[i])
+        own = hashes[cuts[i] : cuts[i + 1]]
+        if not len(own):
+            own = short_features(encoded[i])
         _, first = np.unique(own, return_index=True)
         found.append(own[np.sort(first)])
     return found
