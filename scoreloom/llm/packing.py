@@ -16,7 +16,9 @@ gives no sequences; further columns of the input are left out.
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -30,13 +32,15 @@ from .batches import by_bytes, texts
 SIZE = 2048
 GROUP_ITEMS = 8192
 FAN_IN = 8
-BESIDE = re.compile(r" \s|\s ")
+BESIDE = re.compile(r"\s\s")
+TAIL = re.compile(r"( ?[^\W_]+)([.,;:!?|&$%#*]+)")
 WORD_START = re.compile(r"(?<=\S)(?= \S)")
 
 
 class Tokens:
-    """Ids of whole texts. A text is cut before single spaces, where byte-level splitting starts a new token
-    whatever comes before, and the ids of such parts are remembered in a memory of bounded size."""
+    """Ids of whole texts. Byte-level splitting starts a new token before a single space and around a single
+    line end, whatever stands beside them, so texts are cut there and the ids of the parts remembered, in two
+    memories of bounded size: when the newer is full it becomes the older one, and what is used again moves over."""
 
     def __init__(self, path: str, memory: int = 500_000):
         import os
@@ -47,25 +51,45 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.memory, self.known = memory, {}
+        self.memory, self.known, self.older = memory, {}, {}
 
     def parts(self, text: str) -> list[str]:
-        if BESIDE.search(text):
+        if "\0" in text or BESIDE.search(text):
             return WORD_START.split(text)
-        first, *others = text.split(" ")
-        return [first, *[" " + part for part in others]]
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def learn(self, parts: list[str]) -> None:
+        """Remember the ids of parts that the newer memory lacks."""
+        known, older = self.known, self.older
+        joined, new = [], {}
+        for part in parts:
+            if (ids := older.get(part)) is not None:
+                known[part] = ids
+            elif halves := TAIL.fullmatch(part):  # between a letter or number and a mark a new token starts, too
+                joined.append((part, *halves.groups()))
+                new |= {half: None for half in halves.groups() if half not in known}
+            else:
+                new[part] = None
+        new = list(new)
+        for part, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            ids = found.ids
+            known[part] = struct.pack(f"<{len(ids)}I", *ids)
+        for part, word, tail in joined:
+            known[part] = known[word] + known[tail]
 
     def ids(self, batch: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.parts(text) for text in batch]
-        new = list({part for parts in cut for part in parts if part not in self.known})
-        if len(self.known) + len(new) > self.memory:
-            self.known = {}
-            new = list({part for parts in cut for part in parts})
-        for part, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[part] = np.array(found.ids, "<u4").tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, parts)) for parts in cut]
+        if len(self.known) > self.memory:
+            self.known, self.older = {}, self.known
+        cut = list(map(self.parts, batch))
+        every = list(chain.from_iterable(cut))
+        found = list(map(self.known.get, every))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        self.learn(list(dict.fromkeys([every[i] for i in lacking])))
+        for i in lacking:
+            found[i] = self.known[every[i]]
+        ends = accumulate(map(len, cut), initial=0)
+        return [b"".join(found[a:b]) for a, b in pairwise(ends)]
 
 
 @lru_cache(maxsize=2)
