@@ -98,7 +98,7 @@ _COUNTS = {
 @query("value_counts_as_columns", {"SK_ID_CURR": "int", **{c: "int" for c in _COUNTS}},
        f"SELECT SK_ID_CURR, {picks(_COUNTS)} FROM ({st.POS_SQL}) GROUP BY SK_ID_CURR")
 def _counts(spark, sf):
-    return agg.value_counts(st.Native(spark, sf).pos(), ["SK_ID_CURR"], "NAME_CONTRACT_STATUS")
+    return agg.value_counts(st.Native(spark, sf).pos(), ["SK_ID_CURR"], "NAME_CONTRACT_STATUS", st.POS_STATUSES)
 
 
 @query("half_even_smoothed_ratio", "SK_ID_CURR:int ratio:num",

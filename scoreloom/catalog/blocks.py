@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..operators.ordered import SMALLEST_DIVISOR, UNSTABLE
 from ..plans import application as app
 from ..plans import bureau, credit_card, installments, pos, previous
 from ..plans.wide import wide_table
@@ -196,8 +199,6 @@ FROM ({IP_PREPARED_SQL}) WINDOW w AS (PARTITION BY {KEY} ORDER BY {IP_ORDER})
 
 # A ratio of two standardised values has no stable digits where the divisor is 0 up to
 # rounding (a symmetric group); both sides show a missing value there.
-UNSTABLE = ("skew", "kurt")
-SMALLEST_DIVISOR = 1e-9
 
 
 def _installments_sql(all_history: bool = False) -> tuple[str, list[str]]:
@@ -221,7 +222,7 @@ def _installments_sql(all_history: bool = False) -> tuple[str, list[str]]:
         for s in stats:
             a, b = f'"last_{short}_{c}_{s}"', f'"last_{long}_{c}_{s}"'
             fractions[f"last_{short}by{long}_fraction_{c}_{s}"] = (
-                f"CASE WHEN {b} = 0 AND {a} IS NOT NULL THEN 0.0 ELSE CAST({a} AS DOUBLE) / nullif({b}, 0) END"
+                f"CASE WHEN {b} = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / nullif({b}, 0) END"
             )
             if s in UNSTABLE:
                 name = f"last_{short}by{long}_fraction_{c}_{s}"
@@ -238,23 +239,13 @@ IP_ALL_SQL, IP_ALL_COLUMNS = _installments_sql(all_history=True)
 @query("installment_features", typed(IP_COLUMNS), IP_SQL)
 def _installments(spark, sf):
     rows = st.Native(spark, sf).installments()
-    return _stable(installments.installment_features(rows, ties=st.INSTALLMENT_TIES))
-
-
-def _stable(df):
-    short, long = installments.FRACTIONS[-1]
-    guarded = {}
-    for c, stats in installments.BUNDLES.items():
-        for s in (s for s in stats if s in UNSTABLE):
-            name, divisor = f"IP_last_{short}by{long}_fraction_{c}_{s}", f"IP_last_{long}_{c}_{s}"
-            guarded[name] = f"CASE WHEN abs(`{divisor}`) >= {SMALLEST_DIVISOR} THEN `{name}` END AS `{name}`"
-    return df.selectExpr(*[guarded.get(c, f"`{c}`") for c in df.columns])
+    return installments.installment_features(rows, ties=st.INSTALLMENT_TIES)
 
 
 @query("installment_features_all_history", typed(IP_ALL_COLUMNS), IP_ALL_SQL)
 def _installments_all(spark, sf):
     rows = st.Native(spark, sf).installments()
-    return _stable(installments.installment_features(rows, ties=st.INSTALLMENT_TIES, all_history=True))
+    return installments.installment_features(rows, ties=st.INSTALLMENT_TIES, all_history=True)
 
 
 # ------------------------------------------------------ previous applications
@@ -330,13 +321,13 @@ POS_FEATURES_SQL, POS_COLUMNS = _pos_sql()
 
 @query("pos_cash_features", typed(POS_COLUMNS), POS_FEATURES_SQL)
 def _pos(spark, sf):
-    return pos.pos_features(st.Native(spark, sf).pos(), ties=["event_id"])
+    return pos.pos_features(st.Native(spark, sf).pos(), ties=["event_id"], statuses=st.POS_STATUSES)
 
 
 # ----------------------------------------------------------------- wide table
 
 
-def native_wide(spark, sf):
+def native_wide(spark, sf, **changes):
     t = st.Native(spark, sf)
     train, test = t.applications()
     return wide_table(
@@ -346,6 +337,7 @@ def native_wide(spark, sf):
             "installments": {"ties": st.INSTALLMENT_TIES},
             "pos": {"ties": ["event_id"], "statuses": st.POS_STATUSES},
         },
+        **changes,
     )
 
 
@@ -358,4 +350,9 @@ WIDE_SQL = (
 
 @query("wide_table", WIDE_KINDS, WIDE_SQL)
 def _wide(spark, sf):
-    return _stable(native_wide(spark, sf))
+    return native_wide(spark, sf)
+
+
+@query("post_processing_hook", f"{KEY}:int doubled:num", f"SELECT {KEY}, AMT_CREDIT * 2 AS doubled FROM ({APP_SQL})")
+def _hook(spark, sf):
+    return native_wide(spark, sf, post_process=lambda d: d.select(KEY, (F.col("AMT_CREDIT") * 2).alias("doubled")))

@@ -93,7 +93,7 @@ def _arithmetic(spark, sf):
 
 @query("division_rules", "SK_ID_PREV:int plain,safe:num",
        "SELECT SK_ID_PREV, AMT_DOWN_PAYMENT / nullif(AMT_CREDIT, 0) AS plain, "
-       "CASE WHEN AMT_DOWN_PAYMENT IS NOT NULL AND AMT_CREDIT = 0 THEN 0 ELSE AMT_DOWN_PAYMENT / nullif(AMT_CREDIT, 0) END AS safe "
+       "CASE WHEN AMT_CREDIT = 0 THEN 0 ELSE AMT_DOWN_PAYMENT / nullif(AMT_CREDIT, 0) END AS safe "
        f"FROM ({st.PREVIOUS_SQL})")
 def _division(spark, sf):
     a, b = F.col("AMT_DOWN_PAYMENT"), F.col("AMT_CREDIT")
@@ -126,10 +126,10 @@ def _prefix(spark, sf):
 
 @query("columns_by_pattern", "SK_ID_CURR,documents:int",
        "SELECT SK_ID_CURR, " + " + ".join(f"FLAG_DOCUMENT_{i}" for i in range(2, 22))
-       + f" AS documents FROM ({st.APPLICATION_SQL}) WHERE TARGET IS NOT NULL")
+       + f" AS documents FROM ({st.APPLICATION_SQL})")
 def _pattern(spark, sf):
-    train, _ = st.Native(spark, sf).applications()
-    return train.select("SK_ID_CURR", rowstats.row_sum(matching(train, "FLAG_DOC")).alias("documents"))
+    clients = stack(*st.Native(spark, sf).applications())
+    return clients.select("SK_ID_CURR", rowstats.row_sum(matching(clients, "FLAG_DOC")).alias("documents"))
 
 
 @query("feature_column_list", "SK_ID_CURR:int TOTAL:num",
@@ -148,15 +148,15 @@ def _tidy(spark, sf):
     )
 
 
-@query("drop_incomplete_columns", "SK_ID_CURR:int kept:str",
-       "SELECT SK_ID_CURR, 'CNT_CHILDREN' AS kept FROM (SELECT * FROM "
-       f"({st.APPLICATION_SQL})) WHERE (SELECT count(*) - count(EXT_SOURCE_1) FROM ({st.APPLICATION_SQL})) > 0 "
+@query("drop_incomplete_columns", "SK_ID_CURR,TARGET,CNT_CHILDREN:int kept:str",
+       "SELECT SK_ID_CURR, TARGET, CNT_CHILDREN, 'SK_ID_CURR,TARGET,CNT_CHILDREN' AS kept FROM "
+       f"({st.APPLICATION_SQL}) WHERE (SELECT count(*) - count(EXT_SOURCE_1) FROM ({st.APPLICATION_SQL})) > 0 "
        f"AND (SELECT count(*) - count(CNT_CHILDREN) FROM ({st.APPLICATION_SQL})) = 0")
 def _incomplete(spark, sf):
     rows = stack(*st.Native(spark, sf).applications())
     rows = rows.select("SK_ID_CURR", "TARGET", "EXT_SOURCE_1", "CNT_CHILDREN", "OWN_CAR_AGE")
-    kept = [c for c in clean.drop_incomplete(rows).columns if c not in ("SK_ID_CURR", "TARGET")]
-    return rows.select("SK_ID_CURR", F.lit(",".join(kept)).alias("kept"))
+    kept = clean.drop_incomplete(rows)
+    return kept.withColumn("kept", F.lit(",".join(kept.columns)))
 
 
 @query("lossless_narrowing", "column,type:str",
@@ -246,7 +246,7 @@ def _scored(spark, sf):
 
 
 @query("bind_columns_by_id", "doc_id,n_chars,quality:int lang:str",
-       "SELECT d.doc_id, n_chars, lang, quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id")
+       "SELECT d.doc_id, n_chars, lang, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 def _bind(spark, sf):
     docs = table(spark, sf, "documents")
     return bind_by_id([docs.select("doc_id", "n_chars"), docs.select("doc_id", "lang"), table(spark, sf, "labels")], "doc_id")

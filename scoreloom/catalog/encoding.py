@@ -139,7 +139,10 @@ _PREPARED = {c: f"ln(1 + ({c} - avg({c}) OVER ()) / (max({c}) OVER () - min({c})
 _PREPARED |= {c: f"ln(dense_rank() OVER (ORDER BY {c}))" for c in ("LANG", "SOURCE")}
 
 
-@query("model_preparation", {"SK_ID_CURR": "int", "TARGET": "int", **{c: "flat" for c in _PREPARED}},
-       f"SELECT SK_ID_CURR, TARGET, {picks(_PREPARED)} FROM ({st.DOCUMENTS_SQL})")
+# a text column with missing values gets the code -1, whose logarithm is infinite, so it is dropped
+@query("model_preparation", {"SK_ID_CURR": "int", "TARGET": "int", **{c: "flat" for c in _PREPARED}, "features": "str"},
+       f"SELECT SK_ID_CURR, TARGET, {picks(_PREPARED)}, '{','.join(sorted(_PREPARED))}' AS features FROM ({st.DOCUMENTS_SQL})")
 def _prepare(spark, sf):
-    return scaling.prepare(cut_lineage(st.Native(spark, sf).documents()), "norm", log=True).frame
+    documents = st.Native(spark, sf).documents().withColumn("LANG_KNOWN", F.expr("nullif(LANG, 'de')"))
+    data = scaling.prepare(cut_lineage(documents), "norm", log=True)
+    return data.frame.withColumn("features", F.lit(",".join(sorted(data.features))))

@@ -50,9 +50,8 @@ _learner("boosted_trees_xgboost_preset", "none")(lambda d: learners.boosted_tree
 _learner("boosted_trees_catboost_preset", "min_max")(lambda d: learners.boosted_trees("catboost", maxIter=5, maxDepth=5))
 _learner("boosted_trees_gradient_preset")(lambda d: learners.boosted_trees("gradient_boosting", maxIter=5, maxDepth=5))
 _learner("ada_boost", "min_max")(lambda d: learners.ada_boost(d, rounds=4, depth=3))
-_learner("multilayer_perceptron", "min_max")(lambda d: learners.perceptron(len(d.features), hidden=(8,), maxIter=50))
+_learner("multilayer_perceptron", "min_max")(lambda d: learners.perceptron(len(d.features)))
 _learner("gaussian_mixture")(learners.gaussian_mixture)
-_learner("linear_svm_on_components", "norm_min_max")(lambda d: learners.linear_svm(components.reduced(d, 4), "score"))
 
 
 # ---------------------------------------------------- discriminants, with SQL
@@ -117,9 +116,14 @@ def _vectors(spark, sf) -> Prepared:
     return Prepared(rows.selectExpr(f"vec_id AS {ID}", f"{label} AS {LABEL}", *cells), names)
 
 
-@query("principal_components", {ID: "int", **{f"pc{i}": "flat" for i in range(1, 7)}})
+@query("principal_components", {ID: "int", **{f"pc{i}": "flat" for i in range(1, 21)}})
 def _pca(spark, sf):
-    return components.principal_components(_vectors(spark, sf), 6).scores
+    return components.principal_components(_vectors(spark, sf), 20).scores
+
+
+@query("linear_svm_on_components", {ID: "int", "score": "num"})
+def _svm(spark, sf):
+    return learners.linear_svm(components.reduced(_vectors(spark, sf), 20), "score")
 
 
 @query("kernel_components_cosine", f"{ID}:int kernel_pca_cosine1,kernel_pca_cosine2:flat")
@@ -129,7 +133,7 @@ def _kernel(spark, sf):
 
 # ---------------------------------------------- neighbours and propagation
 
-COUNTS = [2, 4, 8, 16, 32]
+COUNTS = neighbors.NEIGHBOR_COUNTS
 _POINT = "vec_id, CAST(embedding AS DOUBLE[]) AS v, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y"
 _SHARES = {f"knn_{n}_neighbors": f"avg(y) FILTER (WHERE rn <= {n})" for n in COUNTS}
 
@@ -277,14 +281,9 @@ def _stack_and_blend(spark, sf):
 def _grouped_map(spark, sf):
     from ..functions.user import grouped_map
 
-    def summarise(group):
-        return {"n": len(group), "spread": group["value"].max() - group["value"].min()}
+    def summarise(frames):
+        parts = [(len(f), f["value"].min(), f["value"].max()) for f in frames]
+        return {"n": sum(p[0] for p in parts), "spread": max(p[2] for p in parts) - min(p[1] for p in parts)}
 
     events = table(spark, sf, "events").select("user_id", "value")
     return grouped_map(events, "user_id", summarise, "n bigint, spread double")
-
-
-@query("post_processing_hook", "o_orderkey:int doubled:num",
-       "SELECT o_orderkey, o_totalprice * 2 AS doubled FROM orders")
-def _hook(spark, sf):
-    return table(spark, sf, "orders").transform(lambda d: d.withColumn("doubled", F.col("o_totalprice") * 2))

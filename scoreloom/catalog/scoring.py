@@ -8,7 +8,7 @@ from ..models import stack
 from ..operators import evaluate, profile, scorecard
 from ..session import cut_lineage
 from . import standin as st
-from .blocks import APP_KINDS, WIDE_KINDS, WIDE_SQL, _stable, native_wide
+from .blocks import APP_KINDS, WIDE_KINDS, WIDE_SQL, native_wide
 from .encoding import NUMBERS, _width_sql
 from .registry import query, shaped, shaped_sql
 from .standin import table
@@ -121,7 +121,7 @@ _OF = "regexp_extract(b.feature, '^(B|CC|IP|PA|POS)_', 1)"
        f"FROM bins b JOIN ({woe_sql('SELECT * FROM bins')}) w ON b.feature = w.feature AND b.bin = w.bin GROUP BY 1")
 def _wide_scorecard(spark, sf):
     # The wide table is written once; the scorecard reads it several times.
-    return scorecard.scorecard(cut_lineage(shaped(_stable(native_wide(spark, sf)), WIDE_KINDS)))
+    return scorecard.scorecard(cut_lineage(shaped(native_wide(spark, sf), WIDE_KINDS)))
 
 
 FIXED_SCORE = "CAST((doc_id * 37 + quality * 11) % 101 AS DOUBLE) / 101"

@@ -55,8 +55,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def safe_div_sql(a: str, b: str) -> str:
-    """a / b as SQL text, but a zero divisor gives 0.0; missing stays missing."""
-    return f"CASE WHEN {a} IS NOT NULL AND {b} = 0 THEN 0D ELSE try_divide(cast({a} AS DOUBLE), cast({b} AS DOUBLE)) END"
+    """a / b as SQL text, but a zero divisor gives 0.0, also for a missing a; otherwise missing stays missing."""
+    return f"CASE WHEN {b} = 0 THEN 0D ELSE try_divide(cast({a} AS DOUBLE), cast({b} AS DOUBLE)) END"
 
 
 def safe_div(a: str, b: str) -> Column:

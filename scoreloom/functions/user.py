@@ -1,32 +1,43 @@
 """The open surface for user functions over groups.
 
 Nothing in this package uses it: the feature blocks are plain aggregates. A user
-function gets one whole group in memory, so it is meant for groups of ordinary size;
-``largest`` turns a larger group into a clear error instead of a lost executor.
+function gets its group as an iterator of frames, so a group of any size passes
+through one task in bounded memory.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from ..operators.skew import split_hot
 
+def _segments(batches: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[object, pd.DataFrame]]:
+    """Runs of equal keys of each batch; the rows come sorted by key."""
+    for batch in batches:
+        keys = batch[key]
+        run = ((keys != keys.shift()) & ~(keys.isna() & keys.shift().isna())).cumsum()
+        for _, rows in batch.groupby(run, sort=False):
+            value = rows[key].iloc[0]
+            yield None if pd.isna(value) else value, rows
 
-def grouped_map(
-    df: DataFrame, key: str, function: Callable[[pd.DataFrame], Mapping], schema: str, largest: int | None = None
-) -> DataFrame:
-    """Apply ``function`` (group -> {name: value}) per key; one output row per key."""
-    _, hot, rows = split_hot(df, [key], largest)
-    if hot is not None:
-        raise ValueError(f"groups of {key} with {rows} rows are too large for a grouped function; use an aggregate")
+
+def grouped_map(df: DataFrame, key: str, function: Callable[[Iterator[pd.DataFrame]], Mapping], schema: str) -> DataFrame:
+    """Apply ``function`` (frames of one group -> {name: value}) per key; one output row per key.
+
+    Rows are exchanged and sorted by key; the order inside a group is not defined.
+    """
     names = [part.strip().split()[0] for part in schema.split(",")]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        found = function(group)
-        return pd.DataFrame({key: [group[key].iloc[0]], **{n: [found.get(n)] for n in names}})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for value, segments in groupby(_segments(batches, key), lambda s: s[0]):
+            frames = (rows for _, rows in segments)
+            found = function(frames)
+            for _ in frames:  # what the function has not read
+                pass
+            yield pd.DataFrame({key: [value], **{n: [found.get(n)] for n in names}})
 
     kind = dict(df.dtypes)[key]
-    return df.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
+    return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, f"{key} {kind}, {schema}")

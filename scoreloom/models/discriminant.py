@@ -1,8 +1,9 @@
 """Linear and quadratic discriminant posteriors from class moments.
 
 Every partition reduces its rows to class counts, sums and cross products (a
-d x d block per class, whatever the row count); these blocks are added up by an
-aggregate and only the totals reach the driver.
+d x d block per class, whatever the row count). The blocks are added up in two streamed
+steps and one of each class reaches the driver. Rows are scored as matrix products, so
+the width only costs arithmetic.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators.profile import collect_stats
 from ..operators.scaling import Prepared
 
+MERGE_TASKS = 32
+
 
 def class_moments(data: Prepared) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
     """{class: (rows, mean, sum of centred cross products)} over the labelled rows."""
@@ -33,19 +36,21 @@ def class_moments(data: Prepared) -> dict[int, tuple[int, np.ndarray, np.ndarray
                 rows = x[y == c]
                 part = np.concatenate([[len(rows)], rows.sum(axis=0), (rows.T @ rows).ravel()])
                 total[c] = total.get(c, 0.0) + part
-        for c, values in total.items():
-            yield pd.DataFrame({"cls": c, "values": [values.tolist()]})
-
-    sums = (
-        labelled.mapInPandas(blocks, "cls int, values array<double>")
-        .select("cls", F.posexplode("values").alias("place", "value"))
-        .groupBy("cls", "place")
-        .agg(F.sum("value").alias("value"))
-        .collect()
-    )
+        yield _frame(total)
+
+    def added(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for pdf in parts:
+            for c, values in zip(pdf["cls"], pdf["block"]):
+                total[c] = total.get(c, 0.0) + np.frombuffer(values)
+        yield _frame(total)
+
+    # blocks are streamed and added on the way: many tasks to a few, those to one, and one block of each class to the driver
+    kind = "cls int, block binary"
+    partials = labelled.mapInPandas(blocks, kind).repartition(MERGE_TASKS).mapInPandas(added, kind)
     flat = {c: np.zeros(1 + d + d * d) for c in (0, 1)}
-    for r in sums:
-        flat[r["cls"]][r["place"]] = r["value"]
+    for r in partials.coalesce(1).mapInPandas(added, kind).collect():
+        flat[r["cls"]] = np.frombuffer(r["block"])
     out = {}
     for c, v in flat.items():
         n = int(v[0])
@@ -54,17 +59,22 @@ def class_moments(data: Prepared) -> dict[int, tuple[int, np.ndarray, np.ndarray
     return out
 
 
-def _polynomial(names, constant: float, linear, square=None) -> str:
-    """constant + linear . x (+ x' square x) as SQL text."""
-    terms = [f"{float(constant)!r}D"] + [f"{float(b)!r}D * `{c}`" for b, c in zip(linear, names)]
-    if square is not None:
-        for i, a in enumerate(names):
-            terms += [f"{float(square[i][j])!r}D * `{a}` * `{b}`" for j, b in enumerate(names)]
-    return " + ".join(f"({t})" for t in terms)
+def _frame(total: dict[int, np.ndarray]) -> pd.DataFrame:
+    return pd.DataFrame({"cls": list(total), "block": [v.tobytes() for v in total.values()]})
 
 
-def _posterior(log_odds: str) -> str:
-    return f"1D / (1D + exp(-({log_odds})))"
+def _scored(data: Prepared, name: str, log_odds) -> DataFrame:
+    """``log_odds`` maps a block of rows to one number each."""
+    kept = data.frame.select(data.id, *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(data.features)])
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            odds = log_odds(pdf.iloc[:, 1:].to_numpy(dtype=float))
+            yield pd.DataFrame({data_id: pdf.iloc[:, 0], name: 1 / (1 + np.exp(-np.clip(odds, -700, 700)))})
+
+    data_id = data.id
+    kind = dict(data.frame.dtypes)[data.id]
+    return kept.mapInPandas(run, f"`{data.id}` {kind}, `{name}` double")
 
 
 def linear_discriminant(data: Prepared, solver: str = "svd", name: str | None = None) -> DataFrame:
@@ -76,26 +86,24 @@ def linear_discriminant(data: Prepared, solver: str = "svd", name: str | None =
     n = n0 + n1
     pooled = (s0 + s1) / (n - 2 if solver == "svd" else n)
     weights = np.linalg.pinv(pooled) @ (m1 - m0)
-    offset = -0.5 * (m0 + m1) @ weights + np.log(n1 / n0)
-    name = name or f"linear_discriminant_analysis_{solver}_solver"
-    return data.frame.selectExpr(data.id, f"{_posterior(_polynomial(data.features, offset, weights))} AS `{name}`")
+    middle, prior = 0.5 * (m0 + m1), np.log(n1 / n0)
+    return _scored(data, name or f"linear_discriminant_analysis_{solver}_solver", lambda x: (x - middle) @ weights + prior)
 
 
 def quadratic_discriminant(data: Prepared, name: str = "quadratic_discriminant_analysis") -> DataFrame:
-    """Posterior of class 1 with one covariance per class; values centred on class 0's mean."""
+    """Posterior of class 1 with one covariance per class."""
     moments = class_moments(data)
-    origin = moments[0][1]
-    const, linear, square = 0.0, np.zeros(len(origin)), np.zeros((len(origin),) * 2)
-    total = sum(m[0] for m in moments.values())
+    parts = []
     for c, sign in ((0, -1.0), (1, 1.0)):
         n, mean, scatter = moments[c]
         cov = scatter / (n - 1)
-        inverse = np.linalg.pinv(cov)
-        away = mean - origin
-        const += sign * (np.log(n / total) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * away @ inverse @ away)
-        linear += sign * (inverse @ away)
-        square += sign * (-0.5 * inverse)
-    centred = data.frame.select(
-        data.id, *[(F.col(c).cast("double") - F.lit(float(o))).alias(c) for c, o in zip(data.features, origin)]
-    )
-    return centred.selectExpr(data.id, f"{_posterior(_polynomial(data.features, const, linear, square))} AS `{name}`")
+        parts.append((sign, mean, np.linalg.pinv(cov), np.log(n) - 0.5 * np.linalg.slogdet(cov)[1]))
+
+    def log_odds(x):
+        total = np.zeros(len(x))
+        for sign, mean, inverse, constant in parts:
+            away = x - mean
+            total += sign * (constant - 0.5 * ((away @ inverse) * away).sum(axis=1))
+        return total
+
+    return _scored(data, name, log_odds)

@@ -63,6 +63,7 @@ def _common(label: str) -> dict:
 CLASS_WEIGHTS = (0.1, 0.9)
 INVERSE_L2 = 0.2
 SGD_ALPHA = 0.01
+SVM_C = 1.0
 
 
 def logistic_regression(data: Prepared, name: str = "logistic_regression") -> DataFrame:
@@ -84,9 +85,10 @@ def sgd_logistic(data: Prepared, name: str = "sgd_log_loss") -> DataFrame:
 
 
 def linear_svm(data: Prepared, name: str = "pca20_svm_linear_kernel") -> DataFrame:
-    """Linear support vectors with a logistic fit on the margin as probability."""
+    """Linear support vectors at C = 1 with a logistic fit on the margin as probability."""
     rows = with_vector(data.frame, data.features)
-    svm = LinearSVC(regParam=0.01, rawPredictionCol="_raw", **_common(data.label))
+    penalty = 1.0 / (SVM_C * max(data.labelled.count(), 1))
+    svm = LinearSVC(regParam=penalty, standardization=False, rawPredictionCol="_raw", **_common(data.label))
     fitted = svm.fit(rows.filter(F.col(data.label).isNotNull())).transform(rows)
     margins = fitted.select(data.id, data.label, vector_to_array("_raw")[1].alias("_margin"))
     return fit_and_score(
@@ -181,7 +183,7 @@ def ada_boost(data: Prepared, rounds: int = 500, depth: int = 6, cut_every: int
 # ----------------------------------------------------------------- others
 
 
-def perceptron(inputs: int, label: str = "TARGET", hidden: Sequence[int] = (500, 150, 30), **changes):
+def perceptron(inputs: int, label: str = "TARGET", hidden: Sequence[int] = (500, 150, 30, 2), **changes):
     options = {"solver": "l-bfgs", "maxIter": 500, "seed": SEED} | changes
     return MultilayerPerceptronClassifier(layers=[inputs, *hidden, 2], **options, **_common(label))
 

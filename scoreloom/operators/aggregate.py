@@ -37,14 +37,6 @@ def arg_max_row(df: DataFrame, keys: Sequence[str], order: Sequence[str], take:
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("_best")[c].alias(prefix + c) for c in take])
 
 
-def known_values(df: DataFrame, column: str, limit: int = 1000) -> list:
-    """The sorted distinct values of a column; refuses a column with more than ``limit``."""
-    rows = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} distinct values; pass the values to use")
-    return sorted(r[0] for r in rows)
-
-
 def value_count_columns(column: str, values: Sequence, prefix: str | None = None) -> list[Column]:
     """One count column per value, absent values count 0."""
     head = f"{column}_" if prefix is None else prefix
@@ -53,9 +45,8 @@ def value_count_columns(column: str, values: Sequence, prefix: str | None = None
     ]
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], column: str, values: Sequence | None = None) -> DataFrame:
-    """Value counts per key as columns; the value list is fixed or looked up once."""
-    values = known_values(df, column) if values is None else values
+def value_counts(df: DataFrame, keys: Sequence[str], column: str, values: Sequence) -> DataFrame:
+    """Counts per key of the given values, as columns."""
     return df.groupBy(*keys).agg(*value_count_columns(column, values))
 
 

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import BROADCAST_ROWS, broadcast_if
 from .profile import distinct_counts, distinct_values, string_columns
 from .skew import running_totals
 
-INLINE = 1_000  # categories up to which codes are part of the plan itself
+#: Categories up to which codes are part of the projection; beyond it they come by a join. Both give the same rows.
+INLINE = 1_000
 
 
 def code_table(df: DataFrame, column: str) -> DataFrame:
@@ -24,9 +25,9 @@ def code_table(df: DataFrame, column: str) -> DataFrame:
     return coded.select(column, (F.col("code") - 1).cast("int").alias("code"))
 
 
-def _inline_codes(column: str, values: Sequence) -> Column:
-    """Code as part of the projection: position in a constant sorted array."""
-    known = F.array(*[F.lit(v) for v in values])
+def _inline_codes(column: str, values: Sequence, kind: str) -> Column:
+    """Code as part of the projection: position in a constant sorted array of the column's type."""
+    known = F.array(*[F.lit(v).cast(kind) for v in values])
     return F.coalesce(F.array_position(known, F.col(column)) - 1, F.lit(-1)).cast("int")
 
 
@@ -43,11 +44,11 @@ def label_encode(df: DataFrame, columns: Sequence[str] | None = None, skip: Sequ
     small = [c for c in columns if sizes[c] <= INLINE]
     if small:
         lists = values_of(df, small)
-        df = df.withColumns({c: _inline_codes(c, lists[c]) for c in small})
+        kinds = dict(df.dtypes)
+        df = df.withColumns({c: _inline_codes(c, lists[c], kinds[c]) for c in small})
     for c in columns:
         if c not in small:
-            codes = broadcast_if(code_table(df, c), sizes[c] * 11 // 10, BROADCAST_ROWS)
-            df = df.join(codes, c, "left").withColumn(c, F.coalesce("code", F.lit(-1))).drop("code")
+            df = df.join(code_table(df, c), c, "left").withColumn(c, F.coalesce("code", F.lit(-1))).drop("code")
     return df
 
 
@@ -63,6 +64,8 @@ def values_of(df: DataFrame, columns: Sequence[str]) -> dict[str, list]:
 def _typed(value, kind: str):
     if kind in ("tinyint", "smallint", "int", "bigint"):
         return int(value)
+    if kind.startswith("decimal"):
+        return Decimal(value)
     return bool(value) if kind == "boolean" else value
 
 
@@ -74,7 +77,8 @@ def label_encode_few(
     sizes = distinct_counts(df, columns, up_to=high)
     chosen = [c for c in columns if low <= sizes[c] <= high]
     lists = values_of(df, chosen) if chosen else {}
-    return df.withColumns({c: _inline_codes(c, lists[c]) for c in chosen})
+    kinds = dict(df.dtypes)
+    return df.withColumns({c: _inline_codes(c, lists[c], kinds[c]) for c in chosen})
 
 
 def one_hot_plan(

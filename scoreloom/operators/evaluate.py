@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .skew import running_totals
 
+CUT_ROWS = 50_000
+
 
 def roc_auc(
     df: DataFrame, label: str, score: str, by: Sequence[str] = (), name: str = "auc", hot_rows: int | None = None
@@ -39,15 +42,16 @@ def stratified_folds(
 ) -> DataFrame:
     """Fold 0..folds-1 per labelled row: shuffled by hash, each class dealt out in turn.
 
-    A class is one group of any size, so it is cut by the leading digits of the
-    hash that orders it. Rows are numbered inside each cut; the cut sizes (classes
-    x 4096 rows at most) carry the numbering on.
+    A class is one group of any size, so it is cut by leading digits of the hash that
+    orders it, as many as keep a cut near ``CUT_ROWS`` rows. Rows are numbered
+    inside each cut; the cut sizes carry the numbering on.
     """
     rows = df.filter(F.col(label).isNotNull()).withColumn("_h", _slot(seed, [id]))
-    rows = rows.withColumn("_cut", F.substring("_h", 1, 3))
+    digits = max(1, math.ceil(math.log(max(rows.count(), 1) / CUT_ROWS, 16)))
+    rows = rows.withColumn("_cut", F.substring("_h", 1, digits))
     sizes = rows.groupBy(label, "_cut").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(label).orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(label, "_cut", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
     place = F.row_number().over(Window.partitionBy(label, "_cut").orderBy("_h", id)) + F.col("_before")
-    dealt = rows.join(F.broadcast(before), [label, "_cut"])
+    dealt = rows.join(before, [label, "_cut"])
     return dealt.select(*df.columns, F.pmod(place - 1, F.lit(folds)).cast("int").alias(name))

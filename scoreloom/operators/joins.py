@@ -23,5 +23,5 @@ def stack(*frames: DataFrame) -> DataFrame:
 
 
 def bind_by_id(frames: Sequence[DataFrame], key: str) -> DataFrame:
-    """Put the columns of several tables side by side, matched by id."""
-    return reduce(lambda a, b: a.join(b, key), frames)
+    """Put the columns of several tables side by side, matched by id; an id that one table lacks has nulls there."""
+    return reduce(lambda a, b: a.join(b, key, "full"), frames)

@@ -17,6 +17,11 @@ from ..functions.stats import slope, stat, stat_bundle
 from .skew import ordered, summarise
 
 
+# Statistics whose fractions need a divisor away from 0.
+UNSTABLE = ("skew", "kurt")
+SMALLEST_DIVISOR = 1e-9
+
+
 def newest_first(column: str, *ties: str) -> list[Column]:
     """Descending by ``column`` and by each tie-break, missing values last."""
     return [F.col(c).desc_nulls_last() for c in (column, *ties)]
@@ -46,11 +51,17 @@ def last_loan_columns(
 
 
 def fraction_columns(names: Sequence[str], short: int, long: int) -> list[str]:
-    """Same-named statistics of a short window over those of a long one."""
+    """Same-named statistics of a short window over those of a long one.
+
+    Skewness and kurtosis near 0 are rounding noise; a fraction over them is missing.
+    """
     out = []
     for a, b in zip(of_period(names, short), of_period(names, long)):
         name = a.replace(f"_{short}_", f"_{short}by{long}_fraction_")
-        out.append(f"{safe_div_sql(f'`{a}`', f'`{b}`')} AS `{name}`")
+        value = safe_div_sql(f"`{a}`", f"`{b}`")
+        if a.endswith(UNSTABLE):
+            value = f"CASE WHEN abs(`{b}`) >= {SMALLEST_DIVISOR} THEN {value} END"
+        out.append(f"{value} AS `{name}`")
     return out
 
 

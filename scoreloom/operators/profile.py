@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BooleanType, NumericType, StringType
 
 FEW = 20  # fixed value: most distinct values a categorical column may have
-WIDE = 60  # columns from which a table is profiled cell by cell
+BLOCK = 100  # columns of one aggregate: four statistics of each still fit into one plan
 
 
 def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
@@ -40,31 +40,24 @@ def _number(df: DataFrame, c: str):
 
 
 def collect_stats(df: DataFrame, columns: Sequence[str]) -> Stats:
-    """min, max, mean and non-missing count of every column in one pass.
+    """min, max, mean and non-missing count of every column, in the column's own type.
 
-    A narrow table gets one aggregate per statistic. A wide one is turned into
-    (column, value) cells that are reduced per column before their exchange:
-    thousands of aggregates side by side would not fit into compiled code.
+    Columns are taken in blocks, one aggregate each, which together read every
+    column once.
     """
     columns = list(columns)
-    if len(columns) > WIDE:
-        rows = df.count()
-        cells = _cells(df, columns, "double")
-        found = {
-            columns[r["place"]]: r
-            for r in cells.groupBy("place")
-            .agg(F.min("value").alias("l"), F.max("value").alias("h"), F.avg("value").alias("m"), F.count("value").alias("n"))
-            .collect()
-        }
-        pick = lambda key, none=None: {c: found[c][key] if c in found else none for c in columns}
-        return Stats(rows, pick("l"), pick("h"), pick("m"), pick("n", 0))
-    wanted = []
-    for i, c in enumerate(columns):
-        v = _number(df, c)
-        wanted += [F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}"), F.avg(v).alias(f"m{i}"), F.count(v).alias(f"n{i}")]
-    row = df.agg(F.count(F.lit(1)).alias("rows"), *wanted).first()
-    pick = lambda key: {c: row[f"{key}{i}"] for i, c in enumerate(columns)}
-    return Stats(row["rows"], pick("l"), pick("h"), pick("m"), pick("n"))
+    low, high, mean, known, rows = {}, {}, {}, {}, None
+    for at in range(0, max(len(columns), 1), BLOCK):
+        block = columns[at : at + BLOCK]
+        wanted = []
+        for i, c in enumerate(block):
+            v = _number(df, c)
+            wanted += [F.min(v).alias(f"l{i}"), F.max(v).alias(f"h{i}"), F.avg(v).alias(f"m{i}"), F.count(v).alias(f"n{i}")]
+        row = df.agg(F.count(F.lit(1)).alias("rows"), *wanted).first()
+        rows = row["rows"]
+        for i, c in enumerate(block):
+            low[c], high[c], mean[c], known[c] = (row[f"{key}{i}"] for key in "lhmn")
+    return Stats(rows, low, high, mean, known)
 
 
 def _cells(df: DataFrame, columns: Sequence[str], kind: str, keep: Sequence[str] = ()) -> DataFrame:

@@ -98,9 +98,21 @@ class Prepared:
         return self.frame.filter(F.col(self.label).isNotNull())
 
 
+def _at_minus_one(df: DataFrame) -> list[str]:
+    """Columns whose logarithm is infinite somewhere, as a text column with a missing value is (code -1)."""
+    columns = numeric_columns(df, KEEP)
+    if not columns:
+        return []
+    row = df.agg(*[F.count_if(_value(c) == -1).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    return [c for i, c in enumerate(columns) if row[f"n{i}"]]
+
+
 def prepare(df: DataFrame, scaler: str = "norm", log: bool = False) -> Prepared:
     """inf -> null, scale, label-encode strings, optional log, mean fill, drop incomplete columns.
 
+    With ``log`` a column that holds -1 is dropped: its logarithm is infinite, which the mean doesn't fill.
+    Values below -1 have no logarithm and are filled.
+
     Each statistics pass is one aggregate over the table; the data itself is only
     ever projected, never shuffled.
     """
@@ -110,6 +122,7 @@ def prepare(df: DataFrame, scaler: str = "norm", log: bool = False) -> Prepared:
         df = step(df, numbers)
     df = label_encode(df, skip=KEEP)
     if log:
+        df = df.drop(*_at_minus_one(df))
         df = log_plus_one(df)
     features = [c for c in df.columns if c not in KEEP]
     df = fill_mean(df, features)

@@ -7,10 +7,9 @@ window (one exchange). The few hot keys are range-partitioned by their order
 into slices; each slice is ranked on its own and the small per-slice totals
 carry the running state from slice to slice. Both ways give the same rows.
 
-Sizes: a hot key has more than ``HOT_ROWS`` rows, so there are few of them; of more
-than ``MAX_HOT_KEYS`` the largest are treated as hot and any further key still gets
-the plain, spilling window, so nothing is left out. The slice totals have at most
-(hot keys + slices) rows, 120,000 in all, which is why they may be broadcast.
+``HOT_ROWS`` (or ``scoreloom.hotRows``) only chooses the way, never the rows of the
+result. Hot keys stay a table, and the number of slices follows the number of hot
+rows; both, and the slice totals, are joined the way Spark finds best for their size.
 """
 
 from __future__ import annotations
@@ -24,8 +23,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..session import cut_lineage
 
 HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 100_000
-MAX_SLICES = 20_000
 _SLICE = "_slice"
 
 
@@ -40,38 +37,31 @@ def split_hot(
     """(ordinary rows, hot rows or None, number of hot rows).
 
     The count per key is a map-side combined aggregate over the key columns
-    alone; only the bounded list of hot keys reaches the driver.
+    alone; the hot keys are written once and only their number reaches the driver.
     """
     limit = hot_limit(df, hot_rows)
     if not keys:
         rows = df.count()
         return (df.limit(0), df, rows) if rows > limit else (df, None, 0)
-    found = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .filter(F.col("_rows") > limit)
-        .orderBy(F.desc("_rows"))
-        .limit(MAX_HOT_KEYS)
-        .collect()
-    )
-    if not found:
+    found = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit))
+    rows = found.agg(F.sum("_rows")).first()[0]
+    if not rows:
         return df, None, 0
-    schema = df.select(*keys).schema
-    names = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], schema)
-    names = F.broadcast(names)
-    cold = df.join(names, list(keys), "left_anti")
-    hot = df.join(names, list(keys), "left_semi")
-    return cold, hot, sum(r["_rows"] for r in found)
+    names = found.drop("_rows")
+    same = F.lit(True)
+    for k in keys:  # a missing key is a group too
+        same = same & df[k].eqNullSafe(names[k])
+    return df.join(names, same, "left_anti"), df.join(names, same, "left_semi"), rows
 
 
 def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: int, limit: int) -> DataFrame:
-    """Rows in (keys, order) ranges of about ``limit / 2`` rows (more beyond 20,000 slices), slice number stored.
+    """Rows in (keys, order) ranges of about ``limit / 2`` rows, slice number stored.
 
     The slice is the range partition a row went to. It is written to the
     shared folder with the row, so every later reading, also after a lost
     executor, sees the same slices.
     """
-    parts = min(MAX_SLICES, max(2, math.ceil(2 * rows / limit)))
+    parts = max(2, math.ceil(2 * rows / limit))
     placed = df.repartitionByRange(parts, *[F.col(k) for k in keys], *order)
     return cut_lineage(placed.withColumn(_SLICE, F.spark_partition_id()))
 
@@ -79,7 +69,7 @@ def _slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column], rows: i
 def _carried(slices: DataFrame, keys: Sequence[str], totals: list[Column], carry: Callable) -> DataFrame:
     small = slices.groupBy(*keys, _SLICE).agg(*totals)
     across = Window.partitionBy(*keys).orderBy(_SLICE)
-    return F.broadcast(small.select(*keys, _SLICE, *carry(across)))
+    return small.select(*keys, _SLICE, *carry(across))
 
 
 def running_totals(
@@ -234,7 +224,7 @@ def group_percentiles(
     upto = running_totals(values, keys, [F.col(column).asc()], {"_upto": F.col("_c")}, hot_rows=limit)
     size = hot.groupBy(*keys).agg(F.count(column).alias("_n"))
     if keys:
-        placed = upto.join(F.broadcast(size), list(keys))
+        placed = upto.join(size, list(keys))
     else:
         placed = upto.withColumn("_n", F.lit(size.first()["_n"]))
     picks = []

@@ -1,14 +1,12 @@
-"""Session helpers: lineage cutting and size-checked broadcasts."""
+"""Session helpers: the shared folder and lineage cutting."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# Rows a side may have, at most, before it is broadcast without a hint by Spark itself.
-BROADCAST_ROWS = 200_000
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -16,7 +14,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="scoreloom-checkpoint-")
     if context.getCheckpointDir() is None:
@@ -35,8 +33,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/scoreloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def broadcast_if(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a row count; beyond it Spark shuffles the join."""
-    return F.broadcast(df) if rows <= limit else df

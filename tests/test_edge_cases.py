@@ -31,7 +31,7 @@ def test_division_rules(spark):
     df = spark.createDataFrame([(1.0, 0.0), (None, 0.0), (1.0, None), (6.0, 4.0)], "a double, b double")
     rows = df.select(nulls.ratio(F.col("a"), F.col("b")).alias("r"), nulls.safe_div("a", "b").alias("s")).collect()
     assert [r["r"] for r in rows] == [None, None, None, 1.5]
-    assert [r["s"] for r in rows] == [0.0, None, None, 1.5]
+    assert [r["s"] for r in rows] == [0.0, 0.0, None, 1.5]
 
 
 def test_infinity_becomes_null(spark):
