@@ -43,11 +43,11 @@ def split_hot(
     if not keys:
         rows = df.count()
         return (df.limit(0), df, rows) if rows > limit else (df, None, 0)
-    found = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit))
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit)
     rows = found.agg(F.sum("_rows")).first()[0]
     if not rows:
         return df, None, 0
-    names = found.drop("_rows")
+    names = cut_lineage(found).drop("_rows")
     same = F.lit(True)
     for k in keys:  # a missing key is a group too
         same = same & df[k].eqNullSafe(names[k])

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -32,12 +32,14 @@ def read_table(
 ) -> DataFrame:
     """``{folder}/{name}.parquet`` from the first folder that has it."""
     folders = [folders] if isinstance(folders, str) else list(folders)
-    hadoop = spark._jvm.org.apache.hadoop.fs
     for folder in folders:
-        path = hadoop.Path(str(PurePosixPath(folder) / f"{name}.parquet") if "://" not in folder else f"{folder}/{name}.parquet")
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            df = finite_frame(spark.read.parquet(path.toString()))
-            return df.limit(num_rows) if debug else df
+        try:
+            df = finite_frame(spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet"))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        return df.limit(num_rows) if debug else df
     raise FileNotFoundError(f"{name}.parquet in none of {folders}")
 
 
@@ -51,10 +53,6 @@ def write_csv_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-
-
 def parameter_table(spark: SparkSession, params: Mapping, auc: float = 999) -> DataFrame:
     """Run parameters as (auc, key, value) rows, AUC rounded to five places."""
     rows = [(round(float(auc), 5), str(k), str(v)) for k, v in params.items()]
