@@ -17,6 +17,7 @@ from ..session import cut_lineage
 from ..sources import tables as src
 from . import standin as st
 from .registry import query
+from .scoring import FOLDED_SQL
 from .standin import table
 from .tables import scratch
 
@@ -121,6 +122,17 @@ def _pca(spark, sf):
     return components.principal_components(_vectors(spark, sf), 20).scores
 
 
+@query("components_keep_distances", f"{ID}:int square:flat",
+       "SELECT vec_id AS SK_ID_CURR, sum(pow(x - m, 2)) AS square FROM (SELECT vec_id, x, avg(x) FILTER (WHERE vec_id % 5 <> 0) OVER (PARTITION BY i) AS m FROM "
+       "(SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings)) GROUP BY 1")
+def _distances(spark, sf):
+    """All components together keep each point's distance to the mean of the rows they were fitted on."""
+    data = _vectors(spark, sf)
+    scores = components.principal_components(data, len(data.features)).scores
+    names = [c for c in scores.columns if c != ID]
+    return scores.select(ID, F.expr(" + ".join(f"`{c}` * `{c}`" for c in names)).alias("square"))
+
+
 @query("linear_svm_on_components", {ID: "int", "score": "num"})
 def _svm(spark, sf):
     return learners.linear_svm(components.reduced(_vectors(spark, sf), 20), "score")
@@ -150,7 +162,7 @@ def _shares(spark, sf):
 @query("approximate_neighbor_pairs", "vec_id,neighbor:int distance:num")
 def _approximate(spark, sf):
     rows = table(spark, sf, "embeddings")
-    return neighbors.approximate_neighbors(rows, rows.filter("vec_id % 5 <> 0"), "vec_id", "embedding", 0.9, 1.0)
+    return neighbors.approximate_neighbors(rows, rows.filter("vec_id % 5 <> 0"), "vec_id", "embedding", 1.1)
 
 
 ROUNDS = 3
@@ -216,6 +228,36 @@ def _crossed(spark, sf):
     return stack.cross_fit(labelled, unlabelled, learn)
 
 
+def _group_means(labelled):
+    """A learner with a closed form: the mean label of each language."""
+    means = labelled.groupBy("LANG").agg(F.avg(LABEL).alias("_mean"))
+    return lambda rows, name: rows.join(means, "LANG", "left").withColumn(name, F.col("_mean")).drop("_mean")
+
+
+_FOLD_MEANS = f"""
+WITH folded AS MATERIALIZED (SELECT doc_id, quality, fold FROM ({FOLDED_SQL})),
+d AS (SELECT doc_id, lang, quality, fold FROM documents LEFT JOIN folded USING (doc_id)),
+m AS (SELECT i, lang, avg(quality) AS mean FROM d, range(5) k(i) WHERE fold <> i GROUP BY 1, 2)
+"""
+
+
+def _crossed_means(spark, sf):
+    labelled, unlabelled = split_by_label(st.Native(spark, sf).documents())
+    return stack.cross_fit(labelled, unlabelled, _group_means)
+
+
+@query("out_of_fold_group_means", f"{ID},{LABEL},fold:int held_out:num",
+       _FOLD_MEANS + "SELECT doc_id AS SK_ID_CURR, quality AS TARGET, fold, mean AS held_out FROM d JOIN m ON m.lang = d.lang AND m.i = d.fold")
+def _held_out_means(spark, sf):
+    return _crossed_means(spark, sf).filter(F.col("fold").isNotNull())
+
+
+@query("fold_averaged_group_means", f"{ID},{LABEL}:int average:num",
+       _FOLD_MEANS + "SELECT doc_id AS SK_ID_CURR, any_value(quality) AS TARGET, avg(mean) AS average FROM d JOIN m ON m.lang = d.lang GROUP BY 1")
+def _averaged_means(spark, sf):
+    return _crossed_means(spark, sf)
+
+
 @query("out_of_fold_prediction", f"{ID},{LABEL},fold:int held_out:num")
 def _held_out(spark, sf):
     return _crossed(spark, sf).filter(F.col("fold").isNotNull())

@@ -155,19 +155,19 @@ def _auc_group(spark, sf):
     return evaluate.roc_auc(_scored(spark, sf), "quality", "score", by=["toxic"])
 
 
-_FOLDED_SQL = (
+FOLDED_SQL = (
     f"SELECT *, (row_number() OVER (PARTITION BY quality ORDER BY md5(concat_ws('|', CAST(doc_id AS VARCHAR), '1')), doc_id) - 1) % 5 AS fold "
     f"FROM ({_SCORED_SQL})"
 )
 
 
-@query("stratified_folds", "doc_id,quality,fold:int", _FOLDED_SQL)
+@query("stratified_folds", "doc_id,quality,fold:int", FOLDED_SQL)
 def _folds(spark, sf):
     return evaluate.stratified_folds(table(spark, sf, "labels"), "doc_id", "quality")
 
 
 @query("cross_validated_score", "mean_auc,std_auc:num",
-       f"SELECT avg(auc) AS mean_auc, stddev_pop(auc) AS std_auc FROM ({auc_sql(_FOLDED_SQL, 'fold')})")
+       f"SELECT avg(auc) AS mean_auc, stddev_pop(auc) AS std_auc FROM ({auc_sql(FOLDED_SQL, 'fold')})")
 def _cv(spark, sf):
     folded = evaluate.stratified_folds(_scored(spark, sf), "doc_id", "quality")
     return stack.fold_summary(evaluate.roc_auc(folded, "quality", "score", by=["fold"]))

@@ -43,12 +43,12 @@ def fit_and_score(data: Prepared, estimator, name: str) -> DataFrame:
     return scores_of(model, rows, data.id, name)
 
 
-def learner(estimator, features: Sequence[str], id: str = "SK_ID_CURR") -> Callable:
+def learner(estimator, features: Sequence[str]) -> Callable:
     """The ``learn`` argument of ``stack.cross_fit`` for an estimator."""
 
     def learn(labelled: DataFrame):
         model = estimator.fit(with_vector(labelled, features))
-        return lambda rows: scores_of(model, with_vector(rows, features), id)
+        return lambda rows, name: model.transform(with_vector(rows, features)).select(*rows.columns, positive_probability().alias(name))
 
     return learn
 

@@ -146,6 +146,8 @@ def nearest(
     return ranked.select(F.col("_q").alias(id), "rn", "distance", F.col("_t").alias("neighbor"), *carried)
 
 
+BUCKET_SHARE = 0.5
+
 # Neighbour counts of the share columns.
 NEIGHBOR_COUNTS = [2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]
 
@@ -161,19 +163,27 @@ def neighbor_shares(
 
 
 def approximate_neighbors(
-    queries: DataFrame, points: DataFrame, id: str, vector: str, radius: float, bucket: float, tables: int = 4
+    queries: DataFrame, points: DataFrame, id: str, vector: str, radius: float, bucket: float | None = None, tables: int = 4
 ) -> DataFrame:
-    """Pairs within ``radius`` found by random-projection hashing; may miss some."""
+    """Pairs of different points within ``radius`` found by random-projection hashing; may miss some.
+
+    A random projection of a vector has the spread of one coordinate, so buckets are by default
+    a share of that spread, whatever the vectors' scale.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     def vectors(df):
         return df.select(id, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
 
+    if bucket is None:
+        square = F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
+        spread = points.agg(F.avg(square / F.size(vector))).first()[0] or 1.0
+        bucket = BUCKET_SHARE * math.sqrt(spread)
     lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=1)
     left, right = vectors(queries), vectors(points)
     pairs = lsh.fit(right).approxSimilarityJoin(left, right, radius, distCol="distance")
-    return pairs.select(
+    return pairs.filter(F.col(f"datasetA.{id}") != F.col(f"datasetB.{id}")).select(
         F.col(f"datasetA.{id}").alias(id), F.col(f"datasetB.{id}").alias("neighbor"), "distance"
     )
 
