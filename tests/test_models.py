@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.models import components, discriminant, learners, neighbors, stack
 from scoreloom.operators.evaluate import stratified_folds
-from scoreloom.operators.scaling import Prepared
+from scoreloom.operators.scaling import Prepared, prepare
 
 
 @pytest.fixture(scope="module")
@@ -149,3 +149,43 @@ def test_blend_of_equal_inputs_is_identity(spark):
     a = spark.createDataFrame([(1, 0.2), (2, 0.8)], "SK_ID_CURR int, a double")
     out = stack.blend({"a": a, "b": a.withColumnRenamed("a", "b")}, {"a": 0.5, "b": 0.5}).collect()
     assert {r["SK_ID_CURR"]: r["TARGET"] for r in out} == {1: pytest.approx(0.2), 2: pytest.approx(0.8)}
+
+
+def test_discriminants_at_full_width(spark):
+    """544 columns, as wide as the models' input; compared with numpy."""
+    rng = np.random.default_rng(5)
+    n, d = 1500, 544
+    y = (np.arange(n) % 2).astype(float)
+    x = rng.normal(size=(n, d)) + 0.05 * y[:, None]
+    names = [f"c{i}" for i in range(d)]
+    rows = pd.DataFrame(x, columns=names).assign(SK_ID_CURR=np.arange(n), TARGET=y)
+    data = Prepared(spark.createDataFrame(rows), names)
+    linear = discriminant.linear_discriminant(data, "lsqr", "s").toPandas().sort_values("SK_ID_CURR")["s"].to_numpy()
+    m0, m1 = x[y == 0].mean(0), x[y == 1].mean(0)
+    pooled = sum((x[y == c] - m).T @ (x[y == c] - m) for c, m in ((0, m0), (1, m1))) / n
+    odds = (x - (m0 + m1) / 2) @ np.linalg.solve(pooled, m1 - m0)
+    assert np.allclose(linear, 1 / (1 + np.exp(-odds)), atol=1e-6)
+    quadratic = discriminant.quadratic_discriminant(data, "s").toPandas().sort_values("SK_ID_CURR")["s"].to_numpy()
+    assert ((quadratic > 0.5) == (y > 0)).mean() > 0.95
+
+
+def test_grouped_map_streams_its_groups(spark):
+    from scoreloom.functions.user import grouped_map
+
+    rows = [(k, float(i)) for i in range(50) for k in ("a", None)] + [("b", 1.0)]
+    frame = spark.createDataFrame(rows, "k string, v double")
+    out = grouped_map(frame, "k", lambda frames: {"n": sum(len(f) for f in frames)}, "n bigint").collect()
+    assert {r["k"]: r["n"] for r in out} == {"a": 50, None: 50, "b": 1}
+    first = grouped_map(frame, "k", lambda frames: {"n": len(next(frames))}, "n bigint")
+    assert first.count() == 3
+
+
+def test_log_drops_columns_at_minus_one(spark):
+    frame = spark.createDataFrame([(1, 1, 2.0, None), (2, 0, 4.0, "x"), (3, None, 9.0, "y")], "SK_ID_CURR long, TARGET int, x double, s string")
+    assert prepare(frame, "norm", log=True).features == ["x"]
+    assert sorted(prepare(frame, "norm", log=False).features) == ["s", "x"]
+
+
+def test_bind_keeps_every_id(spark):
+    left, right = spark.createDataFrame([(1, 0.1), (2, 0.2)], "SK_ID_CURR long, a double"), spark.createDataFrame([(2, 0.5)], "SK_ID_CURR long, b double")
+    assert sorted(stack.stacking_table([left, right]).collect()) == [(1, 0.1, None), (2, 0.2, 0.5)]
