@@ -184,7 +184,7 @@ def identify(df: DataFrame, id_col: str, text_col: str, model: Model) -> DataFra
     schema = StructType([df.schema[id_col], StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def run(batches):
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", 2 << 20):
             names, score = shared.value.predict(texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
 
