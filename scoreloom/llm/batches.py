@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-LIMIT = 8 << 20
+LIMIT = 2 << 20
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int, limit: int = LIMIT) -> Iterator[pa.RecordBatch]:

@@ -42,7 +42,7 @@ class Tokens:
     line end, whatever stands beside them, so texts are cut there and the ids of the parts remembered, in two
     memories of bounded size: when the newer is full it becomes the older one, and what is used again moves over."""
 
-    def __init__(self, path: str, memory: int = 500_000):
+    def __init__(self, path: str, memory: int = 350_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
@@ -53,6 +53,9 @@ class Tokens:
         self.library.no_padding()
         self.memory, self.known, self.older = memory, {}, {}
 
+    def forget(self) -> None:
+        self.known, self.older = {}, {}
+
     def parts(self, text: str) -> list[str]:
         if "\0" in text or BESIDE.search(text):
             return WORD_START.split(text)
@@ -107,7 +110,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, size: int
 
     def run(batches):
         library = tokens(path)
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", 1 << 20):
             row, piece, start, ids = [], [], [], []
             for i, found in enumerate(library.ids(texts(batch.column(1)))):
                 found += end
@@ -122,6 +125,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, size: int
                 batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                 pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary()),
             ], names=[id_col, "piece", "start", "length", "ids"])
+        library.forget()  # the worker may serve other operators next
 
     return df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
 

@@ -22,10 +22,9 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField, StructType
 
 from .batches import by_bytes, texts
 
@@ -33,7 +32,7 @@ WORDS = 1 << 14
 BINS = 16
 FACTORS = 8
 THRESHOLD = 0.3
-MEMORY = 400_000
+MEMORY = 150_000
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()-]")
 DIGITS = re.compile(r"\d")
 CAPITALS = re.compile(r"[A-ZÀ-ÖØ-Þ]")
@@ -141,22 +140,21 @@ def fit(df: DataFrame, id_col: str, text_col: str, labels: DataFrame, label_col:
     sample = known.agg((F.avg(label_col) > 0.5).cast("double").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample_rows)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")  # at most sample_rows rows
     rows = rows.groupBy("id").agg(F.min(F.struct("label", F.coalesce("text", F.lit("")).alias("text"))).alias("r")).select("r.*")
-    schema = StructType([StructField("label", DoubleType()), StructField("columns", ArrayType(IntegerType())), StructField("values", ArrayType(FloatType()))])
+    schema = StructType([StructField("label", DoubleType()), StructField("columns", BinaryType()), StructField("values", BinaryType())])
 
     def run(batches):
         features = Features()
         for batch in by_bytes(batches, "text"):
             found = [features.of(t) for t in texts(batch.column(1))]
-            arrays = [pa.array([c for c, _ in found], pa.list_(pa.int32())), pa.array([v for _, v in found], pa.list_(pa.float32()))]
+            arrays = [pa.array([c.tobytes() for c, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["label", "columns", "values"])
 
-    found: pd.DataFrame = rows.mapInArrow(run, schema).toPandas()
+    # sorted, so that the fit doesn't depend on the tasks' order; a row is a few kB and there are at most sample_rows
+    found = sorted((r["label"], bytes(r["columns"]), bytes(r["values"])) for r in rows.mapInArrow(run, schema).collect())
     machine = Machine()
-    if len(found):
-        found["size"] = [sum(v) for v in found["values"]]
-        found = found.sort_values(["label", "size"], ignore_index=True)  # the fit doesn't depend on the tasks' order
-        pairs = [(np.asarray(c, np.int32), np.asarray(v, np.float32)) for c, v in zip(found["columns"], found["values"], strict=True)]
-        machine.fit(pairs, found["label"].to_numpy())
+    if found:
+        pairs = [(np.frombuffer(c, np.int32), np.frombuffer(v, np.float32)) for _, c, v in found]
+        machine.fit(pairs, np.array([label for label, _, _ in found]))
     return machine
 
 
@@ -167,7 +165,7 @@ def score(df: DataFrame, id_col: str, text_col: str, machine: Machine, threshold
 
     def run(batches):
         features = Features()
-        for batch in by_bytes(batches, "text", 4 << 20):
+        for batch in by_bytes(batches, "text", 1 << 20):
             found = shared.value.score([features.of(t) for t in texts(batch.column(1))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
@@ -181,7 +179,7 @@ def accepted(df: DataFrame, text_col: str, machine: Machine, threshold: float =
 
     def run(batches):
         features = Features()
-        for batch in by_bytes(batches, at, 4 << 20):
+        for batch in by_bytes(batches, at, 1 << 20):
             found = shared.value.score([features.of(t) for t in texts(batch.column(at))])
             yield batch.filter(pa.array(found >= threshold))
 
