@@ -32,6 +32,9 @@ from .batches import by_bytes, texts
 SIZE = 2048
 GROUP_ITEMS = 8192
 FAN_IN = 8
+JOINED = 256
+SPACE = "\u0120"  # fixed value: how byte-level vocabularies spell a space
+WORD = re.compile(r" [^\W_]+")
 BESIDE = re.compile(r"\s\s")
 TAIL = re.compile(r"( ?[^\W_]+)([.,;:!?|&$%#*]+)")
 WORD_START = re.compile(r"(?<=\S)(?= \S)")
@@ -51,6 +54,9 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        vocab = self.library.get_vocab()
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for token, i in vocab.items() if token.startswith(SPACE)]] = True
         self.memory, self.known, self.older = memory, {}, {}
 
     def forget(self) -> None:
@@ -73,8 +79,15 @@ class Tokens:
                 new |= {half: None for half in halves.groups() if half not in known}
             else:
                 new[part] = None
-        new = list(new)
-        for part, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
+        words = [part for part in new if WORD.fullmatch(part)]
+        for at in range(0, len(words), JOINED):  # one text of many words; only a word's first token begins with a space
+            some = words[at : at + JOINED]
+            ids = np.array(self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = pairwise([*np.nonzero(self.spaced[ids])[0].tolist(), len(ids)])
+            raw = ids.tobytes()
+            known |= {word: raw[4 * a : 4 * b] for word, (a, b) in zip(some, ends, strict=True)}
+        others = [part for part in new if part not in known]
+        for part, found in zip(others, self.library.encode_batch_fast(others, add_special_tokens=False), strict=True):
             ids = found.ids
             known[part] = struct.pack(f"<{len(ids)}I", *ids)
         for part, word, tail in joined:
