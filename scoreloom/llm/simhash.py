@@ -34,18 +34,23 @@ SEED = 42
 MATRIX = 1024  # fingerprints whose distance matrix is taken at once: 8 MB
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """Unsigned 64-bit fingerprint of one text."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """XXH64 of every run of ``width`` words of one text, in order; fewer words are one run, no words none."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     width = min(width, len(words))
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = (ends - sizes)[: len(words) - width + 1].tolist()
     hashed = xxhash.xxh64_intdigest
-    values = np.array([hashed(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
+    return np.array([hashed(joined[s:e], SEED) for s, e in zip(starts, ends[width - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Unsigned 64-bit fingerprint of one text."""
+    values = shingles(text, width)
     counts = np.zeros(64, np.int64)
     for part in range(0, len(values), 1 << 16):
         bits = np.unpackbits(values[part : part + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
