@@ -5,7 +5,8 @@ patterns, and other identifier-shaped mentions beside the same words are candida
 instances Spark scores, in ``ROUNDS`` rounds,
 
 * a pattern by the share of its distinct instances that are believed to be of the kind (with one doubtful instance added,
-  so that thin evidence counts little), provided ``SUPPORT`` believed instances stand beside it;
+  so that thin evidence counts little), provided ``SUPPORT`` believed instances stand beside it. Instances of other kinds count in full,
+  those of its own kind that nothing vouches for yet only by ``UNSEEN``: they are what is to be found;
 * an instance by 1 - product(1 - pattern score) over its patterns; seeds stay at 1.
 
 Candidates that reach ``CONFIDENT`` through patterns that reach it are added; base spans always stay. A pattern beside which several
@@ -37,6 +38,7 @@ EMAIL, IP, CARD, PHONE = range(4)
 ROUNDS = 3
 SUPPORT = 4
 CONFIDENT = 0.8
+UNSEEN = 0.2  # weight of a doubt about the own kind: a pattern bears about as many new instances as believed ones
 BESIDE = 64  # code points beside a mention that are searched for words
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -170,7 +172,8 @@ def believed(scanned: DataFrame) -> DataFrame:
         strong = (F.col("belief") >= CONFIDENT).cast("int")
         per_kind = edges.groupBy("pattern", "kind").agg(F.sum("belief").alias("mass"), F.sum(strong).alias("support"), F.count(F.lit(1)).alias("n"))
         every = per_kind.groupBy("pattern").agg(F.sum("n").alias("every"))
-        scored = per_kind.join(every, "pattern").filter(f"support >= {SUPPORT}").select("pattern", "kind", (F.col("mass") / (F.col("every") + 1)).alias("score"))
+        weight = F.col("every") - (1 - UNSEEN) * (F.col("n") - F.col("mass")) + 1
+        scored = per_kind.join(every, "pattern").filter(f"support >= {SUPPORT}").select("pattern", "kind", (F.col("mass") / weight).alias("score"))
         patterns = steps.write("patterns", scored.filter(f"score >= {CONFIDENT}"))
         vouched = edges.join(patterns, ["pattern", "kind"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.col("score"))))).alias("vouched"))
         raised = beliefs.join(vouched, ["kind", "value"], "left")
