@@ -146,7 +146,8 @@ def nearest(
     return ranked.select(F.col("_q").alias(id), "rn", "distance", F.col("_t").alias("neighbor"), *carried)
 
 
-BUCKET_SHARE = 0.5
+BUCKET_SHARE = 1.0  # bucket length in spreads of one coordinate
+RECALL = 0.95  # wanted share of the pairs at exactly the radius; closer pairs are found more often
 
 # Neighbour counts of the share columns.
 NEIGHBOR_COUNTS = [2, 4, 8, 16, 32, 64, 128, 256, 512, 1024]
@@ -162,13 +163,28 @@ def neighbor_shares(
     )
 
 
+def _tables(radius: float, width: int, bucket: float, recall: float) -> int:
+    """Tables in which two points ``radius`` apart share a bucket at least once with probability ``recall``.
+
+    A projection on a random unit vector moves them apart by about a normal value of deviation radius / sqrt(width),
+    and two values d apart share a bucket of length b with probability max(0, 1 - d / b).
+    """
+    t = bucket * math.sqrt(width) / radius if radius > 0 else math.inf
+    if math.isinf(t):
+        return 1
+    shared = math.erf(t / math.sqrt(2)) - math.sqrt(2 / math.pi) / t * -math.expm1(-t * t / 2)
+    return max(1, math.ceil(math.log(1 - recall) / math.log1p(-shared))) if shared < 1 else 1
+
+
 def approximate_neighbors(
-    queries: DataFrame, points: DataFrame, id: str, vector: str, radius: float, bucket: float | None = None, tables: int = 4
-) -> DataFrame:
+    queries: DataFrame, points: DataFrame, id: str, vector: str, radius: float, bucket: float | None = None,
+    tables: int | None = None, recall: float = RECALL,
+) -> DataFrame:
     """Pairs of different points within ``radius`` found by random-projection hashing; may miss some.
 
     A random projection of a vector has the spread of one coordinate, so buckets are by default
-    a share of that spread, whatever the vectors' scale.
+    a share of that spread, whatever the vectors' scale. The number of tables follows from the radius, the width
+    of the vectors and the bucket length, so that a pair is missed with probability 1 - ``recall`` at most.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
@@ -176,10 +192,11 @@ def approximate_neighbors(
     def vectors(df):
         return df.select(id, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
 
-    if bucket is None:
+    if bucket is None or tables is None:
         square = F.aggregate(F.col(vector).cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
-        spread = points.agg(F.avg(square / F.size(vector))).first()[0] or 1.0
-        bucket = BUCKET_SHARE * math.sqrt(spread)
+        spread, width = points.agg(F.avg(square / F.size(vector)), F.max(F.size(vector))).first()
+        bucket = bucket or BUCKET_SHARE * math.sqrt(spread or 1.0)
+        tables = tables or _tables(radius, width or 1, bucket, recall)
     lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=1)
     left, right = vectors(queries), vectors(points)
     pairs = lsh.fit(right).approxSimilarityJoin(left, right, radius, distCol="distance")
