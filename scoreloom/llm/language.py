@@ -9,7 +9,8 @@ bit, so a batch of texts is parsed for all languages at once, one numpy step for
 parsed whole, in segments of ``SEGMENT`` symbols whose phrase counts are added.
 
 The fit reads a bounded sample, given by ``sample_rows`` labelled rows for each language (those with the smallest hash
-of their id) and ``sample_chars`` symbols for each language; the tables' size follows from the latter and is what is broadcast. Scoring
+of their id) and ``sample_chars`` symbols for each language, shared equally among the distinct texts and taken over their whole length; the
+tables' size follows from it and is what is broadcast. Each language has symbols for the letters of its own sample. Scoring
 is one pass without a shuffle.
 
 Defined cases: null text or a text without letters: ``und``, score 0; ties go to the language that sorts first; no
@@ -30,8 +31,9 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .batches import by_bytes, texts
 
 SEGMENT = 256
-LETTERS = 63  # letters with a symbol of their own: the most frequent of the sample; all others share one
-ALPHABET = LETTERS + 2
+LETTERS = 255  # most letters of a language with a symbol of their own: the most frequent of its sample; its others share one
+PIECES = 32  # pieces that are read of a text of more than four samples
+CHUNK = 512  # symbols of a piece of a text that is too long for its part of the sample
 
 
 def letter_codes() -> np.ndarray:
@@ -55,7 +57,7 @@ def letters(text: str, codes: np.ndarray) -> np.ndarray:
 class Automaton:
     """Suffix automaton of a symbol sequence, as a table of transitions (-1: none)."""
 
-    def __init__(self, symbols: Iterable[int]):
+    def __init__(self, symbols: Iterable[int], width: int = LETTERS + 2):
         symbols = list(symbols)
         length, link, moves = [0], [-1], [{}]
         last = 0
@@ -82,7 +84,7 @@ class Automaton:
                         p = link[p]
                     link[q] = link[state] = twin
             last = state
-        self.table = np.full((len(moves), ALPHABET), -1, np.int32)
+        self.table = np.full((len(moves), width), -1, np.int32)
         for state, found in enumerate(moves):
             for symbol, to in found.items():
                 self.table[state, symbol] = to
@@ -93,41 +95,70 @@ class Automaton:
         return np.where(self.table >= 0, 2 * self.table, 2 * root + 1)
 
 
+def parts(sizes: list[int], total: int) -> list[int]:
+    """Equal parts of ``total``, none above its size; what one leaves goes to the others."""
+    out = [0] * len(sizes)
+    for place, k in enumerate(sorted(range(len(sizes)), key=lambda k: (sizes[k], k))):
+        out[k] = min(sizes[k], total // (len(sizes) - place))
+        total -= out[k]
+    return out
+
+
+def spread(stream: np.ndarray, size: int) -> list[np.ndarray]:
+    """Pieces of ``stream`` of ``size`` symbols in all, at equal distances from its start to its end."""
+    if len(stream) <= size:
+        return [stream]
+    count = max(1, -(-size // CHUNK))
+    lengths = [size * (k + 1) // count - size * k // count for k in range(count)]
+    starts = [(len(stream) - lengths[k]) * k // max(1, count - 1) for k in range(count)]
+    return [stream[s : s + n] for s, n in zip(starts, lengths, strict=True)]
+
+
 class Model:
     def __init__(self, samples: dict[str, list[str]], sample_chars: int):
         self.codes = letter_codes()
         self.languages = sorted(samples)
-        streams = {}
+        streams, owns = [], []
         for name in self.languages:
-            pieces, left = [], sample_chars
-            for text in samples[name]:
-                piece = letters(text, self.codes)[:left]
-                pieces += [piece, np.zeros(1, np.uint32)]
-                left -= len(piece) + 1
-                if left <= 0:
-                    break
-            streams[name] = np.concatenate(pieces) if pieces else np.zeros(0, np.uint32)
-        every = np.concatenate([*streams.values(), np.zeros(0, np.uint32)])
-        points, counts = np.unique(every[every > 0], return_counts=True)
-        own = points[np.lexsort((points, -counts))][:LETTERS]
-        self.symbols = np.where(self.codes > 0, ALPHABET - 1, 0).astype(np.uint8)  # by code point of the lower-case letter
-        for i, point in enumerate(own):
-            self.symbols[point] = i + 1
-        walks = [Automaton(self.symbols[streams[name]].tolist()).walk() for name in self.languages]
-        starts = np.cumsum([0, *[len(w) for w in walks]])[:-1]
-        self.starts = starts.astype(np.int64)
-        self.walks = np.concatenate([w + 2 * s for w, s in zip(walks, starts, strict=True)]).ravel().astype(np.int32) if walks else None
+            found = [letters(text, self.codes) for text in dict.fromkeys(samples[name])]
+            found = [f for f in found if f.any()]
+            pieces = []
+            for stream, size in zip(found, parts([len(f) + 1 for f in found], sample_chars), strict=True):
+                for piece in spread(stream, max(0, size - 1)):
+                    pieces += [piece, np.zeros(1, np.uint32)]
+            stream = np.concatenate([*pieces, np.zeros(0, np.uint32)])
+            points, counts = np.unique(stream[stream > 0], return_counts=True)
+            streams.append(stream)
+            owns.append(points[np.lexsort((points, -counts))][:LETTERS])
+        # a letter's number among all languages by code point of its lower case: 0 no letter, 1 in no sample, then the known ones
+        known = np.unique(np.concatenate([*owns, np.zeros(0, np.uint32)]))
+        self.numbers = np.minimum(self.codes, 1).astype(np.uint16)
+        self.numbers[known] = np.arange(2, len(known) + 2)
+        # the language's own symbol of each number: 0, its letters, and one for all others
+        self.symbols = np.zeros((len(self.languages), len(known) + 2), np.int64)
+        walks, start = [], 0
+        self.starts = np.zeros(len(self.languages), np.int64)
+        for at, (stream, own) in enumerate(zip(streams, owns, strict=True)):
+            self.symbols[at, 1:] = len(own) + 1
+            self.symbols[at, self.numbers[own]] = np.arange(1, len(own) + 1)
+            width = len(own) + 2
+            walk = Automaton(self.symbols[at, self.numbers[stream]].tolist(), width).walk().astype(np.int64)
+            self.starts[at] = start
+            walks.append((2 * (start + (walk >> 1) * width) + (walk & 1)).ravel())
+            start += walk.size
+        kind = np.int32 if 2 * start < 1 << 31 else np.int64
+        self.walks = np.concatenate(walks).astype(kind) if walks else None  # 2 * place of the next state's row + the mark of a phrase
 
     def phrases(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases (text, language) and symbols of each text; no symbols without a letter."""
         streams = []
         for text in batch:
             stream = letters(text, self.codes)
-            streams.append(self.symbols[stream] if stream.any() else np.zeros(0, np.uint8))
+            streams.append(self.numbers[stream] if stream.any() else np.zeros(0, np.uint16))
         lengths = np.array([len(s) for s in streams], np.int64)
         pieces = -(-lengths // SEGMENT)
         owner = np.repeat(np.arange(len(batch)), pieces)
-        grid = np.zeros(len(owner) * SEGMENT, np.uint8)
+        grid = np.zeros(len(owner) * SEGMENT, np.uint16)
         size = np.full(len(owner), SEGMENT, np.int64)
         at = 0
         for stream, n in zip(streams, pieces.tolist(), strict=True):
@@ -144,7 +175,7 @@ class Model:
             n = active[step]
             if not n:
                 break
-            found = self.walks[state[:, :n] * ALPHABET + grid[step, :n]]
+            found = self.walks[state[:, :n] + self.symbols[:, grid[step, :n]]]
             count[:, :n] += found & 1
             state[:, :n] = found >> 1
         total = np.zeros((len(batch), len(self.languages)), np.int64)
@@ -170,10 +201,14 @@ def fit(df: DataFrame, id_col: str, text_col: str, lang_col: str, learn: Column,
     chosen = known.select("id", "lang", place.alias("k")).filter(F.col("k") <= sample_rows)
     ids = [r["id"] for r in chosen.collect()]
     rows = df.filter(learn & F.col(id_col).isin(ids) & F.col(lang_col).isNotNull())
-    text = F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, sample_chars)
+    # very long texts come as pieces from start to end, so that the driver's memory is bounded; Model takes each text's part over its length
+    whole = F.coalesce(F.col(text_col), F.lit(""))
+    size, piece = F.char_length(whole), max(1, 4 * sample_chars // PIECES)
+    starts = [F.floor((size - piece) * (k / (PIECES - 1))).cast("int") + 1 for k in range(PIECES)]
+    text = F.when(size <= 4 * sample_chars, whole).otherwise(F.concat_ws(" ", *[F.substring(whole, s, piece) for s in starts]))
     one = rows.groupBy(F.col(id_col).alias("id")).agg(F.min(F.struct(F.col(lang_col).alias("lang"), text.alias("text"))).alias("r"))
     samples: dict[str, list[str]] = {}
-    for r in sorted(one.select("id", "r.*").collect(), key=lambda r: r["id"]):
+    for r in one.select("id", "r.*").orderBy(F.xxhash64("id"), "id").collect():
         samples.setdefault(r["lang"], []).append(r["text"])
     return Model(samples, sample_chars)
 
