@@ -45,7 +45,7 @@ class Tokens:
     line end, whatever stands beside them, so texts are cut there and the ids of the parts remembered, in two
     memories of bounded size: when the newer is full it becomes the older one, and what is used again moves over."""
 
-    def __init__(self, path: str, memory: int = 350_000):
+    def __init__(self, path: str, memory: int = 350_000, plain: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives a task one core
@@ -54,6 +54,7 @@ class Tokens:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
+        self.library.encode_special_tokens = plain  # names of special tokens in a text are then its plain text
         vocab = self.library.get_vocab()
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for token, i in vocab.items() if token.startswith(SPACE)]] = True

@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, exact_dedup, fingerprint, language, packing, pii, quality, shards, simhash, url_filter
+from ..session import cut_lineage
+from . import alignment, bpe, byte_bpe, exact_dedup, fingerprint, importance, language, packing, pii, quality, shards, simhash, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -138,3 +139,27 @@ def _pii(spark, sf_dir):
     return found.select(
         "doc_id", *[kind(k) for k in range(4)], F.sha2(pii.named(F.col("base")), 256).alias("base_sha256"), pii.named(F.col("spans")).alias("spans")
     )
+
+
+@query("op11_importance_resampling")
+def _importance(spark, sf_dir):
+    return importance.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "text", "text")
+
+
+@query("op12_byte_bpe")
+def _byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text", path)
+    return byte_bpe.decode(ids, "doc_id", path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op13_tokenizer_alignment")
+def _alignment(spark, sf_dir):
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align(table(spark, sf_dir, "documents"), "doc_id", "text", *paths)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    stored = cut_lineage(found.select("doc_id", *alignment.COUNTS, digest, "slice", "links", "pairs"))
+    return alignment.link_counts(stored, ["doc_id", *alignment.COUNTS, "groups_sha256"])
