@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 LIMIT = 2 << 20
 
@@ -26,6 +27,17 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str | int, limit: int =
             start = stop
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added to those that ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a column; null counts as empty."""
     return ["" if t is None else t for t in column.to_pylist()]

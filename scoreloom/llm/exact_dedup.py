@@ -26,6 +26,7 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..session import cut_lineage
+from .batches import unused
 
 BLOCK_BYTES = 4096
 BUCKETS = 1 << 14
@@ -124,11 +125,12 @@ def deduplicated(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     groups = exact_groups(df, id_col, text_col, {"mark": F.xxhash64}).withColumnRenamed(id_col, "dedup_id")
     keys = groups.groupBy("dedup_id", "mark").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
     gone = cut_lineage(keys.filter("NOT stays OR n > 1"))
-    same = lambda rows, keys: rows["dedup_row_id"].eqNullSafe(keys["dedup_id"]) & (rows["dedup_row_mark"] == keys["mark"])
-    rows = df.withColumns({"dedup_row_id": F.col(id_col), "dedup_row_mark": mark})
+    same = lambda rows, keys: rows[row_id].eqNullSafe(keys["dedup_id"]) & (rows[row_mark] == keys["mark"])
+    row_id, row_mark = unused(df, "dedup_row_id", "dedup_row_mark")
+    rows = df.withColumns({row_id: F.col(id_col), row_mark: mark})
     out = rows.join(gone, same(rows, gone), "left_anti").select(*df.columns)
     again = gone.filter("stays")  # rows that repeat both id and text: one of them stays
     if again.isEmpty():
         return out
-    once = rows.join(again, same(rows, again), "left_semi").dropDuplicates(["dedup_row_id", "dedup_row_mark"])
+    once = rows.join(again, same(rows, again), "left_semi").dropDuplicates([row_id, row_mark])
     return out.unionByName(once.select(*df.columns))

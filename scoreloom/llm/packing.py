@@ -2,9 +2,9 @@
 
 Documents are tokenised with a given vocabulary and followed by an end id; only those longer than a sequence
 are cut, the first piece taking the rest. Pieces are then items: groups of about ``group_items`` items are packed by best
-fit, largest first; bins with at most ``slack`` free places are done, the others go on as items of the next
-round with ``FAN_IN`` times fewer groups, until one group is left or nothing merges any more. A
-bin is named by its first item, so no numbers are handed out by one task.
+fit, largest first. Of the bins a group leaves no two fit into one, so at most one of them is half empty or more: these go on as items
+of the next round, ``group_items`` times fewer each, until they are one group; there they meet as many of the emptiest other
+bins, and after it no two bins of the whole fit into one. A bin is named by its first item, so no numbers are handed out by one task.
 
 Scale: texts are read once and not exchanged; what is exchanged are items of a few integers, in groups of
 bounded size. The places of the rounds are put together by joins on bins.
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import re
 import struct
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
@@ -27,22 +27,24 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
 from ..session import cut_lineage
-from .batches import by_bytes, texts
+from .batches import by_bytes, texts, unused
 
 SIZE = 2048
-GROUP_ITEMS = 8192
-FAN_IN = 8
+GROUP_ITEMS = 65_536
 JOINED = 256
 SPACE = "\u0120"  # fixed value: how byte-level vocabularies spell a space
 WORD = re.compile(r" [^\W_]+")
 BESIDE = re.compile(r"\s\s")
+ENDINGS = frozenset(".,;:!?|&$%#*")
 TAIL = re.compile(r"( ?[^\W_]+)([.,;:!?|&$%#*]+)")
 WORD_START = re.compile(r"(?<=\S)(?= \S)")
+MARKS = ".,;:!?"
+LOOSE = re.compile(r"[^0-9A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?]")  # a mark behind something else than a letter or digit
 
 
 class Tokens:
-    """Ids of whole texts. Byte-level splitting starts a new token before a single space and around a single
-    line end, whatever stands beside them, so texts are cut there and the ids of the parts remembered, in two
+    """Ids of whole texts. Byte-level splitting starts a new token before a single space, around a single
+    line end and between a letter or digit and a mark, whatever stands beside them, so texts are cut there and the ids of the parts remembered, in two
     memories of bounded size: when the newer is full it becomes the older one, and what is used again moves over."""
 
     def __init__(self, path: str, memory: int = 350_000, plain: bool = False):
@@ -66,7 +68,11 @@ class Tokens:
     def parts(self, text: str) -> list[str]:
         if "\0" in text or BESIDE.search(text):
             return WORD_START.split(text)
-        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        cut = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        if not LOOSE.search(text):
+            for mark in MARKS:
+                cut = cut.replace(mark, "\0" + mark)
+        return cut.split("\0")
 
     def learn(self, parts: list[str]) -> None:
         """Remember the ids of parts that the newer memory lacks."""
@@ -75,7 +81,7 @@ class Tokens:
         for part in parts:
             if (ids := older.get(part)) is not None:
                 known[part] = ids
-            elif halves := TAIL.fullmatch(part):  # between a letter or number and a mark a new token starts, too
+            elif part[-1:] in ENDINGS and (halves := TAIL.fullmatch(part)):  # between a letter or number and a mark a new token starts, too
                 joined.append((part, *halves.groups()))
                 new |= {half: None for half in halves.groups() if half not in known}
             else:
@@ -166,10 +172,11 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return first, place
 
 
-def pack(items: DataFrame, length_col: str = "length", size: int = SIZE, group_items: int = GROUP_ITEMS, slack: int = 8) -> DataFrame:
-    """``items`` with ``sequence_id`` and ``offset``; lengths have to lie in 1 to ``size``."""
-    kept = cut_lineage(items.withColumn("item", F.monotonically_increasing_id()))
-    bins = kept.select("item", F.col(length_col).cast("long").alias("fill"))
+def pack(items: DataFrame, length_col: str = "length", size: int = SIZE, group_items: int = GROUP_ITEMS) -> DataFrame:
+    """``items`` with ``sequence_id`` and ``offset``; lengths have to lie in 1 to ``size``. No two sequences of the result fit into one."""
+    (item_col,) = unused(items, "item")
+    kept = cut_lineage(items.withColumn(item_col, F.monotonically_increasing_id()))
+    bins = kept.select(F.col(item_col).alias("item"), F.col(length_col).cast("long").alias("fill"))
 
     def one_round(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["fill", "item"], ascending=[False, True], ignore_index=True)
@@ -180,29 +187,45 @@ def pack(items: DataFrame, length_col: str = "length", size: int = SIZE, group_i
         total = np.bincount(first, weights=fills, minlength=len(fills)).astype(np.int64)
         return pd.DataFrame({"item": names, "bin": names[first], "place": place, "fill": total[first]})
 
-    count = bins.count()
-    groups = max(1, -(-count // group_items))
-    placed = None
-    number = 0
-    while count:
-        number += 1
+    def packed(placed: DataFrame | None, bins: DataFrame, groups: int, number: int) -> tuple[DataFrame, DataFrame]:
+        """All items with their bins after one more round over ``bins``, and the bins that this round left."""
         chosen = F.pmod(F.xxhash64("item", F.lit(number)), F.lit(groups)).alias("g")
         step = bins.select("item", "fill", chosen).groupBy("g").applyInPandas(one_round, "item long, bin long, place long, fill long")
         step = cut_lineage(step)
+        left = step.filter("item = bin").select("item", "fill")
         if placed is None:
-            placed = step.select("item", "bin", "place")
-        else:
-            moved = step.filter("item <> bin").select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("place").alias("more"))
-            placed = placed.join(moved, "bin", "left").select(
-                "item", F.coalesce("to", "bin").alias("bin"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")
-            )
-        bins = step.filter(f"item = bin AND fill < {size - slack}").select("item", "fill")
-        before, count = count, bins.count()
-        fewer = max(1, -(-count // group_items), groups // FAN_IN)
-        if groups == 1 or (fewer >= groups and before - count <= before // 1000):
+            return step.select("item", "bin", "place"), left
+        moved = step.filter("item <> bin").select(F.col("item").alias("bin"), F.col("bin").alias("to"), F.col("place").alias("more"))
+        placed = placed.join(moved, "bin", "left").select(
+            "item", F.coalesce("to", "bin").alias("bin"), (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")
+        )
+        return placed, left
+
+    count = bins.count()
+    number, hosts = 1, []
+    placed, left = packed(None, bins, max(1, -(-count // group_items)), number)
+    while count > group_items:  # a group leaves at most one bin that is half empty or more; only those can still go into others
+        hosts.append(left.filter(F.col("fill") * 2 > size))
+        small = left.filter(F.col("fill") * 2 <= size)
+        count, least = small.agg(F.count(F.lit(1)), F.min("fill")).first()
+        if not count:
             break
-        groups = fewer
-    if placed is None:
-        placed = kept.select("item", F.col("item").alias("bin"), F.lit(0).cast("long").alias("place"))
-    placed = placed.select("item", F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
-    return kept.drop("sequence_id", "offset").join(placed, "item").drop("item")
+        number += 1
+        if count > group_items:
+            placed, left = packed(placed, small, -(-count // group_items), number)
+        else:  # the root: with as many hosts as there are such bins, the emptiest, whatever fits anywhere fits here
+            roomy = cut_lineage(_emptiest(reduce(DataFrame.unionByName, hosts).filter(F.col("fill") <= size - least), count))
+            placed, left = packed(placed, small.unionByName(roomy), 1, number)
+    placed = placed.select(F.col("item").alias(item_col), F.col("bin").alias("sequence_id"), F.col("place").alias("offset"))
+    return kept.drop("sequence_id", "offset").join(placed, item_col).drop(item_col)
+
+
+def _emptiest(bins: DataFrame, count: int) -> DataFrame:
+    """``count`` bins of the smallest fills; there are no more different fills than places."""
+    taken, fills = 0, []
+    for r in bins.groupBy("fill").agg(F.count(F.lit(1)).alias("n")).orderBy("fill").collect():
+        if taken + r["n"] >= count:
+            return bins.filter(F.col("fill").isin(fills)).unionByName(bins.filter(F.col("fill") == r["fill"]).limit(count - taken))
+        taken += r["n"]
+        fills.append(r["fill"])
+    return bins

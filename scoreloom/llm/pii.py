@@ -22,7 +22,9 @@ ends exclusive; added spans never overlap base ones or each other; further colum
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..session import cut_lineage
-from .batches import by_bytes, texts
+from .batches import by_bytes, texts, unused
 from .components import Steps
 
 KINDS = ("email", "ip", "card", "phone")
@@ -39,7 +41,7 @@ ROUNDS = 3
 SUPPORT = 4
 CONFIDENT = 0.8
 UNSEEN = 0.2  # weight of a doubt about the own kind: a pattern bears about as many new instances as believed ones
-BESIDE = 64  # code points beside a mention that are searched for words
+NAMED = 64  # a longer word stands in a pattern as its digest
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGIT = re.compile(r"[0-9]")
@@ -55,6 +57,7 @@ SHAPES = {
     CARD: re.compile(r"(?<![\w.-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\w-])"),
     PHONE: re.compile(r"(?<![\w.(-])(?:\+?[0-9]{1,3}[ .-])?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-][0-9]{2,4}){1,3}(?![\w-])"),
 }
+BEFORE_AT, AFTER_AT = 65, 344  # the longest that the first shape can have before and behind its sign
 WORD = re.compile(r"[^\W\d_]+")
 AT = re.compile(r"@|\(at\)|\[at\]")
 
@@ -106,32 +109,61 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     for low, high in zip(edges[::2], edges[1::2], strict=True):  # the gaps between base spans; overlapping ones leave none
         if high <= low:
             continue
-        own: list[tuple[int, int, int]] = []
+        starts: list[int] = []  # of what is found in the gap, sorted, and where each of them ends
+        ends: list[int] = []
         for kind, shape in SHAPES.items():
             if kind == IP and text.count(":", low, high) < 4 or kind in (CARD, PHONE) and not DIGIT.search(text, low, high):
                 continue
             if kind == EMAIL:
-                places = [m for a in AT.finditer(text, low, high) for m in shape.finditer(text, max(low, a.start() - 66), min(high, a.end() + 330))]
+                places = [m for a in AT.finditer(text, low, high) for m in shape.finditer(text, max(low, a.start() - BEFORE_AT), min(high, a.end() + AFTER_AT))]
             else:
                 places = shape.finditer(text, low, high)
             for m in places:
                 s, e = m.span()
                 if kind == PHONE and not 7 <= sum(c.isdigit() for c in m.group()) <= 15:
                     continue
-                if all(e <= a or b <= s for _, a, b in own):
-                    own.append((kind, s, e))
-        found += own
+                at = bisect_left(starts, s)
+                if (at == 0 or ends[at - 1] <= s) and (at == len(starts) or e <= starts[at]):
+                    starts.insert(at, s)
+                    ends.insert(at, e)
+                    found.append((kind, s, e))
     return found
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The word before, the two words before and the word after, each as a pattern."""
-    before = [w.lower() for w in WORD.findall(text, max(0, start - BESIDE), start)[-2:]]
-    after = WORD.search(text, end, min(len(text), end + BESIDE))
-    out = [f"{before[-1]} _"] if before else []
-    if len(before) == 2:
-        out.append(f"{before[0]} {before[1]} _")
-    return out + ([f"_ {after.group().lower()}"] if after else [])
+def _word(text: str, start: int, end: int) -> str:
+    word = text[start:end].lower()
+    return word if len(word) <= NAMED else "#" + hashlib.md5(word.encode()).hexdigest()
+
+
+def contexts(text: str, mentions: list[tuple[int, int, int]]) -> list[list[str]]:
+    """For each mention the word before, the two words before and the word after, however far away, each as a pattern."""
+    before: list[tuple] = [()] * len(mentions)
+    after: list[str | None] = [None] * len(mentions)
+    words, word = WORD.finditer(text) if mentions else iter(()), None
+    last: tuple = ()
+    word = next(words, None)
+    for i in sorted(range(len(mentions)), key=lambda i: mentions[i][1]):
+        start = mentions[i][1]
+        while word and word.end() <= start:
+            last, word = (*last[-1:], word.span()), next(words, None)
+        # a word that the mention cuts counts with its part outside
+        before[i] = (*last[-1:], (word.start(), start)) if word and word.start() < start else last
+    words = WORD.finditer(text) if mentions else iter(())
+    word = next(words, None)
+    for i in sorted(range(len(mentions)), key=lambda i: mentions[i][2]):
+        end = mentions[i][2]
+        while word and word.end() <= end:
+            word = next(words, None)
+        if word:
+            after[i] = _word(text, max(word.start(), end), word.end())
+    out = []
+    for spans, follows in zip(before, after, strict=True):
+        own = [_word(text, *span) for span in spans]
+        patterns = [f"{own[-1]} _"] if own else []
+        if len(own) == 2:
+            patterns.append(f"{own[0]} {own[1]} _")
+        out.append(patterns + ([f"_ {follows}"] if follows else []))
+    return out
 
 
 SCAN = "base array<struct<kind int, start long, `end` long>>, mentions array<struct<kind int, start long, `end` long, value string, seed boolean, patterns array<string>>>"
@@ -151,7 +183,8 @@ def scan(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 base.append([{"kind": k, "start": s, "end": e} for k, s, e in own])
                 every = [(x, True) for x in own] + [(x, False) for x in candidates(text, own)]
                 mentions.append([
-                    {"kind": k, "start": s, "end": e, "value": text[s:e].lower(), "seed": seed, "patterns": contexts(text, s, e)} for (k, s, e), seed in every
+                    {"kind": k, "start": s, "end": e, "value": text[s:e].lower(), "seed": seed, "patterns": patterns}
+                    for ((k, s, e), seed), patterns in zip(every, contexts(text, [x for x, _ in every]), strict=True)
                 ])
             arrays = [pa.array(base, pa.list_(pa.struct(span))), pa.array(mentions, pa.list_(pa.struct(mention)))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["id", "base", "mentions"])
@@ -225,9 +258,11 @@ def redact(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     digest = F.xxhash64(F.coalesce(text_col, F.lit("")))
     scanned = scan(df.select(F.struct(F.col(id_col).alias("pii_id"), digest.alias("pii_hash")).alias("pii_key"), F.col(text_col).alias("pii_text")), "pii_key", "pii_text")
     added = _added(scanned).join(scanned.select("row", "id"), "row").select("id.*", "added").groupBy("pii_id", "pii_hash").agg(F.min("added").alias("pii_added"))
-    rows = df.withColumns({"pii_row_id": F.col(id_col), "pii_row_hash": digest})
-    same = F.col("pii_row_id").eqNullSafe(F.col("pii_id")) & (F.col("pii_row_hash") == F.col("pii_hash"))
-    joined = rows.join(cut_lineage(added), same, "left").select(*[rows[c] for c in df.columns], "pii_added")
+    row_id, row_hash, key_id, key_hash, spans_col = unused(df, "pii_row_id", "pii_row_hash", "pii_id", "pii_hash", "pii_added")
+    rows = df.withColumns({row_id: F.col(id_col), row_hash: digest})
+    added = cut_lineage(added).toDF(key_id, key_hash, spans_col)
+    same = F.col(row_id).eqNullSafe(F.col(key_id)) & (F.col(row_hash) == F.col(key_hash))
+    joined = rows.join(added, same, "left").select(*[rows[c] for c in df.columns], spans_col)
     names = df.columns
     at, width = names.index(text_col), len(names)
 

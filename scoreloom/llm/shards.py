@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..session import cut_lineage
+from .batches import unused
 
 CELL_ROWS = 2048
 NUMPY_LIMIT = 1_000_000_000  # numpy's hypergeometric sampler takes populations below it
@@ -102,7 +103,8 @@ def into_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     found = {r["p"]: r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
     matrix = spark.sparkContext.broadcast(Matrix(counts, shards, seed))
-    added = ["shard", "shard_cell", "shard_key", "shard_row"]
+    cell_col, key_col, row_col, rank_col, offset_col = unused(df, "shard_cell", "shard_key", "shard_row", "shard_rank", "shard_offset")
+    added = ["shard", cell_col, key_col, row_col]
     kinds = [IntegerType(), LongType(), LongType(), LongType()]
     schema = StructType([*df.schema.fields, *[StructField(n, k) for n, k in zip(added, kinds, strict=True)]])
 
@@ -125,13 +127,13 @@ def into_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
             for p in batch.column(0).to_pylist():
                 shard, cell, _ = matrix.value.dealt(p)
                 keys, n = np.unique(shard.astype(np.int64) << 40 | cell, return_counts=True)
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, [(keys >> 40).astype(np.int32), keys & (1 << 40) - 1, n])), names=["shard", "shard_cell", "n"])
-
-    cells = spark.range(len(counts)).repartition("id").mapInArrow(sizes, "shard int, shard_cell long, n long")
-    cells = cut_lineage(cells.groupBy("shard", "shard_cell").agg(F.sum("n").alias("n")))
-    earlier = W.partitionBy("shard").orderBy("shard_cell").rowsBetween(W.unboundedPreceding, -1)
-    offsets = cells.select("shard", "shard_cell", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shard_offset"))
-    rank = F.row_number().over(W.partitionBy("shard", "shard_cell").orderBy("shard_key", "shard_row"))
-    ranked = df.mapInArrow(deal, schema).withColumn("shard_rank", rank)
-    placed = ranked.join(offsets, ["shard", "shard_cell"])
-    return placed.select(*df.columns, "shard", (F.col("shard_offset") + F.col("shard_rank") - 1).cast("long").alias("slot"))
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, [(keys >> 40).astype(np.int32), keys & (1 << 40) - 1, n])), names=["shard", cell_col, "n"])
+
+    cells = spark.range(len(counts)).repartition("id").mapInArrow(sizes, f"shard int, {cell_col} long, n long")
+    cells = cut_lineage(cells.groupBy("shard", cell_col).agg(F.sum("n").alias("n")))
+    earlier = W.partitionBy("shard").orderBy(cell_col).rowsBetween(W.unboundedPreceding, -1)
+    offsets = cells.select("shard", cell_col, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(offset_col))
+    rank = F.row_number().over(W.partitionBy("shard", cell_col).orderBy(key_col, row_col))
+    ranked = df.mapInArrow(deal, schema).withColumn(rank_col, rank)
+    placed = ranked.join(offsets, ["shard", cell_col])
+    return placed.select(*df.columns, "shard", (F.col(offset_col) + F.col(rank_col) - 1).cast("long").alias("slot"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import cut_lineage
-from .batches import by_bytes
+from .batches import by_bytes, unused
 from .components import connected
 
 SEED = 42
@@ -153,6 +153,7 @@ def near_deduplicated(df: DataFrame, id_col: str, text_col: str, width: int = 3,
     keyed = df.select(F.struct(F.col(id_col).alias("near_id"), mark.alias("near_mark")).alias("key"), F.col(text_col).alias("near_text"))
     groups = near_groups(keyed, "key", "near_text", width, distance)
     gone = cut_lineage(groups.filter("key <> component_id").select("key.*").distinct())
-    rows = df.withColumns({"near_row_id": F.col(id_col), "near_row_mark": mark})
-    same = rows["near_row_id"].eqNullSafe(gone["near_id"]) & (rows["near_row_mark"] == gone["near_mark"])
+    row_id, row_mark = unused(df, "near_row_id", "near_row_mark")
+    rows = df.withColumns({row_id: F.col(id_col), row_mark: mark})
+    same = rows[row_id].eqNullSafe(gone["near_id"]) & (rows[row_mark] == gone["near_mark"])
     return rows.join(gone, same, "left_anti").select(*df.columns)

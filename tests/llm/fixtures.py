@@ -14,6 +14,7 @@ ROWS = [
 CLASHING = [
     "host", "rule", "shard", "slot", "ids", "decoded", "fp", "h", "name", "row", "kind", "score", "label", "g", "range", "own", "t", "value", "spans", "n_chars", "lang", "source",
     "sequence_id", "offset", "piece", "start", "length", "item", "key", "component_id", "keep_id", "pos", "n", "id", "base", "added",
+    "shard_key", "shard_cell", "shard_row", "pii_row_id", "pii_row_hash", "pii_added", "near_row_id", "near_row_mark", "dedup_row_id", "dedup_row_mark", "part", "able", "slice",
 ]
 
 

@@ -59,7 +59,7 @@ def test_best_fit():
 
 def test_packing_of_awkward_rows(spark):
     pieces = packing.token_pieces(awkward(spark), "doc_id", "text", BYTES, 2048, 0)
-    rows = packing.pack(pieces, group_items=16, slack=0).collect()
+    rows = packing.pack(pieces, group_items=4).collect()
     library = Tokenizer.from_file(BYTES)
     want = Counter()
     for d, t in ROWS:
@@ -87,10 +87,24 @@ def test_packing_is_gapless_and_tight(spark):
             assert offset == at
             at += n
         assert at <= 2048
+    fills = sorted(sum(n for _, n in own) for own in bins.values())
+    assert fills[0] + fills[1] > 2048
     whole = len(np.unique(packing.best_fit(np.sort(lengths)[::-1], 2048)[0]))
     assert len(bins) <= 1.01 * whole
 
 
+def test_packing_to_a_root(spark):
+    random.seed(6)
+    lengths = [random.choice([1, random.randint(700, 1999), random.randint(900, 1100)]) for _ in range(1500)]
+    items = spark.createDataFrame([(n,) for n in lengths], "length long")
+    rows = packing.pack(items, group_items=6).collect()
+    fills = Counter()
+    for r in rows:
+        fills[r["sequence_id"]] += r["length"]
+    assert fills.total() == sum(lengths) and max(fills.values()) <= 2048
+    assert sum(sorted(fills.values())[:2]) > 2048
+
+
 def test_packing_when_nothing_fits(spark):
     items = spark.range(300).selectExpr("1100L AS length")
     assert packing.pack(items, group_items=50).select("sequence_id").distinct().count() == 300
