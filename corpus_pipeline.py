@@ -11,7 +11,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scoreloom.llm import exact_dedup, packing, pii, quality, similar
+from scoreloom.llm import exact_dedup, packing, pii, quality, simhash
 from scoreloom.llm.queries import held_out
 from scoreloom.session import checkpoint_folder
 
@@ -29,8 +29,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a similarity of 0.8 or more of their 5-word shingles, the smallest id."""
-    return similar.near_deduplicated(docs, "doc_id", "text")
+    """Of texts linked at 2 bits or fewer of the SimHash of their 3-word shingles, the smallest id."""
+    return simhash.near_deduplicated(docs, "doc_id", "text", width=3, distance=2)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
