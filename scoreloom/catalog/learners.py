@@ -165,7 +165,7 @@ def _approximate(spark, sf):
     return neighbors.approximate_neighbors(rows, rows.filter("vec_id % 5 <> 0"), "vec_id", "embedding", 1.1)
 
 
-ROUNDS = 3
+ROUNDS = 30  # fixed value: most rounds
 _GRAPH_SQL = (
     f"edges AS MATERIALIZED (SELECT i, j FROM (SELECT q.vec_id AS i, p.vec_id AS j, row_number() OVER (PARTITION BY q.vec_id "
     f"ORDER BY list_distance(q.v, p.v), p.vec_id) AS rn FROM (SELECT {_POINT} FROM embeddings) q, (SELECT {_POINT} FROM embeddings) p) "
@@ -202,6 +202,11 @@ def _spreading_sql() -> str:
     return f"WITH {_GRAPH_SQL}, {', '.join(steps)} SELECT i AS vec_id, p1 / nullif(p0 + p1, 0) AS score FROM s{ROUNDS}"
 
 
+@query("descent_neighbor_graph", "vec_id,neighbor:int")
+def _descent(spark, sf):
+    return neighbors.descent_graph(table(spark, sf, "embeddings"), "vec_id", "embedding", neighbors.GRAPH_NEIGHBORS)
+
+
 def _graph(spark, sf):
     rows = table(spark, sf, "embeddings")
     labels = rows.selectExpr("vec_id", "CASE WHEN vec_id % 5 = 0 THEN NULL WHEN label < 5 THEN 1 ELSE 0 END AS y")

@@ -1,59 +1,150 @@
-"""Exact nearest neighbours and label propagation over the neighbour graph.
-
-The labelled points are cut into shells: the cell of their nearest pivot, then
-rings by distance to it. For each query a radius that surely holds k points
-follows from the shells' counts alone, and the triangle inequality rules out
-every shell that cannot reach into it. Only the remaining (query, shell) pairs
-are sent out, in blocks of bounded size, and measured inside the tasks. No shell
-that may hold a neighbour is left out, so the result is exact.
+"""Exact nearest neighbours, a neighbour graph by descent, and label propagation over the graph.
+
+``nearest`` routes all points through a metric tree (``metric_tree``) and sends each query to its leaves twice: first to the
+nearest ones that hold k points, which gives the true k-th distance there, then, with that distance as radius, to every other
+leaf whose ball reaches into it. No leaf that may hold a neighbour is left out, so the result is exact. What the tasks hold is the tree, whose
+number of leaves is bounded; points are exchanged once for each visit, in blocks, and a leaf that very many queries visit is measured by
+several tasks. Of points in one place only the k smallest ids can be neighbours, so copies cost nothing.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
+from . import metric_tree
 
-SHELL_ROWS = 1024  # wanted points per shell
-BLOCK_ROWS = 4096  # most points of a shell measured in one go
-CHUNK_ROWS = 8192  # queries measured in one go
-MAX_PIVOTS = 1024  # pivot vectors held by every task
-RINGS = 4
-SLACK = 1e-9  # rounding room in the bounds; never excludes a neighbour
+LEAF_ROWS = 512  # wanted points of a leaf
+MAX_LEAVES = 16_384  # the tree held by every task; leaves grow beyond LEAF_ROWS * MAX_LEAVES points
+BLOCK_ROWS = 4096  # most points of a leaf measured in one go
+CHUNK_ROWS = 16_384  # most visits to a block measured by one task
+TREES = 4  # of the start of a descent
+SLACK = 1e-6  # rounding room in the bounds, a share of the vectors' length; never excludes a neighbour
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
-    return np.sqrt(np.maximum(square, 0.0))
+def grown_tree(points: DataFrame, count: int) -> metric_tree.Tree:
+    """A tree over points ``_t, _v`` from a fixed pseudo-random choice of them, bounded by ``MAX_LEAVES``."""
+    leaves = max(1, min(MAX_LEAVES, math.ceil(count / LEAF_ROWS)))
+    rows = points.orderBy(F.xxhash64("_t"), "_t").limit(leaves * metric_tree.SAMPLE_ROWS).select("_v").collect()
+    return metric_tree.build(np.array([r["_v"] for r in rows], dtype=float), leaves)
+
+
+def _routed(points: DataFrame, tree: metric_tree.Tree) -> DataFrame:
+    """The points with their leaf and their distance to its centre."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                x = _matrix(pdf["_v"])
+                leaf = tree.leaves_of(x)
+                yield pdf.assign(_leaf=leaf.astype("int32"), _r=np.sqrt(((x - tree.centres[leaf]) ** 2).sum(axis=1)))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema)
+    return points.mapInPandas(run, f"{kinds}, _leaf int, _r double")
+
+
+class Balls:
+    """Number of points of each leaf and the least and largest distance to its centre."""
+
+    def __init__(self, tree: metric_tree.Tree, routed: DataFrame):
+        found = routed.groupBy("_leaf").agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("low"), F.max("_r").alias("high")).toPandas()
+        found = found.sort_values("_leaf")  # at most MAX_LEAVES rows
+        self.leaf = found["_leaf"].to_numpy()
+        self.size, self.low, self.high = (found[c].to_numpy() for c in ("n", "low", "high"))
+        self.centres = tree.centres[self.leaf]
+        self.blocks = np.maximum(1, -(-self.size // BLOCK_ROWS))
 
+    def first(self, away: np.ndarray, k: int) -> np.ndarray:
+        """For each query, given its distances to the centres: whether a leaf is among the nearest that hold ``k`` points."""
+        order = np.argsort(away, axis=1, kind="stable")
+        held = np.cumsum(self.size[order], axis=1)
+        out = np.zeros(away.shape, bool)
+        np.put_along_axis(out, order, held - self.size[order] < k, axis=1)
+        return out
 
-def _pivots(points: DataFrame, count: int) -> np.ndarray:
-    """A fixed pseudo-random choice of points, at most ``MAX_PIVOTS``."""
-    rows = points.orderBy(F.xxhash64("_t"), "_t").limit(count).select("_v").collect()
-    return np.array([r["_v"] for r in rows], dtype=float)
+    def reached(self, away: np.ndarray, radius: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Whether a ball comes as near as the query's radius."""
+        gap = np.maximum(away - self.high, self.low - away)
+        room = SLACK * (length[:, None] + np.sqrt((self.centres**2).sum(axis=1))[None, :] + self.high[None, :])
+        return gap <= radius[:, None] + room
 
 
-def _with_cells(points: DataFrame, pivots: np.ndarray, step: float) -> DataFrame:
-    def place(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _visits(queries: DataFrame, balls: Balls, k: int, second: bool) -> DataFrame:
+    """``_q, _v, _radius, _leaf, _block``: where the queries go, by blocks of the leaves; ``_radius`` is infinite for the first visit."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            d = _distances(_matrix(pdf["_v"]), pivots)
-            cell = d.argmin(axis=1)
-            r = d[np.arange(len(d)), cell]
-            ring = np.minimum((r / step).astype(int), RINGS - 1) if step > 0 else np.zeros(len(r), int)
-            yield pdf.assign(_shell=(cell * RINGS + ring).astype("int32"), _r=r)
+            for start in range(0, len(pdf), 256):
+                part = pdf.iloc[start : start + 256]
+                x = _matrix(part["_v"])
+                away = metric_tree.distances(x, balls.centres)
+                go = balls.first(away, k)
+                radius = part["_radius"].to_numpy() if second else np.full(len(part), np.inf)
+                if second:
+                    go = balls.reached(away, radius, np.sqrt((x * x).sum(axis=1))) & ~go
+                who, where = np.nonzero(go)
+                copies = balls.blocks[where]
+                who, where = np.repeat(who, copies), np.repeat(where, copies)
+                block = np.arange(len(who)) - np.repeat(np.cumsum(copies) - copies, copies)
+                yield pd.DataFrame({"_q": part["_q"].to_numpy()[who], "_v": part["_v"].to_numpy()[who], "_radius": radius[who],
+                                    "_leaf": balls.leaf[where].astype("int32"), "_block": block.astype("int32")})
+
+    kind = dict(queries.dtypes)["_q"]
+    return queries.mapInPandas(run, f"_q {kind}, _v array<double>, _radius double, _leaf int, _block int")
+
+
+def _measured(visits: DataFrame, held: DataFrame, k: int, carry: Sequence[str]) -> DataFrame:
+    """``_q, distance, _t, carry...``: of each visit at most the k nearest points within the radius."""
+    kinds = dict(held.dtypes)
+    kind, carried = dict(visits.dtypes)["_q"], list(carry)
+    stored = cut_lineage(visits)
+    # a block with many visits is measured in parts, each with its own copy of the block's few points
+    parts = stored.groupBy("_leaf", "_block").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("_parts"))
+    asked = stored.join(parts, ["_leaf", "_block"]).withColumn("_part", F.pmod(F.xxhash64("_q"), F.col("_parts")).cast("int")).drop("_parts")
+    points = held.join(parts, ["_leaf", "_block"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    columns = ["_q", "distance", "_t", *carried]
 
-    kinds = {f.name: f.dataType.simpleString() for f in points.schema}
-    schema = ", ".join(f"{n} {t}" for n, t in kinds.items()) + ", _shell int, _r double"
-    return points.mapInPandas(place, schema)
+    def measure(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        if len(left) and len(right):
+            vectors, ids = _matrix(right["_v"]), right["_t"].to_numpy()
+            longest = np.sqrt((vectors * vectors).sum(axis=1)).max()
+            for start in range(0, len(left), 256):
+                part = left.iloc[start : start + 256]
+                x = _matrix(part["_v"])
+                rough = metric_tree.distances(x, vectors)
+                limit = part["_radius"].to_numpy()
+                if len(vectors) > k:
+                    limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
+                room = SLACK * (np.sqrt((x * x).sum(axis=1)) + longest)
+                who, near = np.nonzero(rough <= (limit + room)[:, None])
+                away = vectors[near] - x[who]
+                d = np.sqrt((away * away).sum(axis=1))
+                order = np.lexsort((ids[near], d, who))
+                who, near, d = who[order], near[order], d[order]
+                place = np.arange(len(who)) - np.searchsorted(who, who)
+                keep = (place < k) & (d <= part["_radius"].to_numpy()[who])
+                found.append(right.iloc[near[keep]][["_t", *carried]].assign(_q=part["_q"].to_numpy()[who[keep]], distance=d[keep]))
+        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
+
+    schema = ", ".join([f"_q {kind}", "distance double", f"_t {kinds['_t']}", *[f"`{c}` {kinds[c]}" for c in carried]])
+    keys = ["_leaf", "_block", "_part"]
+    return asked.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(measure, schema)
+
+
+def _first_k(rows: DataFrame, k: int) -> DataFrame:
+    place = F.row_number().over(Window.partitionBy("_q").orderBy("distance", "_t"))
+    return rows.withColumn("rn", place).filter(F.col("rn") <= k)
 
 
 def nearest(
@@ -64,86 +155,87 @@ def nearest(
     ``carry`` columns come from the neighbour. Equal distances are ordered by id; a
     point that is also a query is its own first neighbour.
     """
-    kind = dict(points.dtypes)[id]
     pts = points.select(F.col(id).alias("_t"), F.col(vector).cast("array<double>").alias("_v"), *carry)
     qs = queries.select(F.col(id).alias("_q"), F.col(vector).cast("array<double>").alias("_v"))
-    n_points, n_queries = pts.count(), qs.count()
-    if n_points == 0 or n_queries == 0:
+    copy = F.row_number().over(Window.partitionBy("_v").orderBy("_t"))
+    pts = pts.withColumn("_copy", copy).filter(F.col("_copy") <= k).drop("_copy")
+    count = pts.count()
+    if count == 0 or qs.isEmpty():
         raise ValueError("nearest needs at least one point and one query")
-    count = max(1, min(MAX_PIVOTS, math.ceil(n_points / (SHELL_ROWS * RINGS)), n_points))
-    pivots = _pivots(pts, count)
-    # rings of equal width; only their number matters for cost, nothing for the result
-    spread = _distances(pivots, pivots)
-    step = float(np.median(spread[spread > 0]) / RINGS) if (spread > 0).any() else 0.0
-    placed = _with_cells(pts, pivots, step)
-    shells = placed.groupBy("_shell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("_r").alias("low"), F.max("_r").alias("high")
-    ).toPandas()  # at most MAX_PIVOTS * RINGS rows
-    cell = (shells["_shell"] // RINGS).to_numpy()
-    size, low, high = (shells[c].to_numpy() for c in ("n", "low", "high"))
-    number = shells["_shell"].to_numpy()
-    blocks = np.maximum(1, np.ceil(size / BLOCK_ROWS)).astype(int)
-    chunks = max(1, math.ceil(n_queries / CHUNK_ROWS))
-
-    def visits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for start in range(0, len(pdf), 512):
-                part = pdf.iloc[start : start + 512]
-                d = _distances(_matrix(part["_v"]), pivots)[:, cell]
-                reach = d + high
-                order = np.argsort(reach, axis=1, kind="stable")
-                held = np.cumsum(size[order], axis=1)
-                at = np.minimum((held < k).sum(axis=1), len(size) - 1)
-                radius = np.take_along_axis(reach, order, axis=1)[np.arange(len(part)), at]
-                radius = np.where(held[:, -1] < k, np.inf, radius * (1 + SLACK) + SLACK)
-                gap = np.maximum(np.maximum(d - high, low - d), 0.0) * (1 - SLACK) - SLACK
-                who, where = np.nonzero(gap <= radius[:, None])
-                for b in range(int(blocks.max())):
-                    take = blocks[where] > b
-                    yield pd.DataFrame(
-                        {
-                            "_q": part["_q"].to_numpy()[who[take]],
-                            "_v": part["_v"].to_numpy()[who[take]],
-                            "_radius": radius[who[take]],
-                            "_shell": number[where[take]],
-                            "_block": b,
-                        }
-                    )
-
-    asked = qs.mapInPandas(visits, f"_q {kind}, _v array<double>, _radius double, _shell int, _block int")
-    asked = asked.withColumn("_chunk", F.pmod(F.xxhash64("_q"), F.lit(chunks)).cast("int"))
-    per_shell = pts.sparkSession.createDataFrame(
-        [(int(s), int(b)) for s, b in zip(number, blocks)], "_shell int, _blocks int"
-    )
-    held = (
-        placed.join(F.broadcast(per_shell), "_shell")
-        .withColumn("_block", F.pmod(F.xxhash64("_t"), F.col("_blocks")).cast("int"))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    )
-    carried = list(carry)
-    kinds = dict(points.dtypes)
-
-    def measure(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        if len(left) and len(right):
-            vectors = _matrix(right["_v"])
-            ids = right["_t"].to_numpy()
-            for q, v, radius in zip(left["_q"], left["_v"], left["_radius"]):
-                away = vectors - np.asarray(v, dtype=float)
-                d = np.sqrt((away * away).sum(axis=1))
-                near = np.nonzero(d <= radius)[0]
-                if len(near) > k:
-                    near = near[np.lexsort((ids[near], d[near]))[:k]]
-                found.append(right.iloc[near][["_t", *carried]].assign(_q=q, distance=d[near]))
-        columns = ["_q", "distance", "_t", *carried]
-        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
-
-    schema = ", ".join([f"_q {kind}", "distance double", f"_t {kind}", *[f"{c} {kinds[c]}" for c in carried]])
-    keys = ["_shell", "_block", "_chunk"]
-    measured = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(measure, schema)
-    place = F.row_number().over(Window.partitionBy("_q").orderBy("distance", "_t"))
-    ranked = measured.withColumn("rn", place).filter(F.col("rn") <= k)
-    return ranked.select(F.col("_q").alias(id), "rn", "distance", F.col("_t").alias("neighbor"), *carried)
+    tree = grown_tree(pts, count)
+    routed = cut_lineage(_routed(pts, tree))
+    balls = Balls(tree, routed)
+    split = points.sparkSession.createDataFrame(list(zip(balls.leaf.tolist(), balls.blocks.tolist(), strict=True)), "_leaf int, _blocks int")
+    held = routed.drop("_r").join(F.broadcast(split), "_leaf")  # one row for each leaf
+    held = held.withColumn("_block", F.pmod(F.xxhash64("_t"), F.col("_blocks")).cast("int")).drop("_blocks")
+    near = cut_lineage(_first_k(_measured(_visits(qs, balls, k, False), held, k, carry), k))
+    # the k-th distance of the first visit; without k points at hand it is infinite
+    reach = near.groupBy("_q").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_n"))
+    radius = F.when(F.col("_n") >= k, F.col("_far")).otherwise(F.lit(math.inf))
+    known = qs.join(reach, "_q").select("_q", "_v", radius.alias("_radius"))
+    more = _measured(_visits(known, balls, k, True), held, k, carry)
+    ranked = _first_k(near.drop("rn").unionByName(more), k)
+    return ranked.select(F.col("_q").alias(id), "rn", "distance", F.col("_t").alias("neighbor"), *carry)
+
+
+def descent_graph(points: DataFrame, id: str, vector: str, k: int, pool: int = 40, rounds: int = 12, least: float = 0.001, leaf_rows: int = 64) -> DataFrame:
+    """(id, neighbor) edges to k near points, the point itself included, by descent over bounded lists; may miss some.
+
+    The lists start inside the leaves of ``TREES`` metric trees over different samples. In a round every point introduces its neighbours, and those that have it as
+    one of theirs (the nearest ``pool`` of them), to each other, and each list keeps its ``pool`` nearest, of which the first k are the
+    edges. Rounds end when fewer than ``least`` of all entries change. ``nearest`` is the exact way.
+    """
+    kind = dict(points.dtypes)[id]
+    pts = cut_lineage(points.select(F.col(id).alias("_t"), F.col(vector).cast("array<double>").alias("_v")))
+    count = pts.count()
+
+    def dealt(seed: int) -> DataFrame:
+        """The points with their leaf of one tree; a leaf above leaf_rows points is cut into groups by hash, so no group grows with a leaf."""
+        leaves = max(1, min(MAX_LEAVES, count // leaf_rows))
+        rows = pts.orderBy(F.xxhash64("_t", F.lit(seed)), "_t").limit(leaves * metric_tree.SAMPLE_ROWS).select("_v").collect()
+        routed = cut_lineage(_routed(pts, metric_tree.build(np.array([r["_v"] for r in rows], dtype=float), leaves)))
+        groups = routed.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf_rows)).alias("_groups"))
+        return routed.join(groups, "_leaf").withColumn("_g", F.pmod(F.xxhash64("_t", F.lit(seed)), F.col("_groups")))
+
+    def pairs(ids: np.ndarray, x: np.ndarray, limits: np.ndarray | None) -> pd.DataFrame:
+        """For each member of a group its k nearest others, only those nearer than its limit."""
+        d = metric_tree.distances(x, x)
+        np.fill_diagonal(d, np.inf)
+        if limits is not None:
+            d[d >= limits[:, None]] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")[:, :own]
+        who, place = np.nonzero(np.isfinite(np.take_along_axis(d, order, axis=1)))
+        near = order[who, place]
+        away = x[who] - x[near]
+        return pd.DataFrame({"_q": ids[who], "_t": ids[near], "distance": np.sqrt((away * away).sum(axis=1))})
+
+    def start(group: pd.DataFrame) -> pd.DataFrame:
+        return pairs(group["_t"].to_numpy(), _matrix(group["_v"]), None)
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        return pairs(group["_t"].to_numpy(), _matrix(group["_v"]), group["_limit"].to_numpy())
+
+    schema = f"_q {kind}, _t {kind}, distance double"
+    own = max(pool, k - 1)
+    found = reduce(DataFrame.unionByName, [dealt(seed).groupBy("_leaf", "_g").applyInPandas(start, schema) for seed in range(TREES)])
+    lists = cut_lineage(_first_k(found.groupBy("_q", "_t").agg(F.min("distance").alias("distance")), own).drop("rn"))
+    for _ in range(rounds):
+        far = lists.groupBy("_q").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_n"))
+        limit = F.when(F.col("_n") >= own, F.col("_far")).otherwise(F.lit(math.inf))
+        members = pts.join(far.withColumnRenamed("_q", "_t"), "_t", "left").select("_t", "_v", F.coalesce(limit, F.lit(math.inf)).alias("_limit"))
+        back = lists.select(F.col("_t").alias("_q"), F.col("_q").alias("_t"), "distance")
+        back = _first_k(back, own).select("_q", "_t")
+        met = lists.select("_q", "_t").unionByName(back).unionByName(pts.select(F.col("_t").alias("_q"), "_t")).distinct()
+        found = met.join(members, "_t").groupBy("_q").applyInPandas(meet, schema)
+        every = lists.withColumn("_old", F.lit(1)).unionByName(found.withColumn("_old", F.lit(0)))
+        every = every.groupBy("_q", "_t").agg(F.min("distance").alias("distance"), F.max("_old").alias("_old"))
+        lists = cut_lineage(_first_k(every, own).drop("rn"))
+        new = lists.filter("_old = 0").count()
+        lists = lists.drop("_old")
+        if new <= least * count * own:
+            break
+    every = _first_k(lists, k - 1).select("_q", "_t").unionByName(pts.select(F.col("_t").alias("_q"), "_t"))
+    return every.select(F.col("_q").alias(id), F.col("_t").alias("neighbor"))
 
 
 BUCKET_SHARE = 1.0  # bucket length in spreads of one coordinate
@@ -205,6 +297,7 @@ def approximate_neighbors(
     )
 
 
+RESIDUAL = 1e-12  # rounds end when no share has moved by more since the last table was written
 GRAPH_NEIGHBORS = 7  # fixed value: neighbours per node of the propagation graph
 
 
@@ -231,19 +324,26 @@ def _moved(edges: DataFrame, state: DataFrame, id: str) -> DataFrame:
     )
 
 
+def _moves(state: DataFrame, before: DataFrame, id: str) -> float:
+    """The largest change of a share between two tables of states."""
+    old = before.select(id, F.col("_p0").alias("_o0"), F.col("_p1").alias("_o1"))
+    change = F.greatest(F.abs(F.col("_p0") - F.col("_o0")), F.abs(F.col("_p1") - F.col("_o1")))
+    return state.join(old, id).agg(F.max(change)).first()[0] or 0.0
+
+
 def _share(name: str):
     return F.try_divide(F.col("_p1"), F.col("_p0") + F.col("_p1")).alias(name)
 
 
 def label_propagation(
     edges: DataFrame, labels: DataFrame, id: str, label: str, rounds: int = 30, cut_every: int = 5,
-    name: str = "label_propagation_knn_kernel",
+    name: str = "label_propagation_knn_kernel", residual: float = RESIDUAL,
 ) -> DataFrame:
-    """Mean of the neighbours' class shares, repeated; labelled nodes stay fixed."""
+    """Mean of the neighbours' class shares, repeated until nothing moves or ``rounds`` are done; labelled nodes stay fixed."""
     start = cut_lineage(_start(labels, id, label))
     degree = edges.groupBy(id).agg(F.count(F.lit(1)).alias("_n"))
     weighted = cut_lineage(edges.join(degree, id).select(id, "neighbor", (1 / F.col("_n")).alias("_w")))
-    state = start
+    state = written = start
     for done in range(1, rounds + 1):
         new = start.select(id, "_known", F.col("_p0").alias("_s0"), F.col("_p1").alias("_s1")).join(
             _moved(weighted, state, id), id, "left"
@@ -256,12 +356,15 @@ def label_propagation(
         state = new.select(id, kept("_s0", "_m0").alias("_p0"), kept("_s1", "_m1").alias("_p1"))
         if done % cut_every == 0:
             state = cut_lineage(state)
+            if _moves(state, written, id) <= residual:
+                break
+            written = state
     return state.select(id, _share(name))
 
 
 def label_spreading(
     edges: DataFrame, labels: DataFrame, id: str, label: str, alpha: float = 0.2, rounds: int = 30, cut_every: int = 5,
-    name: str = "label_spreading_knn_kernel",
+    name: str = "label_spreading_knn_kernel", residual: float = RESIDUAL,
 ) -> DataFrame:
     """Neighbours' shares over normalised weights, mixed with the labels at 1 - alpha.
 
@@ -274,7 +377,7 @@ def label_spreading(
     ends = ends.join(degree.select(F.col("_node").alias(id), F.col("_d").alias("_di")), id, "left")
     weight = 1 / F.sqrt(F.col("_dn") * F.coalesce("_di", F.lit(1.0)))
     weighted = cut_lineage(ends.select(id, "neighbor", weight.alias("_w")))
-    state = start
+    state = written = start
     for done in range(1, rounds + 1):
         new = start.select(id, F.col("_p0").alias("_s0"), F.col("_p1").alias("_s1")).join(
             _moved(weighted, state, id), id, "left"
@@ -286,4 +389,7 @@ def label_spreading(
         state = new.select(id, mixed("_s0", "_m0").alias("_p0"), mixed("_s1", "_m1").alias("_p1"))
         if done % cut_every == 0:
             state = cut_lineage(state)
+            if _moves(state, written, id) <= residual:
+                break
+            written = state
     return state.select(id, _share(name))

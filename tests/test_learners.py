@@ -117,7 +117,7 @@ def points(spark, n, seed, d=3):
 
 @pytest.mark.parametrize("k", [1, 7, 500])
 def test_nearest_is_exact(spark, monkeypatch, k):
-    for name, value in {"SHELL_ROWS": 10, "BLOCK_ROWS": 25, "CHUNK_ROWS": 60}.items():
+    for name, value in {"LEAF_ROWS": 10, "BLOCK_ROWS": 25, "CHUNK_ROWS": 60}.items():
         monkeypatch.setattr(neighbors, name, value)
     qp, q = points(spark, 90, 1)
     tp, t = points(spark, 200, 2)
@@ -131,6 +131,40 @@ def test_nearest_is_exact(spark, monkeypatch, k):
         assert mine.y.tolist() == tp.y.to_numpy()[order].tolist()
 
 
+def test_nearest_measures_few_pairs(spark, monkeypatch):
+    """40 clusters in 20 dimensions, and a third of all points in one place."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 20)) * 10
+    x = centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 20))
+    x = np.concatenate([x, np.tile(centres[0], (2000, 1))])
+    frame = spark.createDataFrame(pd.DataFrame({"id": np.arange(6000), "v": x.tolist()}))
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 50)
+    measured, plain = [], neighbors._measured
+
+    def counting(visits, held, k, carry):
+        asked = visits.groupBy("_leaf", "_block").agg(F.count(F.lit(1)).alias("a"))
+        there = held.groupBy("_leaf", "_block").agg(F.count(F.lit(1)).alias("b"))
+        measured.append(asked.join(there, ["_leaf", "_block"]).agg(F.sum(F.col("a") * F.col("b"))).first()[0] or 0)
+        return plain(visits, held, k, carry)
+
+    monkeypatch.setattr(neighbors, "_measured", counting)
+    out = neighbors.nearest(frame, frame, 5, "id", "v").toPandas()
+    assert len(out) == 30_000 and sum(measured) < 6000 * 6000 / 5
+    near = out[out.id == 5999].sort_values("rn").neighbor.tolist()
+    assert near == list(range(4000, 4005))
+    for i in (0, 17, 3999):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        assert out[out.id == i].sort_values("rn").neighbor.tolist() == np.lexsort((np.arange(6000), d))[:5].tolist()
+
+
+def test_descent_finds_most_neighbours(spark, sf):
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding")
+    exact = neighbors.neighbor_graph(rows, "vec_id", "embedding")
+    near = neighbors.descent_graph(rows, "vec_id", "embedding", 7, leaf_rows=32)
+    assert near.groupBy("vec_id").count().agg(F.min("count"), F.max("count")).first() == (7, 7)
+    assert near.join(exact, ["vec_id", "neighbor"]).count() >= 0.9 * exact.count()
+
+
 def test_shares_at_full_size_are_the_base_rate(spark):
     tp, t = points(spark, 60, 4)
     out = neighbors.neighbor_shares(t, t, "id", "v", "y", [60]).toPandas()
@@ -138,6 +172,15 @@ def test_shares_at_full_size_are_the_base_rate(spark):
     assert out["knn_60_neighbors"][0] == pytest.approx(tp.y.mean())
 
 
+def test_propagation_ends_when_nothing_moves(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (3, 2)], "id int, neighbor int")
+    labels = spark.createDataFrame([(1, 1), (2, None), (3, None)], "id int, y int")
+    moves, plain = [], neighbors._moved
+    monkeypatch.setattr(neighbors, "_moved", lambda *a: moves.append(1) or plain(*a))
+    out = {r["id"]: r["p"] for r in neighbors.label_propagation(edges, labels, "id", "y", 500, 2, name="p").collect()}
+    assert out == {1: 1.0, 2: 1.0, 3: 1.0} and len(moves) < 500
+
+
 def test_propagation_keeps_labels_and_reaches_the_rest(spark):
     edges = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (2, 2), (3, 3), (3, 2)], "id int, neighbor int")
     labels = spark.createDataFrame([(1, 1), (2, None), (3, None)], "id int, y int")
