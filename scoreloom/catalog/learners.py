@@ -1,14 +1,13 @@
 """Learners, components, neighbours and propagation over the given tables.
 
-Tree counts and rounds are smaller here than in the presets; they are parameters
-of the same operators. Rows and texts are always the whole tables.
+Tree counts, depths and rounds are the presets'. Rows and texts are always the whole tables.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import components, discriminant, learners, neighbors, stack
+from ..models import components, discriminant, ensembles, learners, neighbors, stack
 from ..operators.clean import split_by_label
 from ..operators.evaluate import roc_auc, stratified_folds
 from ..operators.ordered import first_rows
@@ -16,6 +15,7 @@ from ..operators.scaling import Prepared, prepare
 from ..session import cut_lineage
 from ..sources import tables as src
 from . import standin as st
+from .blocks import native_wide
 from .registry import query
 from .scoring import FOLDED_SQL
 from .standin import table
@@ -43,68 +43,103 @@ def _learner(name: str, scaler: str = "norm", log: bool = False):
 
 _learner("logistic_regression", log=True)(learners.logistic_regression)
 _learner("sgd_logistic_regression", log=True)(learners.sgd_logistic)
-_learner("decision_tree")(lambda d: learners.decision_tree())
-_learner("random_forest")(lambda d: learners.random_forest(numTrees=20))
-_learner("bagged_trees", "min_max")(lambda d: learners.bagged_trees(d.labelled.count(), numTrees=20))
-_learner("boosted_trees_lightgbm_preset", "none")(lambda d: learners.boosted_trees("lightgbm", maxIter=5))
-_learner("boosted_trees_xgboost_preset", "none")(lambda d: learners.boosted_trees("xgboost", maxIter=5, maxDepth=5))
-_learner("boosted_trees_catboost_preset", "min_max")(lambda d: learners.boosted_trees("catboost", maxIter=5, maxDepth=5))
-_learner("boosted_trees_gradient_preset")(lambda d: learners.boosted_trees("gradient_boosting", maxIter=5, maxDepth=5))
-_learner("ada_boost", "min_max")(lambda d: learners.ada_boost(d, rounds=4, depth=3))
+_learner("decision_tree")(lambda d: ensembles.decision_tree(d, "score"))
+_learner("random_forest")(lambda d: ensembles.random_forest(d, "score"))
+_learner("bagged_trees", "min_max")(lambda d: ensembles.bagged_trees(d, "score"))
+_learner("ada_boost", "min_max")(lambda d: ensembles.ada_boosted(d, "score"))
+for _name, _preset, _scaler in (
+    ("lightgbm", "lightgbm", "none"), ("litegbm", "litegbm", "none"), ("xgboost", "xgboost", "none"), ("catboost", "catboost", "min_max"),
+    ("gradient", "gradient_boosting", "norm"),
+):
+    _learner(f"boosted_trees_{_name}_preset", _scaler)(lambda d, p=_preset: ensembles.boosted_trees(d, p).scores.select(ID, "average"))
 _learner("multilayer_perceptron", "min_max")(lambda d: learners.perceptron(len(d.features)))
 _learner("gaussian_mixture")(learners.gaussian_mixture)
 
 
 # ---------------------------------------------------- discriminants, with SQL
 
-PAIR = ["N_COMMAS", "N_ONES"]
-_MOMENTS = (
-    "SELECT TARGET AS c, count(*) AS n, avg(N_COMMAS) AS mx, avg(N_ONES) AS my, var_pop(N_COMMAS) AS xx, "
-    f"var_pop(N_ONES) AS yy, covar_pop(N_COMMAS, N_ONES) AS xy FROM ({st.DOCUMENTS_SQL}) WHERE TARGET IS NOT NULL GROUP BY 1"
-)
-_BOTH = f"(SELECT * FROM ({_MOMENTS}) WHERE c = 0) a, (SELECT * FROM ({_MOMENTS}) WHERE c = 1) b"
+COLUMNS = ["N_CHARS", "N_SPACES", "N_STOPS", "N_COMMAS", "N_E", "N_ONES"]  # all numbers of the table
+_D = range(len(COLUMNS))
 
 
-def _plain(spark, sf) -> Prepared:
-    return Prepared(st.Native(spark, sf).documents().select(ID, LABEL, *PAIR), PAIR)
+def _class_sql(source: str, by: str = "") -> str:
+    """Moments of both classes, columns ``{n, m, s}{class}_...``, a row for each ``by``."""
+    def of(c):
+        where = f"FILTER (WHERE TARGET = {c})"
+        means = [f"avg({x}) {where} AS m{c}_{i}" for i, x in enumerate(COLUMNS)]
+        cross = [f"covar_pop({COLUMNS[i]}, {COLUMNS[j]}) {where} AS s{c}_{i}_{j}" for i in _D for j in range(i + 1)]
+        return [f"CAST(count(*) {where} AS DOUBLE) AS n{c}", *means, *cross]
+
+    picks = [by] if by else []
+    return f"SELECT {', '.join(picks + of(0) + of(1))} FROM ({source}) WHERE TARGET IS NOT NULL" + (f" GROUP BY {by}" if by else "")
+
+
+def _posterior_sql(moments: str, rows: str, cov: dict[int, str], pooled: bool, join: str, picks: str) -> str:
+    """Class 1 share of each row from Cholesky factors of the covariances (``cov``: entry i, j of a class as text)."""
+    steps = []
+    for c in (0,) if pooled else (0, 1):
+        for i in _D:
+            for j in range(i + 1):
+                rest = "".join(f" - l{c}_{i}_{k} * l{c}_{j}_{k}" for k in range(j))
+                entry = cov[c].format(i=i, j=j)
+                steps.append(f"sqrt({entry}{rest}) AS l{c}_{i}_{i}" if i == j else f"({entry}{rest}) / l{c}_{j}_{j} AS l{c}_{i}_{j}")
+    solved = []
+    for c in (0, 1):
+        factor = 0 if pooled else c
+        for i, x in enumerate(COLUMNS):
+            rest = "".join(f" - l{factor}_{i}_{k} * z{c}_{k}" for k in range(i))
+            solved.append(f"({x} - m{c}_{i}{rest}) / l{factor}_{i}_{i} AS z{c}_{i}")
+
+    def half(c):
+        factor = 0 if pooled else c
+        return f"(ln(n{c}) - ({' + '.join(f'ln(l{factor}_{i}_{i})' for i in _D)}) - 0.5 * ({' + '.join(f'z{c}_{i} * z{c}_{i}' for i in _D)}))"
+
+    return (f"SELECT {picks}, 1 / (1 + exp(greatest(-700, least(700, {half(0)} - {half(1)})))) AS score FROM (SELECT *, {', '.join(solved)} FROM ({rows}) r "
+            f"{join} (SELECT *, {', '.join(steps)} FROM ({moments})) f)")
+
+
+def _pooled(divisor: str) -> dict[int, str]:
+    return {0: f"((n0 * s0_{{i}}_{{j}} + n1 * s1_{{i}}_{{j}}) / ({divisor}))"}
+
+
+_OWN = {c: f"(s{c}_{{i}}_{{j}} * n{c} / (n{c} - 1))" for c in (0, 1)}
 
 
-def _lda_sql(divisor: str) -> str:
-    return f"""
-    SELECT SK_ID_CURR, 1 / (1 + exp(-((N_COMMAS - (m0x + m1x) / 2) * wx + (N_ONES - (m0y + m1y) / 2) * wy + ln(n1 / n0)))) AS score
-    FROM ({st.DOCUMENTS_SQL}), (
-      SELECT *, (syy * (m1x - m0x) - sxy * (m1y - m0y)) / (sxx * syy - sxy * sxy) AS wx,
-             (sxx * (m1y - m0y) - sxy * (m1x - m0x)) / (sxx * syy - sxy * sxy) AS wy
-      FROM (SELECT a.n AS n0, b.n AS n1, a.mx AS m0x, b.mx AS m1x, a.my AS m0y, b.my AS m1y,
-              (a.n * a.xx + b.n * b.xx) / {divisor} AS sxx, (a.n * a.yy + b.n * b.yy) / {divisor} AS syy,
-              (a.n * a.xy + b.n * b.xy) / {divisor} AS sxy FROM {_BOTH}))
-    """
+def _whole_sql(cov: dict[int, str], pooled: bool) -> str:
+    return _posterior_sql(_class_sql(st.DOCUMENTS_SQL), st.DOCUMENTS_SQL, cov, pooled, "CROSS JOIN", "SK_ID_CURR")
 
 
-@query("linear_discriminant_svd", f"{ID}:int score:flat", _lda_sql("(a.n + b.n - 2)"))
+def _plain(spark, sf) -> Prepared:
+    return Prepared(st.Native(spark, sf).documents().select(ID, LABEL, *COLUMNS), COLUMNS)
+
+
+@query("linear_discriminant_svd", f"{ID}:int score:flat", _whole_sql(_pooled("n0 + n1 - 2"), True))
 def _lda_svd(spark, sf):
     return discriminant.linear_discriminant(_plain(spark, sf), "svd", "score")
 
 
-@query("linear_discriminant_lsqr", f"{ID}:int score:flat", _lda_sql("(a.n + b.n)"))
+@query("linear_discriminant_lsqr", f"{ID}:int score:flat", _whole_sql(_pooled("n0 + n1"), True))
 def _lda_lsqr(spark, sf):
     return discriminant.linear_discriminant(_plain(spark, sf), "lsqr", "score")
 
 
-def _half(t: str, c: str) -> str:
-    xx, yy, xy = (f"({t}.{m} * {t}.n / ({t}.n - 1))" for m in ("xx", "yy", "xy"))
-    det = f"({xx} * {yy} - {xy} * {xy})"
-    dx, dy = f"(N_COMMAS - {t}.mx)", f"(N_ONES - {t}.my)"
-    quad = f"({yy} * {dx} * {dx} - 2 * {xy} * {dx} * {dy} + {xx} * {dy} * {dy}) / {det}"
-    return f"(ln({t}.n) - 0.5 * ln({det}) - 0.5 * {quad})"
-
-
-@query("quadratic_discriminant", f"{ID}:int score:flat",
-       f"SELECT SK_ID_CURR, 1 / (1 + exp({_half('a', '0')} - {_half('b', '1')})) AS score FROM ({st.DOCUMENTS_SQL}), {_BOTH}")
+@query("quadratic_discriminant", f"{ID}:int score:flat", _whole_sql(_OWN, False))
 def _qda(spark, sf):
     return discriminant.quadratic_discriminant(_plain(spark, sf), "score")
 
 
+_FOLDED_DOCUMENTS = f"SELECT d.*, f.fold FROM ({st.DOCUMENTS_SQL}) d JOIN ({FOLDED_SQL}) f ON d.SK_ID_CURR = f.doc_id"
+
+
+@query("out_of_fold_discriminant", f"{ID},fold:int score:flat", _posterior_sql(
+    _class_sql(f"SELECT d.*, i FROM ({_FOLDED_DOCUMENTS}) d, range(5) k(i) WHERE d.fold <> i", "i"), _FOLDED_DOCUMENTS, _pooled("n0 + n1 - 2"), True,
+    "JOIN", f"{ID}, fold").replace(") f)", ") f ON r.fold = f.i)"))
+def _lda_held_out(spark, sf):
+    data = _plain(spark, sf)
+    folded = stratified_folds(data.labelled, ID)
+    return discriminant.held_out(Prepared(folded, COLUMNS), "fold", "linear", "score")
+
+
 # ------------------------------------------------------------- components
 
 
@@ -229,8 +264,7 @@ def _spreading(spark, sf):
 def _crossed(spark, sf):
     data = _data(spark, sf)
     labelled, unlabelled = split_by_label(data.frame)
-    learn = learners.learner(learners.random_forest(numTrees=5, maxDepth=5), data.features)
-    return stack.cross_fit(labelled, unlabelled, learn)
+    return stack.cross_fit(labelled, unlabelled, ensembles.forest_learner(data.features))
 
 
 def _group_means(labelled):
@@ -283,10 +317,8 @@ def _aucs(spark, sf):
 def _fold_importances(spark, sf):
     data = _data(spark, sf)
     folded = stratified_folds(data.labelled, ID)
-    forest = learners.random_forest(numTrees=5, maxDepth=5)
     for i in range(5):
-        model = forest.fit(learners.with_vector(folded.filter(F.col("fold") != i), data.features))
-        yield learners.importances(model, data.features)
+        yield ensembles.forest_importances(folded.filter(F.col("fold") != i), data.features)
 
 
 @query("feature_importance", "feature:str importance:num")
@@ -314,13 +346,15 @@ def _parameters(spark, sf):
 
 @query("stack_and_blend", f"{ID}:int TARGET:num")
 def _stack_and_blend(spark, sf):
-    data = _data(spark, sf)
+    """Three base scores over the wide table, a row for each client."""
+    data = prepare(cut_lineage(native_wide(spark, sf)), "norm")
+    data = Prepared(cut_lineage(data.frame), data.features)
     scores = {
         "logistic": learners.logistic_regression(data, "logistic"),
-        "forest": learners.fit_and_score(data, learners.random_forest(numTrees=10), "forest"),
-        "tree": learners.fit_and_score(data, learners.decision_tree(), "tree"),
+        "forest": ensembles.random_forest(data, "forest"),
+        "boosted": ensembles.boosted_trees(data, "lightgbm").scores.select(ID, F.col("average").alias("boosted")),
     }
-    return stack.blend(scores, {"logistic": 0.5, "forest": 0.3, "tree": 0.2})
+    return stack.blend(scores, {"logistic": 0.3, "forest": 0.3, "boosted": 0.4})
 
 
 @query("grouped_map_function", "user_id,n:int spread:num",

@@ -5,12 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
     LinearSVC,
     LogisticRegression,
     MultilayerPerceptronClassifier,
-    RandomForestClassifier,
 )
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import VectorAssembler
@@ -18,7 +15,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.scaling import Prepared
-from ..session import cut_lineage
 
 FEATURES = "_features"
 SEED = 1
@@ -96,90 +92,6 @@ def linear_svm(data: Prepared, name: str = "pca20_svm_linear_kernel") -> DataFra
     )
 
 
-# ------------------------------------------------------------------ trees
-
-
-def decision_tree(label: str = "TARGET", **changes) -> DecisionTreeClassifier:
-    """Entropy tree. A node under 100 rows cannot split into two halves of 50."""
-    options = {"impurity": "entropy", "maxDepth": 30, "minInstancesPerNode": 50, "seed": SEED} | changes
-    return DecisionTreeClassifier(**options, **_common(label))
-
-
-def random_forest(label: str = "TARGET", **changes) -> RandomForestClassifier:
-    options = {
-        "impurity": "entropy", "numTrees": 1000, "maxDepth": 8, "featureSubsetStrategy": "0.5", "seed": SEED,
-    } | changes
-    return RandomForestClassifier(**options, **_common(label))
-
-
-def bagged_trees(rows: int, label: str = "TARGET", sample: int = 1000, **changes) -> RandomForestClassifier:
-    """Many shallow trees, each on a small sample of rows and a share of features."""
-    options = {
-        "impurity": "gini", "numTrees": 1000, "maxDepth": 6, "featureSubsetStrategy": "0.3",
-        "subsamplingRate": min(1.0, sample / max(rows, 1)), "seed": SEED,
-    } | changes
-    return RandomForestClassifier(**options, **_common(label))
-
-
-# Step, depth, rounds, row share, feature share, leaf size, bins per preset.
-BOOSTING = {
-    "lightgbm": dict(stepSize=0.01, maxDepth=5, maxIter=10000, subsamplingRate=0.7, featureSubsetStrategy="0.8", maxBins=25),
-    "litegbm": dict(stepSize=1.0, maxDepth=5, maxIter=10000, subsamplingRate=0.7, featureSubsetStrategy="0.8", maxBins=25),
-    "xgboost": dict(stepSize=0.02, maxDepth=7, maxIter=100, subsamplingRate=0.8, featureSubsetStrategy="0.632", minInstancesPerNode=35),
-    "catboost": dict(stepSize=0.01, maxDepth=7, maxIter=2800),
-    "gradient_boosting": dict(stepSize=0.01, maxDepth=7, maxIter=1000, minInstancesPerNode=8),
-}
-
-
-def boosted_trees(preset: str, label: str = "TARGET", **changes) -> GBTClassifier:
-    """Boosted trees on Spark with the settings of one preset.
-
-    ``validationIndicatorCol`` turns on early stopping; ``checkpointInterval``
-    keeps the lineage of long runs short.
-    """
-    options = BOOSTING[preset] | {"seed": SEED, "checkpointInterval": 10} | changes
-    return GBTClassifier(**options, **_common(label))
-
-
-def importances(model, features: Sequence[str]) -> DataFrame:
-    """(feature, importance) of a fitted tree model, bounded by the feature count."""
-    from pyspark.sql import SparkSession
-
-    spark = SparkSession.getActiveSession()
-    values = model.featureImportances.toArray()
-    return spark.createDataFrame([(f, float(v)) for f, v in zip(features, values)], "feature string, importance double")
-
-
-def ada_boost(data: Prepared, rounds: int = 500, depth: int = 6, cut_every: int = 5, name: str = "adaboost_classifier") -> DataFrame:
-    """Real-valued AdaBoost (SAMME.R) over weighted trees.
-
-    Row weights and the running class score are columns; each round is one tree fit
-    and one projection. The lineage is cut every few rounds.
-    """
-    eps = 2.220446049250313e-16  # fixed value: smallest probability
-    known = F.col(data.label).isNotNull()
-    rows = with_vector(data.frame, data.features).select(data.id, data.label, FEATURES)
-    rows = rows.withColumns({"_weight": F.lit(1.0), "_sum": F.lit(0.0)})
-    tree = DecisionTreeClassifier(maxDepth=depth, weightCol="_weight", seed=SEED, probabilityCol="_p", **_common(data.label))
-    for done in range(1, rounds + 1):
-        model = tree.fit(rows.filter(known & (F.col("_weight") > 0)))
-        scored = model.transform(rows).withColumn("_p1", vector_to_array("_p")[1])
-        p1 = F.greatest(F.least("_p1", F.lit(1 - eps)), F.lit(eps))
-        odds = F.ln(p1) - F.ln(1 - p1)
-        agreed = F.when(F.col(data.label) == 1, odds).otherwise(-odds)
-        rows = scored.select(
-            data.id, data.label, FEATURES,
-            (F.col("_weight") * F.exp(-0.5 * agreed)).alias("_weight"),
-            (F.col("_sum") + 0.5 * odds).alias("_sum"),
-        )
-        if done % cut_every == 0 or done == rounds:
-            rows = cut_lineage(rows)
-        mean = rows.filter(known).agg(F.avg("_weight")).first()[0]
-        rows = rows.withColumn("_weight", F.col("_weight") / F.lit(mean or 1.0))
-    score = 1 / (1 + F.exp(-2 * F.col("_sum") / rounds))
-    return rows.select(data.id, score.alias(name))
-
-
 # ----------------------------------------------------------------- others
 
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.models import components, discriminant, learners, neighbors, stack
+from scoreloom.models import components, discriminant, ensembles, histograms, learners, neighbors, stack
 from scoreloom.operators.evaluate import stratified_folds
 from scoreloom.operators.scaling import Prepared, prepare
 
@@ -53,11 +53,11 @@ def test_cross_fit_has_no_leak(data):
         learners.sgd_logistic,
         learners.linear_svm,
         learners.gaussian_mixture,
-        lambda d, name: learners.ada_boost(d, rounds=3, depth=2, name=name),
-        lambda d, name: learners.fit_and_score(d, learners.decision_tree(minInstancesPerNode=5), name),
-        lambda d, name: learners.fit_and_score(d, learners.random_forest(numTrees=5), name),
-        lambda d, name: learners.fit_and_score(d, learners.bagged_trees(250, sample=100, numTrees=5), name),
-        lambda d, name: learners.fit_and_score(d, learners.boosted_trees("xgboost", maxIter=3), name),
+        ensembles.ada_boosted,
+        ensembles.decision_tree,
+        ensembles.random_forest,
+        ensembles.bagged_trees,
+        lambda d, name: ensembles.boosted_trees(d, "xgboost").scores.withColumnRenamed("average", name),
         lambda d, name: learners.fit_and_score(d, learners.perceptron(3, hidden=(4,), maxIter=20), name),
         lambda d, name: discriminant.linear_discriminant(d, name=name),
         lambda d, name: discriminant.quadratic_discriminant(d, name=name),
@@ -69,6 +69,128 @@ def test_scores_are_probabilities(data, score):
     assert len(out) == 300 and out.between(0, 1).all()
 
 
+def plain_tree(bins, rows, g, h, rule, depth=0):
+    """A tree by trying every split of every node; ``(value,)`` or ``(column, bin, left, right)``."""
+    def worth(r):
+        pull = max(abs(g[r].sum()) - rule.l1, 0)
+        return pull * pull / (h[r].sum() + rule.l2) / 2
+
+    best = (max(rule.min_gain, 1e-12), None)
+    if depth < rule.depth and len(rows) >= rule.min_split:
+        for k in range(bins.shape[1]):
+            for b in np.unique(bins[rows, k])[:-1]:
+                low, high = rows[bins[rows, k] <= b], rows[bins[rows, k] > b]
+                if min(len(low), len(high)) >= rule.min_leaf and min(h[low].sum(), h[high].sum()) >= rule.min_weight:
+                    gain = worth(low) + worth(high) - worth(rows)
+                    if gain > best[0] + 1e-12:
+                        best = (gain, (k, b, low, high))
+    if best[1] is None:
+        total = g[rows].sum()
+        return (-np.sign(total) * max(abs(total) - rule.l1, 0) / (h[rows].sum() + rule.l2),)
+    k, b, low, high = best[1]
+    return k, b, plain_tree(bins, low, g, h, rule, depth + 1), plain_tree(bins, high, g, h, rule, depth + 1)
+
+
+def plain_value(tree, row):
+    while len(tree) > 1:
+        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
+    return tree[0]
+
+
+def learning_rows(n=1000):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(n, 5))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(size=n) * 0.5 > 0).astype(float)
+    edges = histograms.quantile_edges(x, 16)
+    return histograms.binned(x, edges), y, 16
+
+
+def test_boosting_equals_a_plain_booster():
+    bins, y, width = learning_rows()
+    rule = histograms.Rule(depth=3, l1=0.1, l2=1.0, min_leaf=10, min_weight=1.0)
+    held = np.arange(1000) % 5 == 0
+    trees, base, history = histograms.boost(bins, y, held, rule, np.random.default_rng(0), width, 8, 0.3, patience=8)
+    fit, score = np.flatnonzero(~held), np.full(1000, np.log(y[~held].mean() / (1 - y[~held].mean())))
+    assert base == pytest.approx(score[0])
+    want = []
+    for _ in range(8):
+        p = 1 / (1 + np.exp(-score))
+        tree = plain_tree(bins, fit, p - y, p * (1 - p), rule)
+        score = score + 0.3 * np.array([plain_value(tree, row) for row in bins])
+        want.append((histograms.auc(score[held], y[held]), score))
+    assert np.allclose(history, [a for a, _ in want])
+    best = int(np.argmax(history))
+    assert len(trees.roots) == best + 1
+    np.testing.assert_allclose(base + trees.total(bins), want[best][1], atol=1e-9)
+
+
+def test_rounds_end_after_the_best():
+    bins, y, width = learning_rows()
+    noise = np.random.default_rng(1).permutation(y)
+    trees, _, history = histograms.boost(bins, noise, np.arange(1000) % 5 == 0, histograms.Rule(depth=4), np.random.default_rng(0), width, 10_000, 0.3, patience=20)
+    assert len(history) == len(trees.roots) + 20 < 200 and max(history) == history[len(trees.roots) - 1]
+
+
+def test_levels_in_pieces_give_the_same_trees(monkeypatch):
+    bins, y, width = learning_rows()
+    rule = histograms.Rule(depth=6, criterion="entropy", min_split=30, node_share=0.6)
+    n, one = len(y), np.ones(len(y))
+
+    def tree():
+        row, which = np.tile(np.arange(n), 3), np.repeat(np.arange(3), n)
+        return histograms.grow(bins, row, which, y[row], one[row], one[row], 3, rule, np.random.default_rng(4), width)
+
+    whole = tree()
+    monkeypatch.setattr(histograms, "CELLS", 5 * width * 2)
+    monkeypatch.setattr(histograms, "ENTRIES", 700)
+    pieces = tree()
+    for name in ("feature", "cut", "left"):
+        assert getattr(whole, name).tolist() == getattr(pieces, name).tolist()
+    np.testing.assert_allclose(whole.value, pieces.value)
+    inner = whole.left != np.arange(len(whole.left))
+    assert inner.sum() > 20 and (whole.gain[inner] > 0).all()
+
+
+def test_auc_counts_ties_half():
+    score, label = np.array([0.1, 0.4, 0.4, 0.8, 0.4]), np.array([0, 1, 0, 1, 0])
+    wins = sum((a > b) + 0.5 * (a == b) for a in score[label == 1] for b in score[label == 0])
+    assert histograms.auc(score, label) == pytest.approx(wins / 6) and histograms.auc(score, label * 0) == 0.5
+
+
+def test_ensembles_at_full_size_learn(data):
+    pdf, prepared = data
+    known = pdf.SK_ID_CURR % 6 > 0
+    boosted = ensembles.boosted_trees(prepared, "litegbm", l1=0.0, l2=1.0)
+    rows = boosted.scores.toPandas().set_index("SK_ID_CURR").sort_index()
+    assert rows["fold"].isna().sum() == 50 and rows["held_out"].isna().sum() == 50 and len(boosted.kept) == 5
+    assert all(len(h) == kept + ensembles.PATIENCE for h, kept in zip(boosted.history, boosted.kept, strict=True))
+    labels = rows[known.to_numpy()]
+    for fold, history, kept in zip(range(5), boosted.history, boosted.kept, strict=True):
+        own = labels[labels.fold == fold]
+        assert histograms.auc(own["held_out"].to_numpy(), own["TARGET"].to_numpy()) == pytest.approx(history[kept - 1])
+    for learn in (ensembles.random_forest, ensembles.bagged_trees, ensembles.ada_boosted):
+        score = learn(prepared, "p").toPandas().set_index("SK_ID_CURR").sort_index()["p"].to_numpy()
+        assert histograms.auc(score[~known.to_numpy()], pdf.TARGET[~known].to_numpy()) > 0.65
+    shares = ensembles.forest_importances(prepared.labelled, prepared.features, trees=60).toPandas()
+    assert shares.importance.sum() == pytest.approx(1) and shares.importance.idxmax() in (0, 1)
+
+
+def test_held_out_discriminants_match_numpy(data):
+    pdf, prepared = data
+    folded = prepared.frame.withColumn("fold", F.when(F.col("TARGET").isNotNull(), F.col("SK_ID_CURR") % 4))
+    train = pdf[pdf.SK_ID_CURR % 6 > 0]
+    for form in ("linear", "quadratic"):
+        got = discriminant.held_out(Prepared(folded, prepared.features), "fold", form, "p").toPandas().set_index("SK_ID_CURR")["p"]
+        for fold in range(4):
+            rest = train[train.SK_ID_CURR % 4 != fold]
+            frame = folded.filter(F.col("SK_ID_CURR").isin(rest.SK_ID_CURR.tolist()) | (F.col("SK_ID_CURR") % 4 == fold))
+            frame = frame.withColumn("TARGET", F.when(F.col("SK_ID_CURR") % 4 != fold, F.col("TARGET")))
+            plain = discriminant.linear_discriminant if form == "linear" else discriminant.quadratic_discriminant
+            want = plain(Prepared(frame, prepared.features), name="p").toPandas().set_index("SK_ID_CURR")["p"]
+            own = train[train.SK_ID_CURR % 4 == fold].SK_ID_CURR
+            np.testing.assert_allclose(got[own], want[own], rtol=1e-8)
+
+
 def test_discriminants_match_numpy(data):
     pdf, prepared = data
     train = pdf[pdf.SK_ID_CURR % 6 > 0]
