@@ -120,8 +120,11 @@ def tokens(path: str) -> Tokens:
     return Tokens(path)
 
 
-def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
-    """``id_col, piece, start, length, ids``: each document's ids and the end id in pieces of at most ``size``."""
+def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, size: int = SIZE, end_id: int = 0, forget: bool = False) -> DataFrame:
+    """``id_col, piece, start, length, ids``: each document's ids and the end id in pieces of at most ``size``.
+
+    A worker keeps its memory of parts for its next task, unless it is told to ``forget``, where it also serves other operators.
+    """
     schema = StructType([
         StructField(id_col, df.schema[id_col].dataType), StructField("piece", IntegerType()), StructField("start", LongType()),
         StructField("length", LongType()), StructField("ids", BinaryType()),
@@ -145,7 +148,8 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, path: str, size: int
                 batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                 pa.array([len(b) // 4 for b in ids], pa.int64()), pa.array(ids, pa.binary()),
             ], names=[id_col, "piece", "start", "length", "ids"])
-        library.forget()  # the worker may serve other operators next
+        if forget:
+            library.forget()
 
     return df.select(F.col(id_col), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
