@@ -41,7 +41,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of at most 2048 tokens."""
-    pieces = packing.token_pieces(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), 2048, 0)
+    pieces = packing.token_pieces(docs, "doc_id", "text", public_tokenizers.path("byte_bpe_50k.json"), 2048, 0, forget=True)
     return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "length", 2048)
 
 

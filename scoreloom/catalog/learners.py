@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..models import components, discriminant, ensembles, learners, neighbors, stack
+from ..models import components, discriminant, ensembles, learners, neighbors, perceptron, stack
 from ..operators.clean import split_by_label
 from ..operators.evaluate import roc_auc, stratified_folds
 from ..operators.ordered import first_rows
@@ -52,7 +52,7 @@ for _name, _preset, _scaler in (
     ("gradient", "gradient_boosting", "norm"),
 ):
     _learner(f"boosted_trees_{_name}_preset", _scaler)(lambda d, p=_preset: ensembles.boosted_trees(d, p).scores.select(ID, "average"))
-_learner("multilayer_perceptron", "min_max")(lambda d: learners.perceptron(len(d.features)))
+_learner("multilayer_perceptron", "min_max")(lambda d: perceptron.perceptron(d, "score"))
 _learner("gaussian_mixture")(learners.gaussian_mixture)
 
 
@@ -360,11 +360,14 @@ def _stack_and_blend(spark, sf):
 @query("grouped_map_function", "user_id,n:int spread:num",
        "SELECT user_id, count(*) AS n, max(value) - min(value) AS spread FROM events GROUP BY 1")
 def _grouped_map(spark, sf):
-    from ..functions.user import grouped_map
+    from ..functions.user import grouped_aggregate
 
-    def summarise(frames):
-        parts = [(len(f), f["value"].min(), f["value"].max()) for f in frames]
-        return {"n": sum(p[0] for p in parts), "spread": max(p[2] for p in parts) - min(p[1] for p in parts)}
+    def update(state, rows):
+        n, low, high = state
+        return n + len(rows), min(low, rows["value"].min()), max(high, rows["value"].max())
 
     events = table(spark, sf, "events").select("user_id", "value")
-    return grouped_map(events, "user_id", summarise, "n bigint, spread double")
+    return grouped_aggregate(
+        events, "user_id", lambda: (0, float("inf"), float("-inf")), update, lambda a, b: (a[0] + b[0], min(a[1], b[1]), max(a[2], b[2])),
+        lambda s: {"n": s[0], "spread": s[2] - s[1]}, "n bigint, spread double",
+    )

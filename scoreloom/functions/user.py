@@ -1,16 +1,19 @@
 """The open surface for user functions over groups.
 
-Nothing in this package uses it: the feature blocks are plain aggregates. A user
-function gets its group as an iterator of frames, so a group of any size passes
-through one task in bounded memory.
+Nothing in this package uses it: the feature blocks are plain aggregates. ``grouped_map`` gives a user
+function its group as an iterator of frames, so a group of any size passes
+through one task in bounded memory; ``grouped_aggregate`` takes functions whose states merge, and no group goes through one task.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 from itertools import groupby
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 
@@ -41,3 +44,60 @@ def grouped_map(df: DataFrame, key: str, function: Callable[[Iterator[pd.DataFra
 
     kind = dict(df.dtypes)[key]
     return df.repartition(key).sortWithinPartitions(key).mapInPandas(run, f"{key} {kind}, {schema}")
+
+
+STATES = 100_000  # states a task holds before it hands them on
+
+
+def _emitted(states: dict, key: str, kind: str, salt: int) -> pd.DataFrame:
+    values = pd.Series(list(states), dtype="Int64" if kind in ("bigint", "int", "smallint", "tinyint") else object)
+    return pd.DataFrame({key: values, "_salt": salt, "_state": [pickle.dumps(s) for s in states.values()]})
+
+
+def grouped_aggregate(
+    df: DataFrame, key: str, init: Callable[[], object], update: Callable[[object, pd.DataFrame], object], merge: Callable[[object, object], object],
+    finish: Callable[[object], Mapping], schema: str, salts: int = 64,
+) -> DataFrame:
+    """One row per key from states that merge: ``init()``, ``update(state, rows of the key)``, ``merge(a, b)``, ``finish(state)``.
+
+    Every task reduces its rows to a state per key before anything is exchanged. States are merged by key and salt and then by key, so
+    a key that holds a large part of the table meets in no task: what is exchanged of it is a state for each task.
+    """
+    kind = dict(df.dtypes)[key]
+    names = [part.strip().split()[0] for part in schema.split(",")]
+
+    def plain(value):
+        return None if pd.isna(value) else int(value) if kind in ("bigint", "int", "smallint", "tinyint") else value
+
+    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        salt = TaskContext.get().partitionId() % salts
+        states: dict = {}
+        for batch in batches:
+            for value, rows in batch.groupby(key, dropna=False, sort=False):
+                value = plain(value)
+                states[value] = update(states[value] if value in states else init(), rows)
+            if len(states) >= STATES:
+                yield _emitted(states, key, kind, salt)
+                states = {}
+        yield _emitted(states, key, kind, salt)
+
+    def runs(batches: Iterator[pd.DataFrame]):
+        """(key, salt, state) of each run of rows that share key and salt."""
+        every = ((plain(k), int(s), pickle.loads(x)) for batch in batches for k, s, x in zip(batch[key], batch["_salt"], batch["_state"], strict=True))
+        for (value, salt), group in groupby(every, lambda r: r[:2]):
+            yield value, salt, reduce(merge, (state for *_, state in group))
+
+    def merge_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for value, _, state in runs(batches):
+            yield _emitted({value: state}, key, kind, 0)
+
+    def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for value, _, state in runs(batches):
+            found = finish(state)
+            column = pd.Series([value], dtype="Int64" if kind in ("bigint", "int", "smallint", "tinyint") else object)
+            yield pd.DataFrame({key: column, **{n: [found.get(n)] for n in names}})
+
+    held = f"`{key}` {kind}, _salt int, _state binary"
+    states = df.mapInPandas(reduce_rows, held)
+    salted = states.repartition(key, "_salt").sortWithinPartitions(key, "_salt").mapInPandas(merge_states, held)
+    return salted.repartition(key).sortWithinPartitions(key).mapInPandas(finished, f"`{key}` {kind}, {schema}")

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from scoreloom.models import components, discriminant, ensembles, histograms, learners, neighbors, stack
+from scoreloom.models import components, discriminant, ensembles, histograms, learners, neighbors, perceptron, stack
 from scoreloom.operators.evaluate import stratified_folds
 from scoreloom.operators.scaling import Prepared, prepare
 
@@ -58,7 +58,7 @@ def test_cross_fit_has_no_leak(data):
         ensembles.random_forest,
         ensembles.bagged_trees,
         lambda d, name: ensembles.boosted_trees(d, "xgboost").scores.withColumnRenamed("average", name),
-        lambda d, name: learners.fit_and_score(d, learners.perceptron(3, hidden=(4,), maxIter=20), name),
+        lambda d, name: perceptron.perceptron(d, name, hidden=(4,), steps=20),
         lambda d, name: discriminant.linear_discriminant(d, name=name),
         lambda d, name: discriminant.quadratic_discriminant(d, name=name),
     ],
@@ -175,6 +175,71 @@ def test_ensembles_at_full_size_learn(data):
     assert shares.importance.sum() == pytest.approx(1) and shares.importance.idxmax() in (0, 1)
 
 
+def test_gradient_of_the_perceptron():
+    rng = np.random.default_rng(2)
+    network, x, y = perceptron.Network(4, (6, 3)), rng.normal(size=(30, 4)), rng.integers(0, 2, 30).astype(float)
+    flat = network.start()
+    _, gradient = network.loss(flat, x, y)
+    for k in rng.choice(network.size, 25, replace=False):
+        step = np.zeros(network.size)
+        step[k] = 1e-6
+        slope = (network.loss(flat + step, x, y)[0] - network.loss(flat - step, x, y)[0]) / 2e-6
+        assert gradient[k] == pytest.approx(slope, abs=1e-5)
+    assert network.weights().sum() == 4 * 6 + 6 * 3 + 3
+
+
+def test_lbfgs_finds_minima():
+    def bowl(x):
+        return (1 - x[0]) ** 2 + 100 * (x[1] - x[0] ** 2) ** 2, np.array([-2 * (1 - x[0]) - 400 * x[0] * (x[1] - x[0] ** 2), 200 * (x[1] - x[0] ** 2)])
+
+    point, _, steps = perceptron.lbfgs(np.array([-1.2, 1.0]), bowl)
+    np.testing.assert_allclose(point, [1, 1], atol=1e-3)
+    assert steps < 100
+
+
+def test_perceptron_learns_and_is_pulled_to_zero(data, monkeypatch):
+    pdf, prepared = data
+    known = (pdf.SK_ID_CURR % 6 > 0).to_numpy()
+    free = perceptron.perceptron(prepared, "p", hidden=(8, 4), alpha=0.1, steps=60).toPandas().set_index("SK_ID_CURR").sort_index()["p"].to_numpy()
+    assert histograms.auc(free[known], pdf.TARGET[known].to_numpy()) > 0.8
+    monkeypatch.setattr(perceptron, "TASK_ROWS", 60)
+    network, flat, _ = perceptron.fitted(prepared, hidden=(8, 4), steps=25)
+    assert np.abs(flat[network.weights()]).max() < 0.05  # at alpha 80 little is left of the weights of 250 rows
+
+
+def test_sigmoid_has_the_least_loss(spark):
+    rng = np.random.default_rng(6)
+    f = rng.normal(size=400) * 2
+    y = (f + rng.normal(size=400) * 2 > 0.5).astype(float)
+    a, b = learners.sigmoid(spark.createDataFrame(pd.DataFrame({"f": f, "y": y})), "f", "y")
+    p, n = int(y.sum()), int((1 - y).sum())
+    t = np.where(y == 1, (p + 1) / (p + 2), 1 / (n + 2))
+
+    def loss(a, b):
+        q = 1 / (1 + np.exp(a * f + b))
+        return -(t * np.log(q) + (1 - t) * np.log(1 - q)).sum()
+
+    best = loss(a, b)
+    assert a < 0 and all(loss(a + da, b + db) > best for da, db in ((1e-3, 0), (-1e-3, 0), (0, 1e-3), (0, -1e-3), (1e-3, 1e-3), (-1e-3, 1e-3)))
+
+
+def test_mergeable_aggregates(spark):
+    """A third of all rows share a key, and some have none."""
+    from scoreloom.functions import user
+
+    rows = [(1 if i % 3 == 0 else None if i % 50 == 1 else i % 40, float(i)) for i in range(6000)]
+    frame = spark.createDataFrame(rows, "k long, v double").repartition(5)
+    out = user.grouped_aggregate(
+        frame, "k", lambda: (0, 0.0), lambda s, r: (s[0] + len(r), s[1] + r["v"].sum()), lambda a, b: (a[0] + b[0], a[1] + b[1]),
+        lambda s: {"n": s[0], "total": s[1]}, "n bigint, total double",
+    )
+    want = pd.DataFrame(rows, columns=["k", "v"]).groupby("k", dropna=False)["v"].agg(["size", "sum"])
+    got = {r["k"]: (r["n"], r["total"]) for r in out.collect()}
+    assert got == {None if pd.isna(k) else int(k): (r["size"], r["sum"]) for k, r in want.iterrows()}
+    text = user.grouped_aggregate(frame.selectExpr("CAST(k AS STRING) AS k", "v"), "k", lambda: 0, lambda s, r: s + len(r), lambda a, b: a + b, lambda s: {"n": s}, "n bigint")
+    assert {r["k"]: r["n"] for r in text.collect()} == {None if k is None else str(k): n for k, (n, _) in got.items()}
+
+
 def test_held_out_discriminants_match_numpy(data):
     pdf, prepared = data
     folded = prepared.frame.withColumn("fold", F.when(F.col("TARGET").isNotNull(), F.col("SK_ID_CURR") % 4))
