@@ -168,6 +168,18 @@ def _distances(spark, sf):
     return scores.select(ID, F.expr(" + ".join(f"`{c}` * `{c}`" for c in names)).alias("square"))
 
 
+@query("cosine_components_keep_distances", f"{ID}:int square:flat",
+       "SELECT vec_id AS SK_ID_CURR, sum(pow(x - m, 2)) AS square FROM (SELECT vec_id, x, avg(x) FILTER (WHERE vec_id % 5 <> 0) OVER (PARTITION BY i) AS m FROM "
+       "(SELECT vec_id, unnest(v) / sqrt(list_inner_product(v, v)) AS x, generate_subscripts(v, 1) AS i FROM "
+       "(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings))) GROUP BY 1")
+def _cosine_distances(spark, sf):
+    """As ``components_keep_distances``, of the rows scaled to unit length."""
+    data = _vectors(spark, sf)
+    scores = components.principal_components(data, len(data.features), "kernel_pca_cosine", "cosine").scores
+    names = [c for c in scores.columns if c != ID]
+    return scores.select(ID, F.expr(" + ".join(f"`{c}` * `{c}`" for c in names)).alias("square"))
+
+
 @query("linear_svm_on_components", {ID: "int", "score": "num"})
 def _svm(spark, sf):
     return learners.linear_svm(components.reduced(_vectors(spark, sf), 20), "score")
