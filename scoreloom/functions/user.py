@@ -10,7 +10,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
-from itertools import groupby
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark import TaskContext
@@ -49,9 +49,16 @@ def grouped_map(df: DataFrame, key: str, function: Callable[[Iterator[pd.DataFra
 STATES = 100_000  # states a task holds before it hands them on
 
 
+ROWS = 4096  # rows of a frame that a task gives out
+WHOLE = ("bigint", "int", "smallint", "tinyint")
+
+
+def _keys(values, kind: str) -> pd.Series:
+    return pd.Series(list(values), dtype="Int64" if kind in WHOLE else object)
+
+
 def _emitted(states: dict, key: str, kind: str, salt: int) -> pd.DataFrame:
-    values = pd.Series(list(states), dtype="Int64" if kind in ("bigint", "int", "smallint", "tinyint") else object)
-    return pd.DataFrame({key: values, "_salt": salt, "_state": [pickle.dumps(s) for s in states.values()]})
+    return pd.DataFrame({key: _keys(states, kind), "_salt": salt, "_state": [pickle.dumps(s) for s in states.values()]})
 
 
 def grouped_aggregate(
@@ -67,7 +74,7 @@ def grouped_aggregate(
     names = [part.strip().split()[0] for part in schema.split(",")]
 
     def plain(value):
-        return None if pd.isna(value) else int(value) if kind in ("bigint", "int", "smallint", "tinyint") else value
+        return None if pd.isna(value) else int(value) if kind in WHOLE else value
 
     def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         salt = TaskContext.get().partitionId() % salts
@@ -88,14 +95,14 @@ def grouped_aggregate(
             yield value, salt, reduce(merge, (state for *_, state in group))
 
     def merge_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for value, _, state in runs(batches):
-            yield _emitted({value: state}, key, kind, 0)
+        every = ((value, state) for value, _, state in runs(batches))
+        while some := list(islice(every, ROWS)):  # a key may come with two salts, so not as a dict
+            yield pd.DataFrame({key: _keys((v for v, _ in some), kind), "_salt": 0, "_state": [pickle.dumps(s) for _, s in some]})
 
     def finished(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for value, _, state in runs(batches):
-            found = finish(state)
-            column = pd.Series([value], dtype="Int64" if kind in ("bigint", "int", "smallint", "tinyint") else object)
-            yield pd.DataFrame({key: column, **{n: [found.get(n)] for n in names}})
+        every = ((value, finish(state)) for value, _, state in runs(batches))
+        while some := list(islice(every, ROWS)):
+            yield pd.DataFrame({key: _keys((v for v, _ in some), kind), **{n: [found.get(n) for _, found in some] for n in names}})
 
     held = f"`{key}` {kind}, _salt int, _state binary"
     states = df.mapInPandas(reduce_rows, held)
