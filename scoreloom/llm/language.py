@@ -4,13 +4,17 @@ For each language a suffix automaton of labelled text is built. A text is parsed
 longest match at its place; the language that needs the fewest phrases for each symbol wins. Symbols are lower-case
 letters; any run of other characters is one separator.
 
-Parsing is a table walk: a state's missing transitions are filled with the start of the next phrase, marked by the low
-bit, so a batch of texts is parsed for all languages at once, one numpy step for each place of its segments. Texts are
-parsed whole, in segments of ``SEGMENT`` symbols whose phrase counts are added.
+A state is known by its place in one array that holds the moves of all automata: its move by a symbol lies at place +
+symbol and names its owner, so one look tells whether there is such a move. A symbol without a move ends the phrase and
+starts the next one. The array's size follows the moves, at most three for each symbol learned, not the alphabets.
+
+Texts are parsed whole. A batch is walked for all languages at once, one numpy step for each place of its segments of
+``SEGMENT`` symbols; a segment first starts anew and is then corrected from the state in which its predecessor really
+ended, up to the place where both walks are in the same state. Phrases therefore cross segments as if there were none.
 
 The fit reads a bounded sample, given by ``sample_rows`` labelled rows for each language (those with the smallest hash
 of their id) and ``sample_chars`` symbols for each language, shared equally among the distinct texts and taken over their whole length; the
-tables' size follows from it and is what is broadcast. Each language has symbols for the letters of its own sample. Scoring
+array's size follows from it and is what is broadcast. Every letter of a sample is a symbol of its own. Scoring
 is one pass without a shuffle.
 
 Defined cases: null text or a text without letters: ``und``, score 0; ties go to the language that sorts first; no
@@ -30,8 +34,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .batches import by_bytes, texts
 
-SEGMENT = 256
-LETTERS = 255  # most letters of a language with a symbol of their own: the most frequent of its sample; its others share one
+SEGMENT = 256  # symbols that are walked in one go; the result does not depend on it
+PLACE = (1 << 32) - 1
 PIECES = 32  # pieces that are read of a text of more than four samples
 CHUNK = 512  # symbols of a piece of a text that is too long for its part of the sample
 
@@ -54,45 +58,78 @@ def letters(text: str, codes: np.ndarray) -> np.ndarray:
     return found[keep]
 
 
-class Automaton:
-    """Suffix automaton of a symbol sequence, as a table of transitions (-1: none)."""
+def automaton(symbols: Iterable[int]) -> list[dict[int, int]]:
+    """Suffix automaton of a symbol sequence: the moves of each state; state 0 is the start."""
+    length, link, moves = [0], [-1], [{}]
+    last = 0
+    for symbol in symbols:
+        state = len(moves)
+        length.append(length[last] + 1)
+        link.append(0)
+        moves.append({})
+        p = last
+        while p >= 0 and symbol not in moves[p]:
+            moves[p][symbol] = state
+            p = link[p]
+        if p >= 0:
+            q = moves[p][symbol]
+            if length[p] + 1 == length[q]:
+                link[state] = q
+            else:
+                twin = len(moves)
+                length.append(length[p] + 1)
+                link.append(link[q])
+                moves.append(dict(moves[q]))
+                while p >= 0 and moves[p].get(symbol) == q:
+                    moves[p][symbol] = twin
+                    p = link[p]
+                link[q] = link[state] = twin
+        last = state
+    return moves
 
-    def __init__(self, symbols: Iterable[int], width: int = LETTERS + 2):
-        symbols = list(symbols)
-        length, link, moves = [0], [-1], [{}]
-        last = 0
-        for symbol in symbols:
-            state = len(moves)
-            length.append(length[last] + 1)
-            link.append(0)
-            moves.append({})
-            p = last
-            while p >= 0 and symbol not in moves[p]:
-                moves[p][symbol] = state
-                p = link[p]
-            if p >= 0:
-                q = moves[p][symbol]
-                if length[p] + 1 == length[q]:
-                    link[state] = q
-                else:
-                    twin = len(moves)
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    moves.append(dict(moves[q]))
-                    while p >= 0 and moves[p].get(symbol) == q:
-                        moves[p][symbol] = twin
-                        p = link[p]
-                    link[q] = link[state] = twin
-            last = state
-        self.table = np.full((len(moves), width), -1, np.int32)
-        for state, found in enumerate(moves):
-            for symbol, to in found.items():
-                self.table[state, symbol] = to
-
-    def walk(self) -> np.ndarray:
-        """2 * next state + (1 if the symbol starts a new phrase); a symbol unknown at the root is a phrase of its own."""
-        root = np.maximum(self.table[0], 0)
-        return np.where(self.table >= 0, 2 * self.table, 2 * root + 1)
+
+def places(rows: list[list[int]]) -> list[int]:
+    """A place above 0 for each row of symbols: no two rows share a place, and no two moves the slot place + symbol.
+
+    Rows with most symbols come first, each at the first free slot that fits; ``after`` leads to the next free slot.
+    """
+    out = [0] * len(rows)
+    after: list[int] = [0]
+    named = bytearray(1)
+
+    def free(slot: int) -> int:
+        while len(after) <= slot:
+            after.append(len(after))
+        end = slot
+        while after[end] != end:
+            end = after[end]
+            if end == len(after):
+                after.append(end)
+        while after[slot] != end:
+            after[slot], slot = end, after[slot]
+        return end
+
+    tried: dict[tuple[int, int], int] = {}
+    for row in sorted(range(len(rows)), key=lambda r: (-len(rows[r]), r)):
+        symbols = sorted(rows[row]) or [0]
+        first = symbols[0]
+        kind = (len(symbols), first)  # slots below have been tried for rows of this size and first symbol
+        slot = free(max(tried.get(kind, 0), first + 1))
+        while True:
+            place = slot - first
+            if len(named) <= place:
+                named.extend(bytes(place + 1))
+            if not named[place] and all(free(place + s) == place + s for s in symbols[1:]):
+                break
+            slot = free(slot + 1)
+        tried[kind] = slot + 1
+        out[row] = place
+        named[place] = 1
+        for s in symbols[: len(rows[row])]:
+            after[place + s] = place + s + 1
+            if place + s + 1 == len(after):
+                after.append(place + s + 1)
+    return out
 
 
 def parts(sizes: list[int], total: int) -> list[int]:
@@ -118,7 +155,7 @@ class Model:
     def __init__(self, samples: dict[str, list[str]], sample_chars: int):
         self.codes = letter_codes()
         self.languages = sorted(samples)
-        streams, owns = [], []
+        streams = []
         for name in self.languages:
             found = [letters(text, self.codes) for text in dict.fromkeys(samples[name])]
             found = [f for f in found if f.any()]
@@ -127,38 +164,103 @@ class Model:
                 for piece in spread(stream, max(0, size - 1)):
                     pieces += [piece, np.zeros(1, np.uint32)]
             stream = np.concatenate([*pieces, np.zeros(0, np.uint32)])
-            points, counts = np.unique(stream[stream > 0], return_counts=True)
             streams.append(stream)
-            owns.append(points[np.lexsort((points, -counts))][:LETTERS])
-        # a letter's number among all languages by code point of its lower case: 0 no letter, 1 in no sample, then the known ones
-        known = np.unique(np.concatenate([*owns, np.zeros(0, np.uint32)]))
-        self.numbers = np.minimum(self.codes, 1).astype(np.uint16)
+        # a letter's number by code point of its lower case: 0 no letter, 1 in no sample, then the known ones
+        known = np.unique(np.concatenate([*streams, np.zeros(0, np.uint32)]))
+        known = known[known > 0]
+        self.numbers = np.minimum(self.codes, 1).astype(np.uint16 if len(known) + 2 < 1 << 16 else np.uint32)
         self.numbers[known] = np.arange(2, len(known) + 2)
-        # the language's own symbol of each number: 0, its letters, and one for all others
-        self.symbols = np.zeros((len(self.languages), len(known) + 2), np.int64)
-        walks, start = [], 0
-        self.starts = np.zeros(len(self.languages), np.int64)
-        for at, (stream, own) in enumerate(zip(streams, owns, strict=True)):
-            self.symbols[at, 1:] = len(own) + 1
-            self.symbols[at, self.numbers[own]] = np.arange(1, len(own) + 1)
-            width = len(own) + 2
-            walk = Automaton(self.symbols[at, self.numbers[stream]].tolist(), width).walk().astype(np.int64)
-            self.starts[at] = start
-            walks.append((2 * (start + (walk >> 1) * width) + (walk & 1)).ravel())
-            start += walk.size
-        kind = np.int32 if 2 * start < 1 << 31 else np.int64
-        self.walks = np.concatenate(walks).astype(kind) if walks else None  # 2 * place of the next state's row + the mark of a phrase
+        automata = [automaton(self.numbers[stream].tolist()) for stream in streams]
+        place = iter(places([list(row) for moves in automata for row in moves[1:]]))
+        #: place of the state that a symbol leads to from the start; 0 is the place without moves, after a symbol that the sample lacks
+        self.roots = np.zeros((len(automata), len(known) + 2), np.int64)
+        at, to = [], []
+        last = 0
+        for language, moves in enumerate(automata):
+            name = [0, *[next(place) for _ in moves[1:]]]
+            last = max(last, *name)
+            for symbol, state in moves[0].items():
+                self.roots[language, symbol] = name[state]
+            for owner, row in zip(name[1:], moves[1:], strict=True):
+                for symbol, state in row.items():
+                    at.append(owner + symbol)
+                    to.append(owner << 32 | name[state])
+        self.moves = np.full(last + len(known) + 2, -1, np.int64)  # owner << 32 | place moved to
+        self.moves[at] = to
+
+    def step(self, state: np.ndarray, symbol: np.ndarray, language) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a phrase starts."""
+        found = self.moves[state + symbol]
+        new = (found >> 32) != state
+        return np.where(new, self.roots[language, symbol], found & PLACE), new
+
+    def walked(self, grid: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """End states and phrases (language, segment) of segments that each start anew."""
+        order = np.argsort(-size, kind="stable")
+        steps = np.ascontiguousarray(grid[order].T)
+        state = np.zeros((len(self.languages), len(order)), np.int64)
+        count = np.zeros_like(state)
+        active = np.searchsorted(-size[order], -np.arange(SEGMENT), side="left")  # segments longer than the step
+        for at in range(SEGMENT):
+            n = active[at]
+            if not n:
+                break
+            state[:, :n], new = self.step(state[:, :n], steps[at, :n], slice(None))
+            count[:, :n] += new
+        back = np.argsort(order, kind="stable")
+        return state[:, back], count[:, back]
+
+    def joined(self, grid: np.ndarray, size: np.ndarray, follows: np.ndarray, end: np.ndarray, count: np.ndarray) -> None:
+        """Correct ``end`` and ``count`` of the segments that follow one of the same text."""
+        start = np.zeros_like(end)  # the state that a segment's figures rest on
+        at = np.flatnonzero(follows)
+        language, segment = (x.ravel() for x in np.meshgrid(np.arange(len(end)), at, indexing="ij"))
+        true = end[language, segment - 1]
+        start[language, segment] = true
+        ends = end.copy()
+        held = np.zeros(len(true), np.int64)
+        here = np.flatnonzero(true)
+        a, b = held[here], true[here]
+        for step in range(SEGMENT):
+            if not len(here):
+                break
+            symbol = grid[segment[here], step]
+            a, first = self.step(a, symbol, language[here])
+            b, second = self.step(b, symbol, language[here])
+            count[language[here], segment[here]] += second.astype(np.int64) - first
+            over = size[segment[here]] == step + 1
+            ends[language[here[over]], segment[here[over]]] = b[over]
+            left = (a != b) & ~over
+            here, a, b = here[left], a[left], b[left]
+        late = np.argwhere(ends != end)  # no common state within the segment: the next one rests on another state than was assumed
+        end[:] = ends
+        for k, s in late.tolist():
+            while s + 1 < len(follows) and follows[s + 1] and start[k, s + 1] != end[k, s]:
+                s += 1
+                a, b = start.item(k, s), end.item(k, s - 1)
+                start[k, s] = b
+                for symbol in grid[s, : size[s]].tolist():
+                    (a, first), (b, second) = self.one(a, symbol, k), self.one(b, symbol, k)
+                    count[k, s] += second - first
+                    if a == b:
+                        break
+                else:
+                    end[k, s] = b
+
+    def one(self, state: int, symbol: int, language: int) -> tuple[int, bool]:
+        found = self.moves.item(state + symbol)
+        return (found & PLACE, False) if found >> 32 == state else (self.roots.item(language, symbol), True)
 
     def phrases(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases (text, language) and symbols of each text; no symbols without a letter."""
         streams = []
         for text in batch:
             stream = letters(text, self.codes)
-            streams.append(self.numbers[stream] if stream.any() else np.zeros(0, np.uint16))
+            streams.append(self.numbers[stream] if stream.any() else np.zeros(0, self.numbers.dtype))
         lengths = np.array([len(s) for s in streams], np.int64)
         pieces = -(-lengths // SEGMENT)
         owner = np.repeat(np.arange(len(batch)), pieces)
-        grid = np.zeros(len(owner) * SEGMENT, np.uint16)
+        grid = np.zeros(len(owner) * SEGMENT, self.numbers.dtype)
         size = np.full(len(owner), SEGMENT, np.int64)
         at = 0
         for stream, n in zip(streams, pieces.tolist(), strict=True):
@@ -166,20 +268,11 @@ class Model:
             if n:
                 size[at + n - 1] = len(stream) - (n - 1) * SEGMENT
             at += n
-        order = np.argsort(-size, kind="stable")
-        grid, size = np.ascontiguousarray(grid.reshape(-1, SEGMENT)[order].T), size[order]
-        count = np.ones((len(self.languages), len(order)), np.int32)
-        state = np.repeat(self.starts[:, None], len(order), axis=1)
-        active = np.searchsorted(-size, -np.arange(SEGMENT), side="left")  # segments longer than the step
-        for step in range(SEGMENT):
-            n = active[step]
-            if not n:
-                break
-            found = self.walks[state[:, :n] + self.symbols[:, grid[step, :n]]]
-            count[:, :n] += found & 1
-            state[:, :n] = found >> 1
+        grid = grid.reshape(-1, SEGMENT)
+        end, count = self.walked(grid, size)
+        self.joined(grid, size, np.r_[False, owner[1:] == owner[:-1]][: len(owner)], end, count)
         total = np.zeros((len(batch), len(self.languages)), np.int64)
-        np.add.at(total, owner[order], count.T)
+        np.add.at(total, owner, count.T)
         return total, lengths
 
     def predict(self, batch: list[str]) -> tuple[list[str], np.ndarray]:

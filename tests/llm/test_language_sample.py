@@ -29,5 +29,13 @@ def test_large_scripts():
         assert set(model.predict(t[8:])[0]) == {name}
     for name, script in scripts.items():  # every letter of the sample has a symbol of its own
         seen = sorted(set("".join(texts[name][:8])))
-        at = model.symbols[model.languages.index(name), model.numbers[[ord(c) for c in seen]]]
-        assert len(seen) > 130 and len(set(at.tolist())) == len(seen) and set(seen) <= set(script)
+        assert len(seen) > 130 and len(set(model.numbers[[ord(c) for c in seen]].tolist())) == len(seen) and set(seen) <= set(script)
+
+
+def test_size_follows_the_moves():
+    """Thousands of letters: at most three moves for each symbol learned, in an array of little more."""
+    random.seed(9)
+    script = [chr(0x4E00 + i) for i in range(3000)]
+    text = "".join(random.choices(script, weights=[1 / (i + 5) for i in range(3000)], k=20_000))
+    model = language.Model({"zh": [text]}, 40_000)
+    assert model.roots.shape[1] > 1500 and model.moves.nbytes < 8 * (3 * 20_000 + 6000)

@@ -25,21 +25,29 @@ def phrases(text, training):
     return count
 
 
-def test_automaton_walk_counts_phrases():
-    random.seed(3)
-    training = "".join(random.choices("abc", k=300))
-    symbols = {c: i + 1 for i, c in enumerate("abcd")}
-    walk = language.Automaton([symbols[c] for c in training]).walk()
-    for _ in range(300):
-        text = "".join(random.choices("abcabcabcd", k=random.randint(1, 60)))
-        state, count = 0, 1
-        for c in text:
-            found = int(walk[state, symbols[c]])
-            state, count = found >> 1, count + (found & 1)
-        # a symbol that the training lacks is a phrase; the walk opens it and the next one starts at the root
-        assert abs(count - phrases(text, training)) <= text.count("d") + 1
-        if "d" not in text:
-            assert count == phrases(text, training)
+def test_phrases_equal_brute_force():
+    """Whole texts of one to many segments, texts of one phrase, periodic ones, and symbols that the sample lacks."""
+    rng = random.Random(3)
+    training = {"x": "".join(rng.choices("abc", k=300)), "y": " ".join("".join(rng.choices("bcef", k=4)) for _ in range(120)) + " " + "a" * 40}
+    model = language.Model({name: [t] for name, t in training.items()}, 4000)
+    texts = [rng.choices(rng.choice(["abcabcabcd", "bcefa", "a", "ab", "zqa", "bcefbcef "]), k=rng.choice([1, 2, 60, 255, 256, 257, 512, 700, 3000])) for _ in range(200)]
+    texts = [" ".join("".join(t).split()) for t in texts] + [training["y"][100:] + training["x"] * 3]
+    total, lengths = model.phrases(texts)
+    for text, row, n in zip(texts, total.tolist(), lengths.tolist(), strict=True):
+        assert row == [phrases(text, training[name] + " ") for name in ("x", "y")] and n == len(text)
+
+
+def test_prediction_is_the_fewest_phrases(sf):
+    texts = {}
+    for _, text, lang in documents(sf):
+        if text and lang:
+            texts.setdefault(lang, []).append(text)
+    model = language.Model({lang: t[:4] for lang, t in texts.items()}, 3000)
+    held = [t[4] for t in texts.values() if len(t) > 4]
+    total, lengths = model.phrases(held)
+    names, scores = model.predict(held)
+    for name, score, row in zip(names, scores, total.tolist(), strict=True):
+        assert name == model.languages[row.index(min(row))] and np.isclose(score, 1 / sum(2.0 ** -(n - min(row)) for n in row))
 
 
 def test_language_held_out(spark, sf):
