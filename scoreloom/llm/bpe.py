@@ -9,6 +9,10 @@ The file is a ``tokenizers`` JSON of a word-level BPE: normal form C, white spac
 a split into words, digits and symbol runs, bytes spelled as printable characters, and a word-end suffix. Nothing is
 trained. Special tokens in a text are recognised first, as the file says.
 
+Python's tables are of another Unicode version than the library's. The code points for which normal form, order of marks,
+case or class differ are found once on the driver (``unlike``); the stretches between spaces that hold one of them are
+normalised and split by the library itself, then merged as all others are.
+
 Scale: one pass over the rows without a shuffle; a task holds one slice of bounded bytes and a word memory of
 bounded size, emptied when full, so the result never depends on it.
 
@@ -20,19 +24,22 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterable
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from .batches import by_bytes, texts
 
 SPACE = regex.compile(r"\p{White_Space}+")
+HIGH = re.compile("[\U00010000-\U0010ffff]")
 
 
 def byte_letters() -> list[str]:
@@ -45,10 +52,45 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
+def normal(text: str) -> str:
+    return SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
+
+
+@lru_cache(maxsize=2)
+def unlike(path: str) -> str:
+    """The code points that the library treats otherwise than Python does, in ascending order."""
+    mark = "\x01"  # composes with nothing
+    # the other planes are private or hold nothing yet: neither cases, marks nor classes
+    points = [chr(c) for c in (*range(2, 0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000))]
+    everything = "".join(points)
+    library = tokenizers.Tokenizer.from_file(path).normalizer.normalize_str
+
+    def both(texts: list[str]):
+        joined = mark.join(texts)
+        return zip(points, library(joined).split(mark), normal(joined).split(mark), strict=True)
+
+    found = {c for c, theirs, own in both(points) if theirs != own}
+    for around in ("x\u0345{}", "x{}\u0334"):  # marks of the last and the first class: the order tells the class of the one between
+        found |= {c for c, theirs, own in both([around.format(c) for c in points]) if theirs != own}
+    parts = {c: unicodedata.normalize("NFD", c) for c in points}
+    for c, theirs, own in both(list(parts.values())):
+        if theirs != own:
+            found |= {c, *parts[c][1:]}
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        others = tokenizers.normalizers.Replace(tokenizers.Regex(kind), "").normalize_str(everything)
+        found |= set(others) ^ set(regex.sub(kind, "", everything))
+    # and what turns into one of them
+    found |= {c for c, theirs, own in both(points) if not (found.isdisjoint(theirs) and found.isdisjoint(own))}
+    return "".join(sorted(found))
+
+
 class Bpe:
-    """Encoder and decoder over one vocabulary file."""
+    """Encoder and decoder over one vocabulary file. ``odd``: the code points of ``unlike``, found here if not given."""
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 600_000, odd: str | None = None):
+        self.odd = frozenset(unlike(path) if odd is None else odd)
+        self.low = re.compile("[\\0" + re.escape("".join(c for c in self.odd if c < "\U00010000")) + "]")
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -119,9 +161,29 @@ class Bpe:
                 self.known[text] = ids
         return ids
 
+    @cached_property
+    def library(self) -> tokenizers.Tokenizer:
+        return tokenizers.Tokenizer.from_file(self.path)
+
+    def odd_chunk(self, text: str) -> bytes:
+        """Ids of a text whose normal form and words the library gives, spelled in the letters of bytes."""
+        out = []
+        for word, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
+            out += self.merged([*map(self.vocab.__getitem__, word[:-1]), self.vocab[word[-1] + self.suffix]])
+        return np.array(out, "<u4").tobytes()
+
     def piece(self, text: str) -> bytes:
-        text = SPACE.sub(" ", unicodedata.normalize("NFC", text)).replace("Σ", "σ").lower()
-        chunks = text.split(" ")
+        if self.is_odd(text):
+            return b"".join(self.odd_chunk(chunk) if self.is_odd(chunk) else self.plain(chunk) for chunk in text.split(" "))
+        return self.plain(text)
+
+    def is_odd(self, text: str) -> bool:
+        if text.isascii():
+            return False
+        return bool(self.low.search(text)) or (bool(HIGH.search(text)) and not self.odd.isdisjoint(text))
+
+    def plain(self, text: str) -> bytes:
+        chunks = normal(text).split(" ")
         known = list(map(self.known.get, chunks))
         if None in known:
             known = [self.remembered(chunk, self.chunk) if ids is None else ids for chunk, ids in zip(chunks, known, strict=True)]
@@ -139,8 +201,8 @@ class Bpe:
 
 
 @lru_cache(maxsize=2)
-def bpe(path: str) -> Bpe:
-    return Bpe(path)
+def bpe(path: str, odd: str) -> Bpe:
+    return Bpe(path, odd=odd)
 
 
 def _mapped(df: DataFrame, kept: list[str], column: str, name: str, kind, limit: int, make) -> DataFrame:
@@ -162,8 +224,10 @@ def _mapped(df: DataFrame, kept: list[str], column: str, name: str, kind, limit:
 def encode(df: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
     """``id_col, ids``: ids as little-endian unsigned 32-bit integers."""
 
+    odd = unlike(path)
+
     def make():
-        model = bpe(path)
+        model = bpe(path, odd)
         return lambda column: [model.encode(t) for t in texts(column)]
 
     return _mapped(df, [id_col], text_col, "ids", BinaryType(), 4 << 20, make)
@@ -172,8 +236,10 @@ def encode(df: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
 def decode(df: DataFrame, id_col: str, path: str, ids_col: str = "ids") -> DataFrame:
     """``id_col, ids_col, decoded`` of binary ids; null counts as empty."""
 
+    odd = unlike(path)
+
     def make():
-        model = bpe(path)
+        model = bpe(path, odd)
         return lambda column: [model.decode(i or b"") for i in column.to_pylist()]
 
     return _mapped(df, [id_col, ids_col], ids_col, "decoded", StringType(), 4 << 20, make)

@@ -1,6 +1,7 @@
 """BPE, packing and sharding against the library, brute force and awkward rows."""
 
 import random
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -30,6 +31,21 @@ def test_bpe_equals_the_library(sf):
         assert own.decode(ids(found)) == library.decode(found.ids, skip_special_tokens=False)
 
 
+def test_bpe_of_all_code_points():
+    """Alone, in a word, and beside marks of the first and last class; the library's own ids for each."""
+    library, own = Tokenizer.from_file(WORDS), bpe.Bpe(WORDS)
+    points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x40000), *range(0x40000, 0x110000, 61), *range(0xE0000, 0xE1000))]
+    for i in range(0, len(points), 20_000):
+        texts = [f"{c} ab{c}Cd {c}1! " for c in points[i : i + 20_000]]
+        for text, expected in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == expected.ids, ascii(text)
+    odd = bpe.unlike(WORDS)
+    assert len(odd) > 1000
+    texts = [f"x\u0345{c}\u0334y {unicodedata.normalize('NFD', c)}e\u0301 plain {c}{c}" for c in odd]
+    for text, expected in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == expected.ids, ascii(text)
+
+
 def test_bpe_of_awkward_rows(spark):
     encoded = bpe.encode(awkward(spark), "doc_id", "text", WORDS)
     rows = bpe.decode(encoded, "doc_id", WORDS).collect()
