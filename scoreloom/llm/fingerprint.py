@@ -1,7 +1,7 @@
 """Document fingerprints by improbable features.
 
-Every window of ``WINDOW`` bytes has an entropy class. Classes are ranked by how rare they are among the disjoint windows of
-all texts (one count over the corpus, ``class_counts``); windows below ``WEAKEST`` carry too little to count.
+Every window of ``WINDOW`` bytes has an entropy class. Classes are ranked by how rare they are among all windows of
+all texts, at every offset (one count over the corpus, ``class_counts``); windows below ``WEAKEST`` carry too little to count.
 A window that is the rarest (first of equals) in at least ``POPULAR`` of the ``SPAN``-long runs of neighbouring windows
 is a feature. Features go, in the order of the text, into chained Bloom filters of ``FILTER_BITS`` bits, at
 most ``FILTER_FEATURES`` in one. Two fingerprints are compared filter by filter: the overlap of set bits, less what chance
@@ -11,7 +11,8 @@ Entropies are kept in integers and a text never sees its neighbours in a batch,
 fingerprints wherever they are.
 
 Scale: the neighbour of a document is found without a global sort in one task: ids are cut into ranges, rows are
-exchanged once by range and sorted there, and the first row of each range also goes to the range before it.
+exchanged once by range and sorted there, and the first row of each range also goes to the range before it. A long text's
+windows are looked at in blocks of ``BLOCK`` that overlap by as much as a choice can depend on, so memory beside the text itself is bounded.
 
 Defined cases: null counts as empty; an empty text has an empty fingerprint, like only to another empty one (1); texts
 under ``SHORT`` code points hold too few windows to choose from, and some long ones only weak windows: all their
@@ -73,19 +74,45 @@ def window_sums(data: np.ndarray) -> np.ndarray:
     return np.concatenate([[first], first + np.cumsum(change)])
 
 
+def _groups(encoded: list[bytes]):
+    """All windows of all texts in groups of pieces (text, bytes, windows that only stand beside, own windows), about ``BLOCK`` bytes a group."""
+    group, size = [], 0
+    for text, raw in enumerate(encoded):
+        windows = max(0, len(raw) - WINDOW + 1)
+        for start in range(0, windows, BLOCK):
+            end, low = min(windows, start + BLOCK), max(0, start - SPAN)
+            piece = raw[low : end + SPAN + WINDOW]
+            group.append((text, piece, start - low, end - start))
+            size += len(piece) + GAP
+            if size >= BLOCK:
+                yield group
+                group, size = [], 0
+    if group:
+        yield group
+
+
+def _scanned(group: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The pieces' bytes with gaps around, where they start, the class of each window, and which windows lie in a piece and are its own."""
+    sizes = np.array([len(piece) for _, piece, _, _ in group], np.int64)
+    starts = GAP + np.cumsum(np.concatenate([[0], sizes[:-1] + GAP]))
+    data = np.zeros(int(sizes.sum()) + GAP * (len(group) + 1), np.uint8)
+    inside, own = np.zeros(len(data) - WINDOW + 1, bool), np.zeros(len(data) - WINDOW + 1, bool)
+    for (_, piece, beside, count), start in zip(group, starts.tolist(), strict=True):
+        data[start : start + len(piece)] = np.frombuffer(piece, np.uint8)
+        inside[start : start + len(piece) - WINDOW + 1] = True
+        own[start + beside : start + beside + count] = True
+    return data, starts, _classes(window_sums(data)), inside, own
+
+
 def class_counts(df: DataFrame, text_col: str) -> list[int]:
-    """How many disjoint windows of all texts are in each entropy class."""
+    """How many windows of all texts are in each entropy class."""
 
     def run(batches):
         total = np.zeros(CLASSES, np.int64)
         for batch in by_bytes(batches, 0, BLOCK):
-            for text in texts(batch.column(0)):
-                raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-                rows = len(raw) // WINDOW
-                for start in range(0, rows, 4096):
-                    part = raw[start * WINDOW : min(rows, start + 4096) * WINDOW].reshape(-1, WINDOW)
-                    cells = np.bincount((np.arange(len(part))[:, None] * 256 + part).ravel(), minlength=256 * len(part))
-                    total += np.bincount(_classes(_TERM[cells].reshape(-1, 256).sum(axis=1)), minlength=CLASSES)
+            for group in _groups([t.encode("utf-8", "surrogatepass") for t in texts(batch.column(0))]):
+                _, _, classes, _, own = _scanned(group)
+                total += np.bincount(classes[own], minlength=CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(total)], names=["class", "n"])
 
     found = df.select(F.col(text_col).alias("text")).mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n").alias("n"))
@@ -124,32 +151,31 @@ def short_features(raw: bytes) -> np.ndarray:
 def features(batch: list[str], ranks: np.ndarray) -> list[np.ndarray]:
     """Hashes of the selected windows of each text, in order, each once."""
     encoded = [t.encode("utf-8", "surrogatepass") for t in batch]
-    sizes = np.array([len(b) for b in encoded], np.int64)
-    starts = GAP + np.cumsum(np.concatenate([[0], sizes[:-1] + GAP])) if len(batch) else sizes
-    data = np.zeros(int(sizes.sum()) + GAP * (len(batch) + 1), np.uint8)
-    valid = np.zeros(len(data), bool)
-    for text, raw, start in zip(batch, encoded, starts.tolist(), strict=True):
-        data[start : start + len(raw)] = np.frombuffer(raw, np.uint8)
-        valid[start : start + max(0, len(raw) - WINDOW + 1)] = len(text) >= SHORT
-    rank = ranks[_classes(window_sums(data))]
-    rank[~valid[: len(rank)]] = CLASSES
-    key = rank << 40 | np.arange(len(rank))
-    least, width = key, 1
-    while width < SPAN:  # least of the 2, 4, ... SPAN windows from here
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    least = least[least < CLASSES << 40] & (1 << 40) - 1
-    at = np.nonzero(np.bincount(least, minlength=1) >= POPULAR)[0]
-    view = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
-    hashes = _mixed((view[at].astype(np.uint64) * _POWERS).sum(axis=1, dtype=np.uint64))
-    cuts = [*np.searchsorted(at, starts).tolist(), len(hashes)]
+    chosen: list[list[np.ndarray]] = [[] for _ in batch]
+    for group in _groups([raw if len(text) >= SHORT else b"" for text, raw in zip(batch, encoded, strict=True)]):
+        data, starts, classes, inside, own = _scanned(group)
+        rank = ranks[classes]
+        rank[~inside] = CLASSES
+        key = rank << 40 | np.arange(len(rank))
+        least, width = key, 1
+        while width < SPAN:  # least of the 2, 4, ... SPAN windows from here
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        least = least[least < CLASSES << 40] & (1 << 40) - 1
+        at = np.nonzero(np.bincount(least, minlength=1) >= POPULAR)[0]
+        at = at[own[at]]
+        view = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
+        hashes = _mixed((view[at].astype(np.uint64) * _POWERS).sum(axis=1, dtype=np.uint64))
+        cuts = [*np.searchsorted(at, starts).tolist(), len(hashes)]
+        for k, (text, *_) in enumerate(group):
+            chosen[text].append(hashes[cuts[k] : cuts[k + 1]])
     found = []
-    for i, text in enumerate(batch):
-        own = hashes[cuts[i] : cuts[i + 1]]
-        if not len(own):
-            own = short_features(encoded[i])
-        _, first = np.unique(own, return_index=True)
-        found.append(own[np.sort(first)])
+    for raw, parts in zip(encoded, chosen, strict=True):
+        hashes = np.concatenate([np.zeros(0, np.uint64), *parts])
+        if not len(hashes):
+            hashes = short_features(raw)
+        _, first = np.unique(hashes, return_index=True)
+        found.append(hashes[np.sort(first)])
     return found
 
 
@@ -168,14 +194,19 @@ def digests(batch: list[str], ranks: np.ndarray) -> list[np.ndarray]:
 
 
 def _one_way(a: np.ndarray, b: np.ndarray) -> float:
-    na, nb = a.sum(axis=1, dtype=np.int64)[:, None].astype(float), b.sum(axis=1, dtype=np.int64)[None, :].astype(float)
-    both = a.astype(np.float32) @ b.T.astype(np.float32)
+    """How much of ``a`` the best partners among ``b`` hold, in blocks of filters."""
     m = FILTER_BITS
-    chance = na * nb / m
-    spread = np.sqrt(chance * (m - na) * (m - nb) / m / (m - 1))
-    most = np.minimum(na, nb)
-    score = np.where(both > chance + 2 * spread, (both - chance) / np.maximum(most - chance, 1e-9), 0.0)
-    return float((np.clip(score, 0, 1).max(axis=1) * na[:, 0]).sum() / na.sum())
+    sizes, nb = a.sum(axis=1, dtype=np.int64).astype(float), b.sum(axis=1, dtype=np.int64)[None, :].astype(float)
+    partners = b.T.astype(np.float32)
+    best = np.zeros(len(a))
+    for start in range(0, len(a), 64):
+        na = sizes[start : start + 64, None]
+        both = a[start : start + 64].astype(np.float32) @ partners
+        chance = na * nb / m
+        spread = np.sqrt(chance * (m - na) * (m - nb) / m / (m - 1))
+        score = np.where(both > chance + 2 * spread, (both - chance) / np.maximum(np.minimum(na, nb) - chance, 1e-9), 0.0)
+        best[start : start + 64] = np.clip(score, 0, 1).max(axis=1)
+    return float((best * sizes).sum() / sizes.sum())
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:

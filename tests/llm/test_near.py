@@ -143,6 +143,66 @@ def test_compare_with_next(spark):
     assert prints[""] == "" and next(r for r in rows if r["doc_id"] == 7)["near_next"] == 1.0
 
 
+def brute_classes(raw):
+    sums = (fingerprint._TERM[np.bincount(np.frombuffer(raw[i : i + 32], np.uint8))].sum() for i in range(len(raw) - 31))
+    return [int(min((fingerprint._FULL - s) * 64 // fingerprint._FULL, 63)) for s in sums]
+
+
+def brute_features(text, ranks):
+    """Window by window, run by run; runs may reach over the ends of the text."""
+    raw = text.encode()
+    rank = [int(ranks[c]) for c in brute_classes(raw)]
+    wins = Counter()
+    for run in range(-31, len(rank)):
+        wins[min((rank[i], i) for i in range(max(run, 0), min(run + 32, len(rank))))] += 1
+    chosen = [i for r, i in sorted(wins, key=lambda w: w[1]) if r < 64 and wins[r, i] >= 8]
+    mask = (1 << 64) - 1
+    out = []
+    for i in chosen:
+        h = sum(b * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(raw[i : i + 32])) & mask
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & mask
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & mask
+        out.append(h ^ h >> 31)
+    return list(dict.fromkeys(out))
+
+
+def test_features_equal_brute_force(spark, sf):
+    texts = [t for _, t, _ in documents(sf) if t and len(t) >= fingerprint.SHORT][:12] + ["ab" * 300, "é" * 150 + "".join(map(chr, range(33, 400)))]
+    counts = fingerprint.class_counts(spark.createDataFrame([(t,) for t in [*texts, "short", "", None]], "text string"), "text")
+    total = Counter(c for t in texts for c in brute_classes(t.encode()))
+    assert counts == [total[c] for c in range(fingerprint.CLASSES)]
+    ranks = fingerprint.rarity(counts)
+    expected = [brute_features(t, ranks) for t in texts]
+    old = fingerprint.BLOCK
+    try:
+        for block in (old, 1000, 97):  # texts of one block and of many
+            fingerprint.BLOCK = block
+            for got, e, t in zip(fingerprint.features(texts, ranks), expected, texts, strict=True):
+                assert got.tolist() == (e or fingerprint.features([t], ranks)[0].tolist())
+    finally:
+        fingerprint.BLOCK = old
+    assert sum(map(bool, expected)) >= 12
+
+
+def test_likeness_equals_brute_force():
+    rng = np.random.default_rng(4)
+    a, b = ((rng.random((n, fingerprint.FILTER_BITS)) < 0.3).astype(np.uint8) for n in (150, 70))
+    a[40:90] |= b[10:60]
+
+    def one_way(a, b):
+        score = []
+        for x in a:
+            best = 0.0
+            for y in b:
+                both, chance = int((x & y).sum()), x.sum() * y.sum() / 2048
+                if both > chance + 2 * (chance * (2048 - x.sum()) * (2048 - y.sum()) / 2048 / 2047) ** 0.5:
+                    best = max(best, min(1, (both - chance) / (min(x.sum(), y.sum()) - chance)))
+            score.append(best * x.sum())
+        return sum(score) / a.sum()
+
+    assert np.isclose(fingerprint.likeness(a, b), (one_way(a, b) + one_way(b, a)) / 2)
+
+
 def test_fingerprint_query(spark, sf):
     rows = QUERIES["op2_document_fingerprint"](spark, sf).collect()
     assert len(rows) == len(documents(sf))
