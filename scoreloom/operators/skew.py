@@ -243,3 +243,21 @@ def group_percentiles(
         *keys, *[between(i, p).alias(n) for i, (p, n) in enumerate(zip(probabilities, names))]
     )
     return out.unionByName(picked) if keys else picked
+
+
+def percentiles_of_columns(
+    df: DataFrame,
+    keys: Sequence[str],
+    names: Mapping[str, Sequence[str]],
+    probabilities: Sequence[float],
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """``group_percentiles`` of several columns (column -> names): one count of the keys, one aggregate of the ordinary ones."""
+    cold, hot, _ = split_hot(df.select(*keys, *names), keys, hot_rows)
+    shares = F.array(*[F.lit(float(p)) for p in probabilities])
+    out = cold.groupBy(*keys).agg(*[F.percentile(F.col(c), shares).alias(f"_p_{c}") for c in names])
+    out = out.select(*keys, *[F.get(f"_p_{c}", F.lit(i)).alias(n) for c, ns in names.items() for i, n in enumerate(ns)])
+    if hot is None:
+        return out
+    picked = [group_percentiles(hot, keys, c, probabilities, ns, hot_rows) for c, ns in names.items()]
+    return out.unionByName(reduce(lambda a, b: a.join(b, list(keys)), picked))

@@ -29,6 +29,14 @@ def test_one_exchange_on_the_client_and_no_python(spark, sf, tmp_path):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_percentiles_of_all_columns_in_one_aggregate(spark, sf, tmp_path):
+    """All of the whole history: the block itself, its moments and its percentiles, one scan and one exchange each."""
+    st.Native(spark, sf).installments().write.parquet(str(tmp_path / "ip"))
+    out = installment_features(spark.read.parquet(str(tmp_path / "ip")), st.INSTALLMENT_TIES, all_history=True, hot_rows=10**9)
+    plan = plan_of(out)
+    assert plan.count("FileScan parquet") == 3 and len(re.findall(r"Exchange hashpartitioning", plan)) == 3
+
+
 def test_top_rows_limit_before_the_exchange(spark, sf):
     orders = spark.read.parquet(f"{sf}/orders.parquet")
     plan = plan_of(top_rows(orders, ["o_custkey"], newest_first("o_orderdate", "o_orderkey"), 5))
@@ -57,7 +65,7 @@ def test_every_sql_has_a_query():
     "name",
     [
         "bureau_features", "credit_card_features", "previous_application_features", "pos_cash_features",
-        "weight_of_evidence", "roc_auc", "stratified_folds", "label_propagation", "quantile_bins", "column_profile",
+        "installment_features_all_history", "weight_of_evidence", "roc_auc", "stratified_folds", "label_propagation", "quantile_bins", "column_profile",
     ],
 )
 def test_queries_agree_with_sql(spark, sf, name):

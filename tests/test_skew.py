@@ -71,6 +71,9 @@ def test_percentiles(lopsided):
         out = skew.group_percentiles(df, ["k"], "v", shares, names, hot_rows).toPandas().set_index("k").sort_index()
         want = pdf.groupby("k")["v"].quantile(shares).unstack()
         np.testing.assert_allclose(out[names].to_numpy(float), want.to_numpy(float))
+        both = skew.percentiles_of_columns(df, ["k"], {"v": names, "t": list("fghij")}, shares, hot_rows).toPandas().set_index("k").sort_index()
+        np.testing.assert_allclose(both[names].to_numpy(float), want.to_numpy(float))
+        np.testing.assert_allclose(both[list("fghij")].to_numpy(float), pdf.groupby("k")["t"].quantile(shares).unstack().to_numpy(float))
     row = skew.group_percentiles(df, [], "v", shares, names, 5).collect()
     assert len(row) == 1
     np.testing.assert_allclose([row[0][n] for n in names], pdf["v"].quantile(shares).to_numpy())
