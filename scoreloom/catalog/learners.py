@@ -346,7 +346,8 @@ def _importance_sink(spark, sf):
     return src.read_csv_table(spark, path, "feature string, importance double")
 
 
-@query("run_parameter_sink", "value:str")
+@query("run_parameter_sink", "value:str",
+       f"SELECT 'regParam:{learners.SGD_ALPHA},' AS value UNION ALL SELECT concat('rows:', count(*), ',') FROM documents")
 def _parameters(spark, sf):
     data = _data(spark, sf)
     scored = learners.logistic_regression(data, "score").join(data.frame.select(ID, LABEL), ID)

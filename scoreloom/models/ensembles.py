@@ -139,7 +139,7 @@ def bagged_trees(data: Prepared, name: str = "bagging_classifier", trees: int =
     return _learned(data, lambda s: _forest(s, BAGGED[0], trees, spark, BAGGED[2]).mean, name)
 
 
-def decision_tree(data: Prepared, name: str = "decision_tree_classifier") -> DataFrame:
+def decision_tree(data: Prepared, name: str = "decision_tree_classifier", rule: Rule = TREE) -> DataFrame:
     """One entropy tree; nodes below 100 rows aren't split, and each node chooses from 0.8 of the columns."""
     spark = data.frame.sparkSession
 
@@ -149,7 +149,7 @@ def decision_tree(data: Prepared, name: str = "decision_tree_classifier") -> Dat
         def one(_: int) -> Trees:
             v = shared.value
             n = len(v.y)
-            return grow(v.bins, np.arange(n), np.zeros(n, int), v.y, np.ones(n), np.ones(n), 1, TREE, np.random.default_rng(SEED), v.width)
+            return grow(v.bins, np.arange(n), np.zeros(n, int), v.y, np.ones(n), np.ones(n), 1, rule, np.random.default_rng(SEED), v.width)
 
         return _tasks(spark, 1, one)[0].mean
 

@@ -66,21 +66,21 @@ SGD_ALPHA = 0.01
 SVM_C = 1.0
 
 
-def logistic_regression(data: Prepared, name: str = "logistic_regression") -> DataFrame:
+def logistic_regression(data: Prepared, name: str = "logistic_regression", tol: float = 1e-4) -> DataFrame:
     """Class-weighted logistic regression; the penalty is scaled to the weighted mean loss."""
     weight = F.when(F.col(data.label) == 1, CLASS_WEIGHTS[1]).otherwise(CLASS_WEIGHTS[0])
     weighted = Prepared(data.frame.withColumn("_weight", weight), data.features, data.id, data.label)
     total = weighted.labelled.agg(F.sum("_weight")).first()[0]
     model = LogisticRegression(
-        weightCol="_weight", regParam=1.0 / (INVERSE_L2 * total), standardization=False, maxIter=800, tol=1e-4,
+        weightCol="_weight", regParam=1.0 / (INVERSE_L2 * total), standardization=False, maxIter=800, tol=tol,
         **_common(data.label),
     )
     return fit_and_score(weighted, model, name)
 
 
-def sgd_logistic(data: Prepared, name: str = "sgd_log_loss") -> DataFrame:
+def sgd_logistic(data: Prepared, name: str = "sgd_log_loss", tol: float = 1e-6) -> DataFrame:
     """L2 logistic loss at the same strength, solved to its optimum."""
-    model = LogisticRegression(regParam=SGD_ALPHA, standardization=False, **_common(data.label))
+    model = LogisticRegression(regParam=SGD_ALPHA, standardization=False, tol=tol, **_common(data.label))
     return fit_and_score(data, model, name)
 
 
@@ -131,6 +131,9 @@ def sigmoid(scored: DataFrame, margin: str, label: str, steps: int = 100) -> tup
         haa, hbb = haa + 1e-12, hbb + 1e-12
         det = haa * hbb - hab * hab
         da, db = -(hbb * ga - hab * gb) / det, -(haa * gb - hab * ga) / det
+        if -(ga * da + gb * db) < 1e-12 * max(1.0, loss):  # all that is left to gain is lost in the loss's own rounding
+            a, b = a + da, b + db
+            break
         size = 1.0
         while size > 1e-10:
             found = sums(a + size * da, b + size * db)
