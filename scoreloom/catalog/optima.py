@@ -108,6 +108,7 @@ class _Grown:
     worth: object
     value: object
     min_split: int = 2
+    min_leaf: int = 1
 
     def tree(self, tag: str, rows: str) -> list[str]:
         """CTEs for one tree of each model ``i``: ``{tag}`` has each row's ``id, i`` and its leaf's ``value``.
@@ -125,7 +126,7 @@ class _Grown:
             out.append(
                 f"{tag}_s{level} AS MATERIALIZED (SELECT i, node, col, cut FROM (SELECT *, row_number() OVER (PARTITION BY i, node ORDER BY gain DESC, col, v) AS place FROM "
                 f"(SELECT *, {gain} AS gain FROM (SELECT i, node, col, v, {sums} FROM ({cells})) JOIN edges USING (col, v) "
-                f"WHERE cut IS NOT NULL AND an >= {self.min_split} AND ln > 0 AND an > ln)) WHERE place = 1 AND gain > 1e-12)"
+                f"WHERE cut IS NOT NULL AND an >= {self.min_split} AND ln >= {self.min_leaf} AND an - ln >= {self.min_leaf})) WHERE place = 1 AND gain > 1e-12)"
             )
             out.append(
                 f"{tag}_r{level + 1} AS MATERIALIZED (SELECT r.* EXCLUDE (node), CASE WHEN s.cut IS NULL THEN r.node WHEN list_extract({_XS}, s.col + 1) > s.cut "
@@ -195,12 +196,16 @@ def _ada(spark, sf):
     return ensembles.ada_boosted(_stairs(spark, sf), "score", ADA_ROUNDS, ADA)
 
 
-BOOST_PRESET, BOOST_ROUNDS, BOOST_DEPTH = "catboost", 3, 3
+BOOST_PRESET, BOOST_ROUNDS = "catboost", 3
+BOOST_RULE = {"depth": 3, "min_leaf": 20}  # in small nodes two columns may part the rows alike
 
 
 def _boost_sql() -> str:
     rule, _, step, *_ = ensembles.BOOSTING[BOOST_PRESET]
-    grower = _Grown(BOOST_DEPTH, lambda g, h: f"({g} * {g} / ({h} + {rule.l2}) / 2)", lambda g, h: f"(-{g} / ({h} + {rule.l2}) * {step})")
+    grower = _Grown(
+        BOOST_RULE["depth"], lambda g, h: f"({g} * {g} / ({h} + {rule.l2}) / 2)", lambda g, h: f"(-{g} / ({h} + {rule.l2}) * {step})",
+        min_leaf=BOOST_RULE["min_leaf"],
+    )
     learns = f"({_KNOWN} AND fold <> i)"
     steps = [_D, f"folded AS MATERIALIZED (SELECT doc_id AS id, fold FROM ({FOLDED_SQL}))",
              "m AS MATERIALIZED (SELECT d.*, fold, k.i::INT AS i FROM d LEFT JOIN folded USING (id), range(5) k(i))",
@@ -219,7 +224,7 @@ def _boost_sql() -> str:
 @query("boosted_trees_three_rounds", f"{ID},fold:int average,held_out:num", _boost_sql())
 def _boosted(spark, sf):
     """Second-order boosting of one preset, a model for each fold, ended after three rounds at depth 3."""
-    return ensembles.boosted_trees(_stairs(spark, sf), BOOST_PRESET, rounds=BOOST_ROUNDS, depth=BOOST_DEPTH).scores
+    return ensembles.boosted_trees(_stairs(spark, sf), BOOST_PRESET, rounds=BOOST_ROUNDS, **BOOST_RULE).scores
 
 
 # -------------------------------------------------------------- importances
