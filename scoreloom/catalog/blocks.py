@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators.ordered import SMALLEST_DIVISOR, UNSTABLE
@@ -353,6 +355,13 @@ def _wide(spark, sf):
     return native_wide(spark, sf)
 
 
+@query("wide_table_of_stored_blocks", WIDE_KINDS, WIDE_SQL)
+def _wide_stored(spark, sf):
+    """As ``wide_table``, its blocks written clustered by client first."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return native_wide(spark, sf, store=f"wide_{uuid.uuid4().hex}", buckets=buckets)
+
+
 @query("post_processing_hook", f"{KEY}:int doubled:num", f"SELECT {KEY}, AMT_CREDIT * 2 AS doubled FROM ({APP_SQL})")
 def _hook(spark, sf):
     return native_wide(spark, sf, post_process=lambda d: d.select(KEY, (F.col("AMT_CREDIT") * 2).alias("doubled")))
