@@ -252,9 +252,11 @@ class Native:
         return _frame(self.raw("events"), credit_card(spark_days))
 
     def documents(self) -> DataFrame:
-        labels = self.raw("labels")
-        rows = self.raw("documents").alias("documents").join(labels.alias("labels"), on="doc_id", how="left")
-        return _frame(rows, documents(spark_days) | {"SK_ID_CURR": "doc_id"})
+        """Texts are reduced to their counts before the join, so that no text is exchanged."""
+        columns = documents(spark_days)
+        counted = {n: e for n, e in columns.items() if n not in ("SK_ID_CURR", "TARGET")}
+        rows = _frame(self.raw("documents"), {"doc_id": "doc_id", **counted}).join(self.raw("labels"), on="doc_id", how="left")
+        return _frame(rows, {n: {"SK_ID_CURR": "doc_id", "TARGET": columns["TARGET"]}.get(n, f"`{n}`") for n in columns})
 
 
 def _on(left: str, right: str):
