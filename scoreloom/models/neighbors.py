@@ -1,16 +1,17 @@
 """Exact nearest neighbours, a neighbour graph by descent, and label propagation over the graph.
 
-``nearest`` routes all points through a metric tree (``metric_tree``) and sends each query to its leaves twice: first to the
-nearest ones that hold k points, which gives the true k-th distance there, then, with that distance as radius, to every other
-leaf whose ball reaches into it. No leaf that may hold a neighbour is left out, so the result is exact. What the tasks hold is the tree, whose
-number of leaves is bounded; points are exchanged once for each visit, in blocks, and a leaf that very many queries visit is measured by
-several tasks. Of points in one place only the k smallest ids can be neighbours, so copies cost nothing.
+``nearest`` routes all points through a metric tree (``metric_tree``), whose balls give every query a radius that surely holds k points. Queries of
+neighbouring leaves form a group, which gets the points of every leaf whose ball reaches into the radius of one of its queries. No leaf that
+may hold a neighbour is left out, so the result is exact. A group's points pass its task batch by batch while each query keeps its nearest so far, so
+only points are exchanged, once for each group, and neither visits nor distances are. The number of groups follows the cores, until a group holds
+``CHUNK_ROWS`` queries or ``HELD`` neighbours. What the tasks hold is the tree, whose number of leaves is bounded, a group's queries and their nearest points. Of points
+in one place only the k smallest ids can be neighbours, so copies cost nothing.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -22,8 +23,11 @@ from . import metric_tree
 
 LEAF_ROWS = 512  # wanted points of a leaf
 MAX_LEAVES = 16_384  # the tree held by every task; leaves grow beyond LEAF_ROWS * MAX_LEAVES points
-BLOCK_ROWS = 4096  # most points of a leaf measured in one go
-CHUNK_ROWS = 16_384  # most visits to a block measured by one task
+BLOCK_ROWS = 256  # fewest queries of a group, as long as there are so many
+CHUNK_ROWS = 32_768  # most queries of a group
+HELD = 8_000_000  # most neighbours that a group's task keeps
+SEEN = 8192  # most points of the tree's choice that every query is measured against first
+WAVES = 4  # wanted groups for each core
 TREES = 4  # of the start of a descent
 SLACK = 1e-6  # rounding room in the bounds, a share of the vectors' length; never excludes a neighbour
 
@@ -32,11 +36,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 0))
 
 
-def grown_tree(points: DataFrame, count: int) -> metric_tree.Tree:
-    """A tree over points ``_t, _v`` from a fixed pseudo-random choice of them, bounded by ``MAX_LEAVES``."""
+def _vectors(column) -> np.ndarray:
+    """The rows of an Arrow list column of one width."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def grown_tree(points: DataFrame, count: int) -> tuple[metric_tree.Tree, np.ndarray]:
+    """A tree over points ``_t, _v`` from a fixed pseudo-random choice of them, bounded by ``MAX_LEAVES``, and some of the chosen ones."""
     leaves = max(1, min(MAX_LEAVES, math.ceil(count / LEAF_ROWS)))
     rows = points.orderBy(F.xxhash64("_t"), "_t").limit(leaves * metric_tree.SAMPLE_ROWS).select("_v").collect()
-    return metric_tree.build(np.array([r["_v"] for r in rows], dtype=float), leaves)
+    chosen = np.array([r["_v"] for r in rows], dtype=float)
+    return metric_tree.build(chosen, leaves), chosen[:SEEN]
 
 
 def _routed(points: DataFrame, tree: metric_tree.Tree) -> DataFrame:
@@ -56,90 +66,259 @@ def _routed(points: DataFrame, tree: metric_tree.Tree) -> DataFrame:
 class Balls:
     """Number of points of each leaf and the least and largest distance to its centre."""
 
-    def __init__(self, tree: metric_tree.Tree, routed: DataFrame):
+    def __init__(self, tree: metric_tree.Tree, seen: np.ndarray, routed: DataFrame):
         found = routed.groupBy("_leaf").agg(F.count(F.lit(1)).alias("n"), F.min("_r").alias("low"), F.max("_r").alias("high")).toPandas()
         found = found.sort_values("_leaf")  # at most MAX_LEAVES rows
         self.leaf = found["_leaf"].to_numpy()
         self.size, self.low, self.high = (found[c].to_numpy() for c in ("n", "low", "high"))
-        self.centres = tree.centres[self.leaf]
-        self.blocks = np.maximum(1, -(-self.size // BLOCK_ROWS))
+        self.centres, self.seen = tree.centres[self.leaf], seen
+
+    def _room(self, length: np.ndarray) -> np.ndarray:
+        return SLACK * (length[:, None] + np.sqrt((self.centres**2).sum(axis=1))[None, :] + self.high[None, :])
 
-    def first(self, away: np.ndarray, k: int) -> np.ndarray:
-        """For each query, given its distances to the centres: whether a leaf is among the nearest that hold ``k`` points."""
-        order = np.argsort(away, axis=1, kind="stable")
+    def within(self, x: np.ndarray, k: int) -> np.ndarray:
+        """For each query a radius that surely holds ``k`` points, by the balls and by the points already seen; infinite with fewer points."""
+        length = np.sqrt((x * x).sum(axis=1))
+        far = metric_tree.distances(x, self.centres) + self.high + self._room(length)
+        order = np.argsort(far, axis=1, kind="stable")
         held = np.cumsum(self.size[order], axis=1)
-        out = np.zeros(away.shape, bool)
-        np.put_along_axis(out, order, held - self.size[order] < k, axis=1)
+        if held.shape[1] == 0 or held[0, -1] < k:
+            return np.full(len(x), np.inf)
+        last = (held < k).sum(axis=1)
+        out = np.take_along_axis(far, np.take_along_axis(order, last[:, None], axis=1), axis=1)[:, 0]
+        if len(self.seen) >= k:
+            kth = np.partition(metric_tree.distances(x, self.seen), k - 1, axis=1)[:, k - 1]
+            out = np.minimum(out, kth + SLACK * (length + np.sqrt((self.seen**2).sum(axis=1)).max()))
         return out
 
     def reached(self, away: np.ndarray, radius: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Whether a ball comes as near as the query's radius."""
         gap = np.maximum(away - self.high, self.low - away)
-        room = SLACK * (length[:, None] + np.sqrt((self.centres**2).sum(axis=1))[None, :] + self.high[None, :])
-        return gap <= radius[:, None] + room
+        return gap <= radius[:, None] + self._room(length)
 
 
-def _visits(queries: DataFrame, balls: Balls, k: int, second: bool) -> DataFrame:
-    """``_q, _v, _radius, _leaf, _block``: where the queries go, by blocks of the leaves; ``_radius`` is infinite for the first visit."""
+def _grouped(queries: DataFrame, tree: metric_tree.Tree, balls: Balls, k: int, radius: float | None) -> DataFrame:
+    """The queries ``_q, _v, ...`` with a radius that holds their neighbours and their group ``_leaf, _block``: queries of one or more leaves that are next to each
+    other, as many as ``WAVES`` groups a core take, or a part of one large leaf."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for start in range(0, len(pdf), 256):
                 part = pdf.iloc[start : start + 256]
                 x = _matrix(part["_v"])
-                away = metric_tree.distances(x, balls.centres)
-                go = balls.first(away, k)
-                radius = part["_radius"].to_numpy() if second else np.full(len(part), np.inf)
-                if second:
-                    go = balls.reached(away, radius, np.sqrt((x * x).sum(axis=1))) & ~go
-                who, where = np.nonzero(go)
-                copies = balls.blocks[where]
-                who, where = np.repeat(who, copies), np.repeat(where, copies)
-                block = np.arange(len(who)) - np.repeat(np.cumsum(copies) - copies, copies)
-                yield pd.DataFrame({"_q": part["_q"].to_numpy()[who], "_v": part["_v"].to_numpy()[who], "_radius": radius[who],
-                                    "_leaf": balls.leaf[where].astype("int32"), "_block": block.astype("int32")})
-
-    kind = dict(queries.dtypes)["_q"]
-    return queries.mapInPandas(run, f"_q {kind}, _v array<double>, _radius double, _leaf int, _block int")
-
-
-def _measured(visits: DataFrame, held: DataFrame, k: int, carry: Sequence[str]) -> DataFrame:
-    """``_q, distance, _t, carry...``: of each visit at most the k nearest points within the radius."""
-    kinds = dict(held.dtypes)
-    kind, carried = dict(visits.dtypes)["_q"], list(carry)
-    stored = cut_lineage(visits)
-    # a block with many visits is measured in parts, each with its own copy of the block's few points
-    parts = stored.groupBy("_leaf", "_block").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("_parts"))
-    asked = stored.join(parts, ["_leaf", "_block"]).withColumn("_part", F.pmod(F.xxhash64("_q"), F.col("_parts")).cast("int")).drop("_parts")
-    points = held.join(parts, ["_leaf", "_block"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    columns = ["_q", "distance", "_t", *carried]
-
-    def measure(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+                far = balls.within(x, k) if radius is None else np.full(len(part), float(radius))
+                yield part.assign(_home=tree.leaves_of(x).astype("int32"), _radius=far)
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema)
+    found = cut_lineage(queries.mapInPandas(run, f"{kinds}, _home int, _radius double"))
+    sizes = sorted((r["_home"], r["n"]) for r in found.groupBy("_home").agg(F.count(F.lit(1)).alias("n")).collect())  # at most MAX_LEAVES rows
+    spark = queries.sparkSession
+    wanted = math.ceil(sum(n for _, n in sizes) / (WAVES * spark.sparkContext.defaultParallelism))
+    most = max(BLOCK_ROWS, min(wanted, CHUNK_ROWS, HELD // max(k, 1)))
+    dealt, group, held = [], 0, 0
+    for home, n in sizes:
+        if held and held + n > most:
+            group, held = group + 1, 0
+        dealt.append((home, group, max(1, math.ceil(n / most))))
+        held += n
+    groups = spark.createDataFrame(dealt, "_home int, _leaf int, _parts int")
+    block = F.pmod(F.xxhash64("_q"), F.col("_parts")).cast("int")
+    return found.join(F.broadcast(groups), "_home").withColumn("_block", block).drop("_home", "_parts")
+
+
+def _held(asked: DataFrame, routed: DataFrame, balls: Balls) -> DataFrame:
+    """The points for each group whose queries may have them as neighbours, ``_at`` the least distance of a query to the centre of their leaf."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[tuple[int, int], np.ndarray] = {}
+        for pdf in parts:
+            for key, group in pdf.groupby(["_leaf", "_block"]):
+                for start in range(0, len(group), 256):
+                    part = group.iloc[start : start + 256]
+                    x = _matrix(part["_v"])
+                    away = metric_tree.distances(x, balls.centres)
+                    go = balls.reached(away, part["_radius"].to_numpy(), np.sqrt((x * x).sum(axis=1)))
+                    near = np.where(go, away, np.inf).min(axis=0)
+                    best[key] = np.minimum(best[key], near) if key in best else near
+        for (leaf, block), near in best.items():
+            at = np.flatnonzero(np.isfinite(near))
+            yield pd.DataFrame({"_group": np.full(len(at), leaf, "int32"), "_block": np.full(len(at), block, "int32"),
+                                "_leaf": balls.leaf[at].astype("int32"), "_at": near[at]})
+
+    met = asked.select("_leaf", "_block", "_v", "_radius").mapInPandas(run, "_group int, _block int, _leaf int, _at double")
+    reach = cut_lineage(met.groupBy("_group", "_block", "_leaf").agg(F.min("_at").alias("_at")))
+    return routed.drop("_r").join(reach, "_leaf").drop("_leaf").withColumnRenamed("_group", "_leaf")
+
+
+class Nearest:
+    """The k nearest points so far of some queries; no more than about twice as many are kept."""
+
+    def __init__(self, x: np.ndarray, radius: np.ndarray, k: int):
+        self.x, self.k, self.limit = x, k, radius.copy()
+        self.length = np.sqrt((x * x).sum(axis=1))
+        self.lifted = np.column_stack([x, np.ones(len(x))])
+        self.parts, self.kept, self.count = [], 0, 0
+
+    def add(self, points: np.ndarray, first: int) -> np.ndarray:
+        """Points that become ``first``, ``first + 1``, ...; returns which of them are kept for now."""
+        square = (points * points).sum(axis=1)
+        room = SLACK * (self.length + np.sqrt(square.max()))
+        # |p|^2 - 2 x.p, so that one comparison is left for each pair
+        rough = self.lifted @ np.column_stack([-2.0 * points, square]).T
+        own = self.length**2
+
+        def passing(limit: np.ndarray):
+            return np.divmod(np.flatnonzero(rough <= ((limit + room) ** 2 - own)[:, None]), len(points))
+
+        who, near = passing(self.limit)
+        if self.k < len(points) and len(who) > 4 * self.k * len(self.x):
+            kth = np.partition(rough, self.k - 1, axis=1)[:, self.k - 1]
+            who, near = passing(np.minimum(self.limit, np.sqrt(np.maximum(kth + own, 0.0)) + room))
+        away = np.empty(len(who))
+        for at in range(0, len(who), 100_000):
+            some = slice(at, at + 100_000)
+            off = points[near[some]] - self.x[who[some]]
+            away[some] = np.sqrt((off * off).sum(axis=1))
+        keep = away <= self.limit[who]
+        who, near, away = who[keep], near[keep], away[keep]
+        self.parts.append((who.astype("uint16"), away, near + first))
+        self.count += len(who)
+        return np.unique(near)
+
+    def full(self) -> bool:
+        return self.count > self.kept + max(self.k * len(self.x) // 2, 4096)
+
+    def cut(self, ids: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, distance, point) of all that may still be among the first k; in order and no more than k with the points' ``ids``."""
+        who, away, point = (np.concatenate([p[i] for p in self.parts]) for i in range(3))
+        order = np.argsort(who, kind="stable")
+        who, away, point = who[order], away[order], point[order]
+        held = np.bincount(who, minlength=len(self.x))
+        if ids is None and held.max(initial=0) > self.k:
+            place = np.arange(len(who)) - np.repeat(np.cumsum(held) - held, held)
+            rows = np.full((len(self.x), held.max()), np.inf)
+            rows[who, place] = away
+            self.limit = np.minimum(self.limit, np.partition(rows, self.k - 1, axis=1)[:, self.k - 1])
+            keep = away <= self.limit[who]
+            who, away, point = who[keep], away[keep], point[keep]
+        elif ids is not None:
+            order = np.lexsort((ids[point], away, who))
+            who, away, point = who[order], away[order], point[order]
+            keep = np.arange(len(who)) - np.searchsorted(who, who) < self.k
+            who, away, point = who[keep], away[keep], point[keep]
+        self.parts, self.kept, self.count = [(who, away, point)], len(who), len(who)
+        return who, away, point
+
+
+class _Near:
+    """The nearest points of one group's queries; the carried columns of points that may be neighbours are kept beside them."""
+
+    def __init__(self, pa, queries, k: int, carry: Sequence[str]):
+        self.pa, self.carry, self.k = pa, ["_id", *carry], k
+        x, radius = _vectors(queries["_v"]), queries["_radius"].to_numpy(zero_copy_only=False)
+        self.ids = queries["_id"]
+        self.chunks = [Nearest(x[at : at + 256], radius[at : at + 256], k) for at in range(0, len(x), 256)]
+        self.tables, self.size, self.floor = [], 0, 0
+
+    def add(self, batch) -> None:
+        x = _vectors(batch["_v"])
+        used = np.zeros(len(x), bool)
         found = []
-        if len(left) and len(right):
-            vectors, ids = _matrix(right["_v"]), right["_t"].to_numpy()
-            longest = np.sqrt((vectors * vectors).sum(axis=1)).max()
-            for start in range(0, len(left), 256):
-                part = left.iloc[start : start + 256]
-                x = _matrix(part["_v"])
-                rough = metric_tree.distances(x, vectors)
-                limit = part["_radius"].to_numpy()
-                if len(vectors) > k:
-                    limit = np.minimum(limit, np.partition(rough, k - 1, axis=1)[:, k - 1])
-                room = SLACK * (np.sqrt((x * x).sum(axis=1)) + longest)
-                who, near = np.nonzero(rough <= (limit + room)[:, None])
-                away = vectors[near] - x[who]
-                d = np.sqrt((away * away).sum(axis=1))
-                order = np.lexsort((ids[near], d, who))
-                who, near, d = who[order], near[order], d[order]
-                place = np.arange(len(who)) - np.searchsorted(who, who)
-                keep = (place < k) & (d <= part["_radius"].to_numpy()[who])
-                found.append(right.iloc[near[keep]][["_t", *carried]].assign(_q=part["_q"].to_numpy()[who[keep]], distance=d[keep]))
-        return pd.concat(found)[columns] if found else pd.DataFrame(columns=columns)
-
-    schema = ", ".join([f"_q {kind}", "distance double", f"_t {kinds['_t']}", *[f"`{c}` {kinds[c]}" for c in carried]])
-    keys = ["_leaf", "_block", "_part"]
-    return asked.groupBy(*keys).cogroup(points.groupBy(*keys)).applyInPandas(measure, schema)
+        for chunk in self.chunks:
+            used[chunk.add(x, 0)] = True
+            found.append(chunk.parts[-1])
+        place = np.cumsum(used) - 1 + self.size  # points that nobody wants get no number
+        for chunk, (who, away, point) in zip(self.chunks, found, strict=True):
+            chunk.parts[-1] = (who, away, place[point])
+            if chunk.full():
+                chunk.cut()
+        self.tables.append(self.pa.table({c: batch[c] for c in self.carry}).filter(self.pa.array(used)))
+        self.size += int(used.sum())
+        if self.size > max(2 * self.floor, 1_000_000):
+            self._tidy()
+
+    def _tidy(self) -> None:
+        """Forget the points that are no longer among anybody's nearest."""
+        used = np.zeros(self.size, bool)
+        for chunk in self.chunks:
+            used[chunk.cut()[2]] = True
+        place = np.cumsum(used) - 1
+        for chunk in self.chunks:
+            chunk.parts = [(who, away, place[point]) for who, away, point in chunk.parts]
+        self.tables = [self.pa.concat_tables(self.tables).filter(self.pa.array(used)).combine_chunks()]
+        self.size = self.floor = int(used.sum())
+
+    def rows(self):
+        if not self.tables:
+            return
+        points = self.pa.concat_tables(self.tables).combine_chunks()
+        ids = points["_id"].to_pandas().to_numpy()
+        for at, chunk in enumerate(self.chunks):
+            who, away, point = chunk.cut(ids)
+            place = np.arange(len(who)) - np.searchsorted(who, who) + 1
+            near = points.take(self.pa.array(point))
+            own = self.ids.take(self.pa.array(who.astype("int64") + 256 * at))
+            for b in self.pa.table([own, self.pa.array(away), *near.columns, self.pa.array(place.astype("int32"))],
+                                   names=["_q", "distance", "_t", *self.carry[1:], "rn"]).to_batches(max_chunksize=65_536):
+                yield b
+
+
+def _streamed(asked: DataFrame, held: DataFrame, carry: Sequence[str], make: Callable, schema: str) -> DataFrame:
+    """The rows of ``make(pyarrow, queries)`` for each group, after its points were added to it batch by batch, those of near leaves first.
+
+    A group's queries stand before its points in its task, which holds the queries and a batch of points at a time.
+    """
+    kinds = dict(held.dtypes)
+    columns = [*carry, *[c for c in asked.columns if c not in ("_q", "_v", "_leaf", "_block") and c not in carry]]
+    kinds = {**dict(asked.dtypes), **kinds}
+
+    def told(df: DataFrame, id: str, at) -> DataFrame:
+        more = [(F.col(f"`{c}`") if c in df.columns else F.lit(None).cast(kinds[c])).alias(c) for c in columns]
+        return df.select("_leaf", "_block", at.cast("double").alias("_at"), F.col(id).cast(kinds["_t"]).alias("_id"), "_v", *more)
+
+    stored = cut_lineage(asked)
+    groups = stored.select("_leaf", "_block").distinct().count()
+    rows = told(stored, "_q", F.lit(-1.0)).unionByName(told(held, "_t", F.col("_at")))
+    rows = rows.repartition(max(1, 4 * groups), "_leaf", "_block").sortWithinPartitions("_leaf", "_block", "_at")
+
+    def run(batches):
+        import pyarrow as pa
+
+        key, waiting, work = None, [], None
+
+        def started():
+            return make(pa, pa.Table.from_batches(waiting).combine_chunks().to_batches()[0])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            leaf, block, at = (batch[c].to_numpy(zero_copy_only=False) for c in ("_leaf", "_block", "_at"))
+            ends = np.flatnonzero((np.diff(leaf) != 0) | (np.diff(block) != 0) | ((at[1:] < 0) != (at[:-1] < 0))) + 1
+            for a, b in zip([0, *ends], [*ends, len(at)], strict=True):
+                mine = (leaf[a], block[a])
+                if mine != key:
+                    if work is not None:
+                        yield from work.rows()
+                    key, waiting, work = mine, [], None
+                part = batch.slice(a, b - a)
+                if at[a] < 0:
+                    waiting.append(part)
+                elif waiting or work is not None:
+                    if work is None:
+                        work, waiting = started(), []
+                    for low in range(0, part.num_rows, 4096):
+                        work.add(part.slice(low, 4096))
+        if work is not None:
+            yield from work.rows()
+
+    return rows.mapInArrow(run, schema)
+
+
+def _measured(asked: DataFrame, held: DataFrame, k: int, carry: Sequence[str]) -> DataFrame:
+    """``_q, distance, _t, carry..., rn``: the k nearest points of each query within its radius."""
+    kinds, carried = dict(held.dtypes), list(carry)
+    schema = ", ".join([f"_q {kinds['_t']}", "distance double", f"_t {kinds['_t']}", *[f"`{c}` {kinds[c]}" for c in carried], "rn int"])
+    return _streamed(asked, held, carried, lambda pa, queries: _Near(pa, queries, k, carried), schema)
 
 
 def _first_k(rows: DataFrame, k: int) -> DataFrame:
@@ -147,6 +326,12 @@ def _first_k(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rn", place).filter(F.col("rn") <= k)
 
 
+def _kept_vector(df: DataFrame, vector: str):
+    """The vector in doubles, or as it is in floats, half as long to exchange."""
+    kind = dict(df.dtypes)[vector]
+    return F.col(vector).cast("array<float>" if kind == "array<float>" else "array<double>").alias("_v")
+
+
 def nearest(
     queries: DataFrame, points: DataFrame, k: int, id: str, vector: str, carry: Sequence[str] = ()
 ) -> DataFrame:
@@ -155,26 +340,20 @@ def nearest(
     ``carry`` columns come from the neighbour. Equal distances are ordered by id; a
     point that is also a query is its own first neighbour.
     """
-    pts = points.select(F.col(id).alias("_t"), F.col(vector).cast("array<double>").alias("_v"), *carry)
-    qs = queries.select(F.col(id).alias("_q"), F.col(vector).cast("array<double>").alias("_v"))
+    pts = points.select(F.col(id).alias("_t"), _kept_vector(points, vector), *carry)
+    qs = queries.select(F.col(id).alias("_q"), _kept_vector(points, vector))
     copy = F.row_number().over(Window.partitionBy("_v").orderBy("_t"))
-    pts = pts.withColumn("_copy", copy).filter(F.col("_copy") <= k).drop("_copy")
+    pts = cut_lineage(pts.withColumn("_copy", copy).filter(F.col("_copy") <= k).drop("_copy"))
     count = pts.count()
     if count == 0 or qs.isEmpty():
         raise ValueError("nearest needs at least one point and one query")
-    tree = grown_tree(pts, count)
+    tree, seen = grown_tree(pts, count)
     routed = cut_lineage(_routed(pts, tree))
-    balls = Balls(tree, routed)
-    split = points.sparkSession.createDataFrame(list(zip(balls.leaf.tolist(), balls.blocks.tolist(), strict=True)), "_leaf int, _blocks int")
-    held = routed.drop("_r").join(F.broadcast(split), "_leaf")  # one row for each leaf
-    held = held.withColumn("_block", F.pmod(F.xxhash64("_t"), F.col("_blocks")).cast("int")).drop("_blocks")
-    near = cut_lineage(_first_k(_measured(_visits(qs, balls, k, False), held, k, carry), k))
-    # the k-th distance of the first visit; without k points at hand it is infinite
-    reach = near.groupBy("_q").agg(F.max("distance").alias("_far"), F.count(F.lit(1)).alias("_n"))
-    radius = F.when(F.col("_n") >= k, F.col("_far")).otherwise(F.lit(math.inf))
-    known = qs.join(reach, "_q").select("_q", "_v", radius.alias("_radius"))
-    more = _measured(_visits(known, balls, k, True), held, k, carry)
-    ranked = _first_k(near.drop("rn").unionByName(more), k)
+    balls = Balls(tree, seen, routed)
+    asked = cut_lineage(_grouped(qs, tree, balls, k, None))
+    ranked = _measured(asked, _held(asked, routed, balls), k, carry)
+    if not qs.groupBy("_q").count().filter("count > 1").isEmpty():  # an id of several rows has one list
+        ranked = _first_k(ranked.drop("rn"), k)
     return ranked.select(F.col("_q").alias(id), "rn", "distance", F.col("_t").alias("neighbor"), *carry)
 
 

@@ -419,3 +419,41 @@ def test_log_drops_columns_at_minus_one(spark):
 def test_bind_keeps_every_id(spark):
     left, right = spark.createDataFrame([(1, 0.1), (2, 0.2)], "SK_ID_CURR long, a double"), spark.createDataFrame([(2, 0.5)], "SK_ID_CURR long, b double")
     assert sorted(stack.stacking_table([left, right]).collect()) == [(1, 0.1, None), (2, 0.2, 0.5)]
+
+
+def test_queries_are_exchanged_once(spark, monkeypatch):
+    """Points without structure: a row for each query and group of points, none for each visit to a leaf."""
+    x = np.random.default_rng(8).normal(size=(2000, 16))
+    frame = spark.createDataFrame(pd.DataFrame({"id": np.arange(2000), "v": x.tolist()}))
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 20)
+    asked, plain = [], neighbors._measured
+
+    def counting(visits, held, k, carry):
+        asked.append((visits.count(), held.count()))
+        return plain(visits, held, k, carry)
+
+    monkeypatch.setattr(neighbors, "_measured", counting)
+    out = neighbors.nearest(frame, frame, 30, "id", "v").toPandas()
+    assert len(out) == 60_000 and [n for n, _ in asked] == [2000] and asked[0][1] <= 2000 * 12
+    for i in (0, 999):
+        d = np.sqrt(((x - x[i]) ** 2).sum(axis=1))
+        assert out[out.id == i].sort_values("rn").neighbor.tolist() == np.lexsort((np.arange(2000), d))[:30].tolist()
+
+
+def test_many_points_at_one_distance(spark, monkeypatch):
+    """More ties than are wanted, an id with two rows, and points in pieces: the smallest ids, as one sort over all pairs gives."""
+    x = np.concatenate([np.eye(40), -np.eye(40), np.zeros((1, 40))])
+    frame = spark.createDataFrame(pd.DataFrame({"id": np.arange(81), "v": x.tolist()}))
+    twice = frame.filter("id = 80").unionByName(frame.filter("id = 80"))
+    monkeypatch.setattr(neighbors, "LEAF_ROWS", 5)
+    assert neighbors.nearest(frame.filter("id = 80"), frame, 6, "id", "v").toPandas().sort_values("rn").neighbor.tolist() == [80, 0, 1, 2, 3, 4]
+    assert neighbors.nearest(twice, frame, 6, "id", "v").toPandas().sort_values("rn").neighbor.tolist() == [80, 80, 0, 0, 1, 1]
+    near = neighbors.Nearest(np.zeros((3, 4)), np.full(3, 2.0), 5)
+    rng = np.random.default_rng(2)
+    points = np.round(rng.normal(size=(900, 4)) / 2, 1)
+    for at in range(0, 900, 50):
+        near.add(points[at : at + 50], at)
+        near.cut()
+    _, _, point = near.cut(np.arange(900))
+    d = np.sqrt((points**2).sum(axis=1))
+    assert point.tolist() == 3 * np.lexsort((np.arange(900), d))[:5].tolist()
