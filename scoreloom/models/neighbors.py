@@ -458,7 +458,7 @@ def approximate_neighbors(
     of the vectors and the bucket length, so that a pair is missed with probability 1 - ``recall`` at most.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
     def vectors(df):
         return df.select(id, array_to_vector(F.col(vector).cast("array<double>")).alias("_v"))
@@ -469,11 +469,50 @@ def approximate_neighbors(
         bucket = bucket or BUCKET_SHARE * math.sqrt(spread or 1.0)
         tables = tables or _tables(radius, width or 1, bucket, recall)
     lsh = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket, numHashTables=tables, seed=1)
-    left, right = vectors(queries), vectors(points)
-    pairs = lsh.fit(right).approxSimilarityJoin(left, right, radius, distCol="distance")
-    return pairs.filter(F.col(f"datasetA.{id}") != F.col(f"datasetB.{id}")).select(
-        F.col(f"datasetA.{id}").alias(id), F.col(f"datasetB.{id}").alias("neighbor"), "distance"
-    )
+    model = lsh.fit(vectors(points))
+
+    def hashed(df: DataFrame, name: str) -> DataFrame:
+        found = model.transform(df.select(F.col(id).alias(name), F.col(vector).alias("_own"), array_to_vector(F.col(vector).cast("array<double>")).alias("_v")))
+        buckets = F.array(*[vector_to_array(F.col("_h")[i])[0] for i in range(tables)])
+        return found.select(name, buckets.alias("_h"), _kept_vector(found, "_own"))
+
+    pts, qs = cut_lineage(hashed(points, "_t")), cut_lineage(hashed(queries, "_q"))
+    count = pts.count()
+    if not count or qs.isEmpty():
+        return queries.select(id, F.col(id).alias("neighbor"), F.lit(0.0).alias("distance")).limit(0)
+    tree, seen = grown_tree(pts, count)
+    routed = cut_lineage(_routed(pts, tree))
+    balls = Balls(tree, seen, routed)
+    asked = cut_lineage(_grouped(qs, tree, balls, 1, radius))
+    kind = dict(pts.dtypes)["_t"]
+    pairs = _streamed(asked, _held(asked, routed, balls), ["_h"], lambda pa, own: _Within(pa, own, radius), f"_q {kind}, _t {kind}, distance double")
+    return pairs.filter("_q <> _t").distinct().select(F.col("_q").alias(id), F.col("_t").alias("neighbor"), "distance")
+
+
+class _Within:
+    """The points within a distance of one group's queries that share a bucket with them."""
+
+    def __init__(self, pa, queries, radius: float):
+        self.pa, self.ids, self.radius = pa, queries["_id"], radius
+        self.x, self.h = _vectors(queries["_v"]), _vectors(queries["_h"])
+        self.found = []
+
+    def add(self, batch) -> None:
+        x, h = _vectors(batch["_v"]), _vectors(batch["_h"])
+        for at in range(0, len(self.x), 256):
+            near = Nearest(self.x[at : at + 256], np.full(len(self.x[at : at + 256]), self.radius), len(x))
+            near.add(x, 0)
+            who, away, point = near.parts[0]
+            who = who.astype("int64") + at
+            keep = np.concatenate([(self.h[who[i : i + 100_000]] == h[point[i : i + 100_000]]).any(axis=1) for i in range(0, max(len(who), 1), 100_000)])
+            if keep.any():
+                self.found.append((self.ids.take(self.pa.array(who[keep])), batch["_id"].take(self.pa.array(point[keep])), self.pa.array(away[keep])))
+                if len(self.found) > 64:
+                    self.found = [tuple(self.pa.concat_arrays([f[i] for f in self.found]) for i in range(3))]
+
+    def rows(self):
+        for ids, points, away in self.found:
+            yield self.pa.RecordBatch.from_arrays([ids, points, away], names=["_q", "_t", "distance"])
 
 
 RESIDUAL = 1e-12  # rounds end when no share has moved by more since the last table was written
