@@ -559,6 +559,7 @@ def label_propagation(
 ) -> DataFrame:
     """Mean of the neighbours' class shares, repeated until nothing moves or ``rounds`` are done; labelled nodes stay fixed."""
     start = cut_lineage(_start(labels, id, label))
+    edges = cut_lineage(edges)  # the neighbours are found once
     degree = edges.groupBy(id).agg(F.count(F.lit(1)).alias("_n"))
     weighted = cut_lineage(edges.join(degree, id).select(id, "neighbor", (1 / F.col("_n")).alias("_w")))
     state = written = start
