@@ -590,7 +590,7 @@ def label_spreading(
     An edge weighs 1 / sqrt(in-degree of both ends); a node is no neighbour of itself.
     """
     start = cut_lineage(_start(labels, id, label))
-    others = edges.filter(F.col(id) != F.col("neighbor"))
+    others = cut_lineage(edges.filter(F.col(id) != F.col("neighbor")))  # the neighbours are found once
     degree = others.groupBy(F.col("neighbor").alias("_node")).agg(F.count(F.lit(1)).cast("double").alias("_d"))
     ends = others.join(degree.select(F.col("_node").alias("neighbor"), F.col("_d").alias("_dn")), "neighbor")
     ends = ends.join(degree.select(F.col("_node").alias(id), F.col("_d").alias("_di")), id, "left")

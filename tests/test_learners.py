@@ -457,3 +457,19 @@ def test_many_points_at_one_distance(spark, monkeypatch):
     _, _, point = near.cut(np.arange(900))
     d = np.sqrt((points**2).sum(axis=1))
     assert point.tolist() == 3 * np.lexsort((np.arange(900), d))[:5].tolist()
+
+
+@pytest.mark.parametrize("spread", [neighbors.label_propagation, neighbors.label_spreading])
+def test_edges_are_computed_once(spark, spread):
+    """The graph is the costly part: both readings of it (degrees, weights) go to the written table."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for pdf in parts:
+            seen.add(len(pdf))
+            yield pdf
+
+    edges = spark.createDataFrame([(i, (i + j) % 20) for i in range(20) for j in range(3)], "id long, neighbor long").mapInPandas(counted, "id long, neighbor long")
+    labels = spark.range(20).selectExpr("id", "CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(id % 2 AS INT) END AS y")
+    assert spread(edges, labels, "id", "y", rounds=5).count() == 20
+    assert seen.value == 60
