@@ -365,7 +365,7 @@ def descent_graph(points: DataFrame, id: str, vector: str, k: int, pool: int = 4
     edges. Rounds end when fewer than ``least`` of all entries change. ``nearest`` is the exact way.
     """
     kind = dict(points.dtypes)[id]
-    pts = cut_lineage(points.select(F.col(id).alias("_t"), F.col(vector).cast("array<double>").alias("_v")))
+    pts = cut_lineage(points.select(F.col(id).alias("_t"), _kept_vector(points, vector)))
     count = pts.count()
 
     def dealt(seed: int) -> DataFrame:
@@ -376,23 +376,47 @@ def descent_graph(points: DataFrame, id: str, vector: str, k: int, pool: int = 4
         groups = routed.groupBy("_leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * leaf_rows)).alias("_groups"))
         return routed.join(groups, "_leaf").withColumn("_g", F.pmod(F.xxhash64("_t", F.lit(seed)), F.col("_groups")))
 
-    def pairs(ids: np.ndarray, x: np.ndarray, limits: np.ndarray | None) -> pd.DataFrame:
-        """For each member of a group its k nearest others, only those nearer than its limit."""
+    def pairs(ids: np.ndarray, x: np.ndarray, limits: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(member, other, distance): for each member of a group its k nearest others, only those nearer than its limit."""
         d = metric_tree.distances(x, x)
         np.fill_diagonal(d, np.inf)
         if limits is not None:
             d[d >= limits[:, None]] = np.inf
-        order = np.argsort(d, axis=1, kind="stable")[:, :own]
-        who, place = np.nonzero(np.isfinite(np.take_along_axis(d, order, axis=1)))
-        near = order[who, place]
+        full = np.flatnonzero(np.isfinite(d).sum(axis=1) > own)
+        if len(full):  # all but the nearest go
+            np.put_along_axis(rest := d[full], np.argsort(rest, axis=1, kind="stable")[:, own:], np.inf, axis=1)
+            d[full] = rest
+        who, near = np.nonzero(np.isfinite(d))
         away = x[who] - x[near]
-        return pd.DataFrame({"_q": ids[who], "_t": ids[near], "distance": np.sqrt((away * away).sum(axis=1))})
+        return ids[who], ids[near], np.sqrt((away * away).sum(axis=1))
 
     def start(group: pd.DataFrame) -> pd.DataFrame:
-        return pairs(group["_t"].to_numpy(), _matrix(group["_v"]), None)
+        return pd.DataFrame(dict(zip(("_q", "_t", "distance"), pairs(group["_t"].to_numpy(), _matrix(group["_v"]), None), strict=True)))
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        return pairs(group["_t"].to_numpy(), _matrix(group["_v"]), group["_limit"].to_numpy())
+    def meet(batches):
+        """All groups of a partition, whose rows are sorted by group; a batch ends within a group as a rule, which waits for the next one."""
+        import pyarrow as pa
+
+        def measured(table):
+            q, ids, limits = (table[c].to_numpy() for c in ("_q", "_t", "_limit"))
+            x = _vectors(table["_v"].combine_chunks())
+            edges = np.flatnonzero(q[1:] != q[:-1]) + 1
+            found = [pairs(ids[a:b], x[a:b], limits[a:b]) for a, b in zip([0, *edges], [*edges, len(q)], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[i] for f in found])) for i in range(3)], names=["_q", "_t", "distance"])
+
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            q = held["_q"].to_numpy()
+            last = int(np.searchsorted(q, q[-1]))
+            if last:
+                yield measured(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None:
+            yield measured(held)
 
     schema = f"_q {kind}, _t {kind}, distance double"
     own = max(pool, k - 1)
@@ -405,7 +429,7 @@ def descent_graph(points: DataFrame, id: str, vector: str, k: int, pool: int = 4
         back = lists.select(F.col("_t").alias("_q"), F.col("_q").alias("_t"), "distance")
         back = _first_k(back, own).select("_q", "_t")
         met = lists.select("_q", "_t").unionByName(back).unionByName(pts.select(F.col("_t").alias("_q"), "_t")).distinct()
-        found = met.join(members, "_t").groupBy("_q").applyInPandas(meet, schema)
+        found = met.join(members, "_t").repartition("_q").sortWithinPartitions("_q", "_t").mapInArrow(meet, schema)
         every = lists.withColumn("_old", F.lit(1)).unionByName(found.withColumn("_old", F.lit(0)))
         every = every.groupBy("_q", "_t").agg(F.min("distance").alias("distance"), F.max("_old").alias("_old"))
         lists = cut_lineage(_first_k(every, own).drop("rn"))

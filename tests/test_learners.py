@@ -473,3 +473,60 @@ def test_edges_are_computed_once(spark, spread):
     labels = spark.range(20).selectExpr("id", "CASE WHEN id % 5 = 0 THEN NULL ELSE CAST(id % 2 AS INT) END AS y")
     assert spread(edges, labels, "id", "y", rounds=5).count() == 20
     assert seen.value == 60
+
+
+def test_folds_are_scored_in_one_python_step(spark, data):
+    """One Arrow map, so one Python process a task, whatever the number of folds; the scores are those of each forest alone."""
+    prepared = data[1]
+    made = []
+
+    def learn(labelled):
+        made.append(ensembles.forest_learner(prepared.features, trees=20)(labelled))
+        return made[-1]
+
+    labelled = prepared.labelled
+    out = stack.cross_fit(labelled, prepared.frame.filter(F.col("TARGET").isNull()), learn)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2 and len(made) == 5
+    whole = out.toPandas().set_index("SK_ID_CURR")
+    alone = pd.concat([m(labelled, "s").toPandas().set_index("SK_ID_CURR")["s"].rename(i) for i, m in enumerate(made)], axis=1)
+    for i, row in whole[whole.fold.notna()].iterrows():
+        assert row.held_out == pytest.approx(alone.loc[i, int(row.fold)]) and row.average == pytest.approx(alone.loc[i].mean())
+
+
+def test_histograms_hold_little_beside_the_rows():
+    """Columns are summed one at a time: no value of a row is repeated for each of its columns."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    x, node = rng.integers(0, 20, (30, 60_000)).astype(np.uint8), rng.integers(0, 4, 60_000)
+    g, one = rng.normal(size=60_000), np.ones(60_000)
+    tracemalloc.start()
+    found = histograms._sums(x, node, 4, 20, (g, one, one))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 5_000_000
+    for n, c, b in ((0, 0, 0), (3, 29, 19), (2, 11, 7)):
+        mine = (node == n) & (x[c] == b)
+        assert found[:, n, c, b] == pytest.approx([g[mine].sum(), mine.sum(), mine.sum()])
+
+
+def test_descent_groups_cross_batches(spark, monkeypatch):
+    """Small batches cut groups apart; ids may be texts. No function is called for each group of a round."""
+    x = np.random.default_rng(5).normal(size=(300, 6))
+    frame = spark.createDataFrame(pd.DataFrame({"id": [f"p{i:03d}" for i in range(300)], "v": x.tolist()}))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    written, plain = [], neighbors.cut_lineage
+
+    def counting(df):
+        written.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(neighbors, "cut_lineage", counting)
+    try:
+        near = neighbors.descent_graph(frame, "id", "v", 5, leaf_rows=32).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {(f"p{i:03d}", f"p{j:03d}") for i in range(300) for j in np.argsort(d[i])[:5]}
+    assert len(near) == 1500 and len(want & set(zip(near.id, near.neighbor))) >= 0.95 * len(want)
+    assert "FlatMapGroupsInPandas" not in written[-1] and "MapInArrow" in written[-1]
