@@ -33,6 +33,21 @@ def test_bundles_have_no_nested_functions_and_right_values(spark):
                 np.testing.assert_allclose(float(got.loc[g, f"last_{k}_v_{s}"] if got.loc[g, f"last_{k}_v_{s}"] is not None else np.nan), x, atol=1e-9, err_msg=f"{g} {k} {s}")
 
 
+def test_windows_are_cut_where_nulls_go_and_count_their_gaps(spark):
+    """Cuts that stand alone become one generated method, too long to be compiled; ranks come in any order."""
+    rows = spark.createDataFrame([(1, 3, None), (1, 1, 4.0), (1, 2, 1.0), (2, 1, None)], "g int, rn int, v double")
+    gathered = rows.groupBy("g").agg(gather_recent(["v"], 3))
+    assert "lambda" not in gathered._jdf.queryExecution().optimizedPlan().toString()
+    out = add_recent_bundles(gathered, {"v": ["size", "count", "sum", "median", "iqr"]}, [1, 2, 5])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("slice(") == plan.count("filter(slice(") == 3
+    got = {r.g: r.asDict() for r in out.collect()}
+    want = {1: {1: (1, 1, 4.0, 4.0, 0.0), 2: (2, 2, 5.0, 2.5, 1.5), 5: (3, 2, 5.0, 2.5, None)}, 2: dict.fromkeys((1, 2, 5), (1, 0, 0.0, None, None))}
+    for g, windows in want.items():
+        for k, values in windows.items():
+            assert tuple(got[g][f"last_{k}_v_{s}"] for s in ("size", "count", "sum", "median", "iqr")) == values, (g, k)
+
+
 def test_history_blocks_are_written_before_the_joins(spark, sf):
     plan = native_wide(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Aggregate" not in plan
